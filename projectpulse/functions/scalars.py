@@ -12,6 +12,11 @@ def as_col(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def strip(value) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.btrim(as_col(value), F.lit(fixed.WHITESPACE))
+
+
 def rounded(value, digits: int) -> Column:
     """Half-up rounding that first drops float noise, so that the order in which
     partial sums were merged cannot move a value across a rounding tie."""

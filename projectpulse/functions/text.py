@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from projectpulse.functions import fixed
 from projectpulse.functions.files import lines_of
-from projectpulse.functions.scalars import as_col
+from projectpulse.functions.scalars import as_col, strip
 
 
 def tokenize(text) -> Column:
@@ -35,11 +35,11 @@ def keyword_overlap(a, b) -> Column:
 
 def extract_title(text) -> Column:
     """FN6: first top-level heading, or null."""
-    return F.nullif(F.trim(F.regexp_extract(as_col(text), fixed.TITLE_PATTERN, 1)), F.lit(""))
+    return F.nullif(strip(F.regexp_extract(as_col(text), fixed.TITLE_PATTERN, 1)), F.lit(""))
 
 
 def strip_bullet(line) -> Column:
-    bullet = F.trim(F.regexp_extract(as_col(line), fixed.BULLET_PATTERN, 1))
+    bullet = strip(F.regexp_extract(as_col(line), fixed.BULLET_PATTERN, 1))
     return F.when(bullet != "", bullet).otherwise(as_col(line))
 
 
@@ -49,7 +49,7 @@ def is_requirement(line) -> Column:
 
 def package_names(text) -> Column:
     """FN8: lower-case names at the start of manifest lines; options and comments are skipped."""
-    lines = F.transform(lines_of(text), lambda line: F.trim(line))
+    lines = F.transform(lines_of(text), lambda line: strip(line))
     kept = F.filter(lines, lambda s: (s != "") & ~s.startswith("#") & ~s.startswith("-"))
     names = F.transform(kept, lambda s: F.lower(F.regexp_extract(s, fixed.PACKAGE_NAME_PATTERN, 1)))
     return F.array_distinct(F.filter(names, lambda n: n != ""))
@@ -57,7 +57,7 @@ def package_names(text) -> Column:
 
 def canonical_name(name) -> Column:
     """FN9: separators unified to '-', lower case."""
-    return F.regexp_replace(F.lower(F.trim(as_col(name))), "[-_.]+", "-")
+    return F.regexp_replace(F.lower(strip(as_col(name))), "[-_.]+", "-")
 
 
 def import_name(distribution) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from projectpulse.functions import fixed
-from projectpulse.functions.scalars import as_col, clamp, rounded
+from projectpulse.functions.scalars import as_col, clamp, rounded, strip
 from projectpulse.skew import bounded_blocks
 
 
@@ -134,7 +134,7 @@ def visual_summary(baseline, current, verdict, findings) -> Column:
 
 def guard_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """PR21: non-blank text and 1 to 50 results; the rest is quarantined."""
-    good = (F.trim(F.coalesce("query_text", F.lit(""))) != "") & F.col("top_k").between(1, 50)
+    good = (strip(F.coalesce("query_text", F.lit(""))) != "") & F.col("top_k").between(1, 50)
     good = F.coalesce(good, F.lit(False))
     return queries.where(good), queries.where(~good)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from projectpulse.functions import fixed
-from projectpulse.functions.scalars import band, priority_weight, rounded, severity_weight
+from projectpulse.functions.scalars import band, priority_weight, rounded, severity_weight, strip
 from projectpulse.skew import cut_lineage, prefix_totals
 
 RUN = ["project_id", "run_id"]
@@ -274,7 +274,7 @@ def parse_recommendations(responses: DataFrame, body: str = "body") -> tuple[Dat
     )
 
     def field(item: Column, name: str) -> Column:
-        return F.trim(F.coalesce(F.try_variant_get(item, f"$.{name}", "string"), F.lit("")))
+        return strip(F.coalesce(F.try_variant_get(item, f"$.{name}", "string"), F.lit("")))
 
     def texts(item: Column, name: str) -> Column:
         return F.coalesce(F.try_variant_get(item, f"$.{name}", "array<string>"), F.array().cast("array<string>"))

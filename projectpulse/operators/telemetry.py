@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from projectpulse.functions import fixed
-from projectpulse.functions.scalars import rounded
+from projectpulse.functions.scalars import rounded, strip
 from projectpulse.skew import previous_values, time_chunk
 
 METRICS = {name: unit for units in fixed.METRIC_SECTIONS.values() for name, unit in units.items()}
@@ -197,7 +197,7 @@ def parse_sensor_lines(df: DataFrame, line: str = "line") -> DataFrame:
 
 def add_deadlines(df: DataFrame) -> DataFrame:
     """SC8: deadlines with a trimmed, non-blank title."""
-    return df.withColumn("title", F.trim("title")).where(F.col("title") != "")
+    return df.withColumn("title", strip("title")).where(F.col("title") != "")
 
 
 def list_deadlines(df: DataFrame) -> DataFrame:

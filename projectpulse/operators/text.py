@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from projectpulse.functions import files as ff
 from projectpulse.functions import fixed
 from projectpulse.functions import text as ft
-from projectpulse.functions.scalars import rounded
+from projectpulse.functions.scalars import rounded, strip
 from projectpulse.skew import bounded_blocks, cut_lineage
 
 RUN = ["project_id", "run_id"]
@@ -25,7 +25,7 @@ CLAIM = [*RUN, "claim_id"]
 
 def document_lines(documents: DataFrame) -> DataFrame:
     lines = documents.select(*RUN, "path", F.posexplode(ff.lines_of("text")).alias("pos", "raw"))
-    return lines.select(*RUN, "path", (F.col("pos") + 1).alias("line"), F.trim("raw").alias("stripped"))
+    return lines.select(*RUN, "path", (F.col("pos") + 1).alias("line"), strip("raw").alias("stripped"))
 
 
 def requirements(documents: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def feature_bullets(documents: DataFrame) -> DataFrame:
     All of it happens inside the row of one document: the position of the heading, of the
     first bullet after it and of the first stop line are array searches.
     """
-    lines = F.transform(ff.lines_of("text"), lambda line: F.trim(line))
+    lines = F.transform(ff.lines_of("text"), lambda line: strip(line))
     work = documents.where(F.col("text").rlike("(?im)^#{1,6}\\s*Features?\\b")).withColumn("lines", lines)
 
     def first_position(column: str, test: Callable[[Column], Column]) -> Column:

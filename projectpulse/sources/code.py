@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from projectpulse.functions import fixed
 from projectpulse.functions import files as ff
+from projectpulse.functions.scalars import strip
 
 FACT_SCHEMA = (
     "project_id string, run_id bigint, path string, ord int, kind string, name string, "
@@ -94,8 +95,8 @@ def code_facts(sources: DataFrame) -> DataFrame:
 def comment_lines(sources: DataFrame) -> DataFrame:
     """FN10: comment texts without shebangs and encoding cookies; ``text`` is the decoded file."""
     lines = sources.select("project_id", "run_id", "path", F.posexplode(ff.lines_of("text")).alias("pos", "raw"))
-    bare = F.trim(F.regexp_replace(F.trim("raw"), "^#+", ""))
-    comments = lines.where(F.trim("raw").startswith("#") & ~F.trim("raw").startswith("#!"))
+    bare = strip(F.regexp_replace(strip("raw"), "^#+", ""))
+    comments = lines.where(strip("raw").startswith("#") & ~strip("raw").startswith("#!"))
     comments = comments.select("project_id", "run_id", "path", "pos", bare.alias("comment"))
     return comments.where((F.col("comment") != "") & ~F.col("comment").rlike(fixed.ENCODING_COOKIE_PATTERN))
 
