@@ -1,0 +1,229 @@
+"""Registered prediction queries over ``lineitem`` and ``orders``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from projectpulse.catalog import inputs
+from projectpulse.catalog.inspection import RUN, sql_band
+from projectpulse.catalog.reasoning import own_impact
+from projectpulse.catalog.registry import cte, query, shown, sql_round, table
+from projectpulse.functions import fixed
+from projectpulse.operators import inspection, prediction as P
+from projectpulse.plans import reports
+from projectpulse.skew import time_chunk
+
+
+def parts(spark, sf_dir):
+    files, own = inputs.inventory(spark, sf_dir), inputs.findings(spark, sf_dir)
+    findings = inspection.union_findings(own, inspection.consecutive_drift(files, files))
+    runs = inspection.health_scores(inputs.runs(files), own).select(*RUN, "file_count", "health_score")
+    return runs, files, findings, own_impact(own)
+
+
+cte("vectors", f"""
+SELECT h.project_id, h.run_id, h.file_count, {sql_round('m.avg_c', 4)} AS average_cyclomatic_complexity, m.max_c AS max_cyclomatic_complexity,
+  {sql_round('m.doc', 4)} AS average_docstring_coverage, {sql_round('f.n / greatest(h.file_count, 1)', 4)} AS finding_density,
+  {sql_round('f.w / greatest(h.file_count, 1)', 4)} AS severity_weighted_density, {sql_round('coalesce(f.d, 0) / greatest(h.file_count, 1)', 4)} AS drift_churn_ratio,
+  {sql_round('r.avg_r', 4)} AS average_dependency_risk, r.max_r AS max_dependency_risk, h.health_score
+FROM health h
+JOIN (SELECT project_id, run_id, avg(max_cyclomatic_complexity) AS avg_c, max(max_cyclomatic_complexity) AS max_c, avg(docstring_coverage) AS doc FROM inventory GROUP BY ALL) m USING (project_id, run_id)
+LEFT JOIN (SELECT project_id, run_id, count(*) AS n, CAST(sum(w) AS BIGINT) AS w, count(*) FILTER (WHERE d) AS d FROM (
+  SELECT project_id, run_id, weight AS w, FALSE AS d FROM findings
+  UNION ALL SELECT project_id, run_id, CASE WHEN code = 'FILE_REMOVED' THEN 3 ELSE 1 END, TRUE FROM drift) GROUP BY ALL) f USING (project_id, run_id)
+LEFT JOIN (SELECT project_id, run_id, avg(risk_score) AS avg_r, max(risk_score) AS max_r FROM weights GROUP BY ALL) r USING (project_id, run_id)
+""", ("health", "inventory", "findings", "drift", "weights"))
+cte("regression", f"""
+SELECT *, {sql_round('1 / (1 + exp(-(-2 + 3 * pc + 1.5 * ps + px + 1.5 * pd)))', 4)} AS regression_probability FROM (
+  SELECT *, least(drift_churn_ratio, 2.0) AS pc, least(severity_weighted_density / 5, 2.0) AS ps, least(average_cyclomatic_complexity / 20, 2.0) AS px,
+    least(max_dependency_risk / 5, 2.0) AS pd FROM vectors)
+""", ("vectors",))
+cte("debt", f"""
+SELECT *, {sql_round('debt_score / 100 * file_count * 1.5', 1)} AS remediation_hours FROM (
+  SELECT *, {sql_round('least(dc + dd + df, 100.0)', 2)} AS debt_score FROM (
+    SELECT *, least(average_cyclomatic_complexity / 20, 1.0) * 40 AS dc, greatest(0, 1 - average_docstring_coverage) * 30 AS dd, least(finding_density / 0.5, 1.0) * 30 AS df FROM regression))
+""", ("regression",))
+cte("failure", f"""
+SELECT *, least(1.0, greatest(0.0, {sql_round('regression_probability * 0.4 + debt_score / 100 * 0.25 + least(drift_churn_ratio, 1.0) * 0.15 + greatest(0, (100 - health_score) / 100) * 0.2', 4)})) AS failure_probability FROM debt
+""", ("debt",))
+
+
+def scored(spark, sf_dir):
+    vectors = P.feature_vectors(*parts(spark, sf_dir))
+    return P.failure_probability(P.technical_debt(P.regression_risk(vectors)))
+
+
+@query("ag8_feature_vector", "SELECT * FROM vectors", ("vectors",))
+def _(spark, sf_dir):
+    return P.feature_vectors(*parts(spark, sf_dir))
+
+
+@query("fn11_regression_risk", f"SELECT project_id, run_id, regression_probability, {sql_band('regression_probability', fixed.PROBABILITY_BANDS)} AS regression_level FROM regression", ("regression",))
+def _(spark, sf_dir):
+    return P.regression_risk(P.feature_vectors(*parts(spark, sf_dir))).select(*RUN, "regression_probability", "regression_level")
+
+
+@query("fn12_technical_debt", f"SELECT project_id, run_id, debt_score, remediation_hours, {sql_band('debt_score', fixed.DEBT_BANDS)} AS debt_level FROM debt", ("debt",))
+def _(spark, sf_dir):
+    return P.technical_debt(P.feature_vectors(*parts(spark, sf_dir))).select(*RUN, "debt_score", "remediation_hours", "debt_level")
+
+
+@query("fn13_failure_probability", f"SELECT project_id, run_id, failure_probability, {sql_band('failure_probability', fixed.PROBABILITY_BANDS)} AS failure_level FROM failure", ("failure",))
+def _(spark, sf_dir):
+    return scored(spark, sf_dir).select(*RUN, "failure_probability", "failure_level")
+
+
+@query("fn14_contributing_factors", """
+SELECT project_id, run_id,
+  CAST((pc >= 0.3)::INT + (ps >= 0.3)::INT + (px >= 0.3)::INT + (pd >= 0.3)::INT AS BIGINT) AS regression_factors,
+  CAST((dc >= 12)::INT + (dd >= 9)::INT + (df >= 9)::INT AS BIGINT) AS debt_factors,
+  CAST((regression_probability >= 0.3)::INT + (debt_score / 100 >= 0.3)::INT + (least(drift_churn_ratio, 1.0) >= 0.3)::INT
+    + (greatest(0, (100 - health_score) / 100) >= 0.3)::INT AS BIGINT) AS failure_factors,
+  CASE WHEN pc >= 0.3 THEN 'File churn ratio since previous inspection is ' || CAST(round(CAST(drift_churn_ratio AS DECIMAL(38,10)), 2) AS DECIMAL(18,2)) || '.' END AS churn_text
+FROM failure
+""", ("failure",))
+def _(spark, sf_dir):
+    counts = [F.size(f"{k}_factors").cast("bigint").alias(f"{k}_factors") for k in ("regression", "debt", "failure")]
+    churn = F.filter("regression_factors", lambda t: t.startswith("File churn"))
+    return scored(spark, sf_dir).select(*RUN, *counts, F.try_element_at(churn, F.lit(1)).alias("churn_text"))
+
+
+@query("rp4_prediction_report", f"""
+SELECT {sql_band('regression_probability', fixed.PROBABILITY_BANDS)} AS regression_level, {sql_band('debt_score', fixed.DEBT_BANDS)} AS debt_level,
+  {sql_band('failure_probability', fixed.PROBABILITY_BANDS)} AS failure_level, count(*) AS runs FROM failure GROUP BY ALL
+""", ("failure",))
+def _(spark, sf_dir):
+    runs, files, findings, impact = parts(spark, sf_dir)
+    report = reports.prediction_report(runs, files, findings, impact, series(spark, sf_dir))
+    return report["predictions"].groupBy("regression_level", "debt_level", "failure_level").agg(F.count("*").alias("runs"))
+
+
+# three sides that cover different files: metrics of returned, impact of accepted, findings of other lines
+cte("module_risk", f"""
+SELECT *, {sql_round('complexity_score * 0.3 + dependency_risk_score * 0.4 + finding_severity_score * 0.3', 4)} AS composite_risk_score FROM (
+  SELECT project_id, run_id, file_path, {sql_round('coalesce(c, 0) / 20', 4)} AS complexity_score, {sql_round('coalesce(r, 0) / 5', 4)} AS dependency_risk_score,
+    {sql_round('coalesce(w, 0) / 10', 4)} AS finding_severity_score
+  FROM (SELECT 'supplier-' || l_suppkey AS project_id, CAST(year(l_shipdate) AS BIGINT) AS run_id, 'part-' || l_partkey AS file_path, max(l_quantity) AS c FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) m
+  FULL JOIN (SELECT project_id, run_id, file_path, CAST(round(CAST(sum(weight) * 0.5 AS DECIMAL(38,10)), 2) AS DOUBLE) AS r FROM findings WHERE code LIKE 'A%' GROUP BY ALL) i USING (project_id, run_id, file_path)
+  FULL JOIN (SELECT project_id, run_id, file_path, sum(weight) AS w FROM findings WHERE code LIKE 'N%' GROUP BY ALL) f USING (project_id, run_id, file_path))
+""", ("findings",))
+
+
+def modules(spark, sf_dir):
+    rows = inputs.findings(spark, sf_dir)
+    metrics = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(
+        F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")).alias("project_id"),
+        F.year("l_shipdate").cast("bigint").alias("run_id"),
+        F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("relative_path"),
+    ).agg(F.max("l_quantity").alias("max_cyclomatic_complexity"))
+    impact = own_impact(rows.where(F.col("code").startswith("A")))
+    return P.module_risk(metrics, impact, rows.where(F.col("code").startswith("N")))
+
+
+@query("jn3_module_risk", f"SELECT *, {sql_band('composite_risk_score', fixed.MODULE_BANDS)} AS risk_level FROM module_risk", ("module_risk",))
+def _(spark, sf_dir):
+    return modules(spark, sf_dir)
+
+
+@query("so5_module_order", "SELECT project_id, run_id, file_path, composite_risk_score FROM module_risk ORDER BY project_id, run_id, composite_risk_score DESC, file_path", ("module_risk",))
+def _(spark, sf_dir):
+    return P.module_order(modules(spark, sf_dir)).select(*RUN, "file_path", "composite_risk_score")
+
+
+@query("pr16_high_risk_modules", "SELECT project_id, run_id, file_path, composite_risk_score FROM module_risk WHERE composite_risk_score >= 0.6", ("module_risk",))
+def _(spark, sf_dir):
+    return P.high_risk_modules(modules(spark, sf_dir)).select(*RUN, "file_path", "composite_risk_score")
+
+
+# --- trends -----------------------------------------------------------------------------------------
+cte("series", "SELECT project_id, run_id, row_number() OVER (PARTITION BY project_id ORDER BY run_id) - 1 AS run_index, health_score, finding_count FROM health", ("health",))
+
+
+def series(spark, sf_dir):
+    health = inspection.health_scores(inputs.runs(inputs.inventory(spark, sf_dir)), inputs.findings(spark, sf_dir))
+    return P.run_index(health, ["run_id"], F.floor(F.col("run_id") / 100))
+
+
+@query("wn6_run_index", "SELECT project_id, run_id, run_index, health_score FROM series", ("series",))
+def _(spark, sf_dir):
+    return series(spark, sf_dir).select(*RUN, F.col("run_index").cast("bigint").alias("run_index"), "health_score")
+
+
+def _trend_sql(slope: str, raw: str, source: str) -> str:
+    return f"""
+SELECT project_id, CASE WHEN n < 2 THEN 'unknown' WHEN {slope} >= 0.5 THEN 'improving' WHEN {slope} <= -0.5 THEN 'degrading' ELSE 'stable' END AS direction,
+  current AS current_health_score, CASE WHEN n < 2 THEN current ELSE {sql_round(f'least(100.0, greatest(0.0, {raw}))', 2)} END AS projected_next_health_score,
+  CASE WHEN n < 2 THEN 0.0 ELSE {sql_round(slope, 4)} END AS slope_per_run, n AS data_points_used FROM {source}
+"""
+
+
+cte("fit_one", "SELECT project_id, count(*) AS n, arg_max(health_score, run_index) AS current, regr_slope(health_score, run_index) AS slope, regr_intercept(health_score, run_index) AS icpt FROM series GROUP BY ALL", ("series",))
+cte("moments", """
+SELECT project_id, count(*) AS n, arg_max(health_score, run_index) AS current, avg(run_index) AS mx, avg(finding_count) AS mf, avg(health_score) AS my,
+  var_pop(run_index) AS sxx, var_pop(finding_count) AS sff, covar_pop(run_index, finding_count) AS sxf, covar_pop(run_index, health_score) AS sxy,
+  covar_pop(finding_count, health_score) AS sfy FROM series GROUP BY ALL
+""", ("series",))
+cte("fit_two", """
+SELECT *, my + slope * (n - mx) + second * (sxf / nullif(sxx, 0) * (n - mx)) AS raw FROM (
+  SELECT *, CASE WHEN det <= 1e-9 * (sxx * sff) THEN (sxx * sxy + sxf * sfy) / nullif((sxx + sff) * (sxx + sff), 0) ELSE (sff * sxy - sxf * sfy) / det END AS slope,
+    CASE WHEN det <= 1e-9 * (sxx * sff) THEN (sxf * sxy + sff * sfy) / nullif((sxx + sff) * (sxx + sff), 0) ELSE (sxx * sfy - sxf * sxy) / det END AS second
+  FROM (SELECT *, sxx * sff - sxf * sxf AS det FROM moments))
+""", ("moments",))
+
+
+@query("ag14_trend_ols1", _trend_sql("slope", "icpt + slope * n", "fit_one"), ("fit_one",))
+def _(spark, sf_dir):
+    return P.trend_one(series(spark, sf_dir)).drop("summary")
+
+
+@query("ag15_trend_ols2", _trend_sql("slope", "raw", "fit_two"), ("fit_two",))
+def _(spark, sf_dir):
+    return P.trend_two(series(spark, sf_dir)).drop("summary")
+
+
+@query("fn23_trend_summary", f"""
+SELECT project_id, 'Health score trend is ' || direction || ' (' || printf('%+.2f', slope_per_run) || ' point(s) per run over ' || data_points_used || ' data point(s)); next run projected at '
+  || printf('%.2f', projected_next_health_score) || ' by a trained linear regression model.' AS summary FROM ({_trend_sql("slope", "icpt + slope * n", "fit_one")})
+WHERE abs(slope_per_run * 100 - floor(slope_per_run * 100) - 0.5) > 0.02
+""", ("fit_one",))
+def _(spark, sf_dir):
+    rows = P.trend_one(series(spark, sf_dir))
+    scaled = F.col("slope_per_run") * 100
+    return rows.where(F.abs(scaled - F.floor(scaled) - 0.5) > 0.02).select("project_id", "summary")
+
+
+def payload_records(spark, sf_dir):
+    """Run records whose payload lists as many findings as the order has line items."""
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("seq")).agg(F.count("*").cast("int").alias("n"))
+    listed = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(i.alias("line")))
+    found = F.when(F.col("n") > 0, F.to_json(F.struct(listed.alias("findings")))).otherwise("{}")
+    return inputs.records(spark, sf_dir).join(counts, "seq", "left").withColumn("payload", found).drop("n")
+
+
+cte("pairs_history", """
+SELECT r.project_id, r.record_id, r.recorded_at, r.health_score, coalesce(c.n, 0) AS finding_count,
+  row_number() OVER (PARTITION BY r.project_id ORDER BY r.recorded_at, r.record_id) - 1 AS run_index
+FROM records r LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) c ON c.l_orderkey = r.seq
+WHERE r.record_type = 'inspection' AND r.health_score IS NOT NULL
+""", ("records",))
+
+
+@query("jn16_zip_training_pairs", "SELECT project_id, record_id, round(health_score, 6) AS health_score, finding_count FROM pairs_history", ("pairs_history",))
+def _(spark, sf_dir):
+    return shown(P.zip_training_pairs(payload_records(spark, sf_dir)).select("project_id", "record_id", "health_score", "finding_count"))
+
+
+@query("ag32_finding_count_per_run", "SELECT record_id, finding_count FROM pairs_history", ("pairs_history",))
+def _(spark, sf_dir):
+    return P.zip_training_pairs(payload_records(spark, sf_dir)).select("record_id", "finding_count")
+
+
+@query("rp8_trend_training", f"""
+SELECT project_id, CASE WHEN count(*) < 2 THEN 'unknown' WHEN regr_slope(health_score, run_index) >= 0.5 THEN 'improving'
+  WHEN regr_slope(health_score, run_index) <= -0.5 THEN 'degrading' ELSE 'stable' END AS direction, count(*) AS data_points_used,
+  CASE WHEN count(*) < 2 THEN 0.0 ELSE {sql_round('regr_slope(health_score, run_index)', 4)} END AS slope_per_run
+FROM pairs_history GROUP BY ALL
+""", ("pairs_history",))
+def _(spark, sf_dir):
+    report = reports.trend_training(payload_records(spark, sf_dir), time_chunk("recorded_at", 24 * 365))
+    return report["one"].select("project_id", "direction", "data_points_used", "slope_per_run")

@@ -205,3 +205,16 @@ def recall_topk(records: DataFrame, queries: DataFrame, block_rows: int = 20_000
 def recall_hydrate(matches: DataFrame, records: DataFrame) -> DataFrame:
     """JN10: matches with their full records; a match without a record is dropped."""
     return matches.join(records, ["project_id", "record_id"])
+
+
+def normalized_project_ids(rows: DataFrame) -> DataFrame:
+    """PR5: trimmed lower-case project ids and whether they are well formed."""
+    name = F.lower(strip("project_id"))
+    return rows.withColumn("project_id", name).withColumn("valid", F.col("project_id").rlike(fixed.PROJECT_ID_PATTERN))
+
+
+def cross_project_rows(run: DataFrame, inputs: DataFrame, keys: list[str]) -> DataFrame:
+    """PR6: inputs of a run that belong to another project; must be empty for a sound run."""
+    other = inputs.withColumnRenamed("project_id", "other_project_id")
+    joined = run.join(other, keys).where(F.col("project_id") != F.col("other_project_id"))
+    return joined.select(*keys, "project_id", "other_project_id")

@@ -1,93 +1,102 @@
 """Composite reports: the operators joined into the pipelines users run.
 
-Each report returns named DataFrames that share their inputs; an action on one of them
-computes only what it needs.
+Each report names DataFrames that share their inputs. A part is built on first access, so
+that parts with loops of their own cost nothing to those who do not read them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from projectpulse.functions.scalars import rounded
 from projectpulse.operators import graph, inspection, memory, prediction, reasoning, sessions, text, vision
+from projectpulse.skew import cut_lineage
 from projectpulse.sources import code
 
-Report = dict[str, DataFrame]
+
+class Report:
+    def __init__(self, **parts: Callable[[Report], DataFrame]):
+        self._makers = parts
+        self._made: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name](self)
+        return self._made[name]
+
+    def names(self) -> list[str]:
+        return list(self._makers)
 
 
 def telemetry_report(telemetry: DataFrame, now, max_gap_minutes: float = 15.0) -> Report:
     """RP6: sessions, scores, likelihood, last and recent sessions, weekly minutes."""
-    scored = sessions.success_scores(sessions.derive_sessions(telemetry, max_gap_minutes))
     projects = telemetry.select("project_id").distinct()
-    totals = scored.groupBy("project_id").agg(
-        F.count("*").alias("sessions"),
-        rounded(F.sum("duration_minutes"), 2).alias("total_minutes"),
-        F.sum("break_count").alias("breaks"),
-        rounded(F.avg("success_score"), 4).alias("mean_score"),
+    return Report(
+        sessions=lambda r: sessions.success_scores(sessions.derive_sessions(telemetry, max_gap_minutes)),
+        totals=lambda r: r["sessions"].groupBy("project_id").agg(
+            F.count("*").alias("sessions"),
+            rounded(F.sum("duration_minutes"), 2).alias("total_minutes"),
+            F.sum("break_count").alias("breaks"),
+            rounded(F.avg("success_score"), 4).alias("mean_score"),
+        ),
+        likelihood=lambda r: sessions.session_likelihood(telemetry, r["sessions"], now),
+        last=lambda r: sessions.last_session(r["sessions"]),
+        recent=lambda r: sessions.recent_sessions(r["sessions"], projects),
+        week=lambda r: sessions.weekly_minutes(r["sessions"], projects, now),
     )
-    return {
-        "sessions": scored,
-        "totals": totals,
-        "likelihood": sessions.session_likelihood(telemetry, scored, now),
-        "last": sessions.last_session(scored),
-        "recent": sessions.recent_sessions(scored, projects),
-        "week": sessions.weekly_minutes(scored, projects, now),
-    }
 
 
 def inspection_report(contents: DataFrame, previous: DataFrame | None = None) -> Report:
     """RP1 over (project_id, run_id, path, size_bytes, content): all runs at once.
 
-    ``previous`` is the inventory of the runs' baselines, keyed by the current run.
+    ``previous`` is the inventory of the runs' baselines, keyed by the current run. The code
+    facts are written once to the checkpoint folder, since six analyzers read them.
     """
-    inventory = inspection.file_records(contents)
-    facts = code.code_facts(contents).persist()
-    texts = contents.where(F.col("content").isNotNull()).withColumn(
-        "text", F.decode(F.col("content"), "UTF-8")
+    texts = contents.where(F.col("content").isNotNull()).withColumn("text", F.decode(F.col("content"), "UTF-8"))
+
+    def findings(r: Report) -> DataFrame:
+        parts = [
+            inspection.syntax_findings(r["facts"]),
+            inspection.complexity_findings(r["facts"]),
+            inspection.docstring_findings(r["metrics"]),
+            inspection.cycle_findings(graph.strongly_connected(r["edges"])),
+            inspection.marker_scan(texts),
+            inspection.missing_package_init(r["inventory"]),
+        ]
+        if previous is not None:
+            parts.append(inspection.snapshot_drift(previous, r["inventory"]))
+        return inspection.union_findings(*parts)
+
+    return Report(
+        inventory=lambda r: inspection.file_records(contents),
+        facts=lambda r: cut_lineage(code.code_facts(contents)),
+        metrics=lambda r: inspection.file_metrics(r["facts"]),
+        edges=lambda r: cut_lineage(graph.resolve_imports(r["facts"], r["inventory"])),
+        findings=findings,
+        runs=lambda r: r["inventory"].groupBy("project_id", "run_id").agg(F.count("*").alias("file_count")),
+        health=lambda r: inspection.health_scores(r["runs"], r["findings"]),
+        severities=lambda r: inspection.count_by_severity(r["runs"], r["findings"]),
     )
-    metrics = inspection.file_metrics(facts)
-    edges = graph.resolve_imports(facts, inventory)
-    parts = [
-        inspection.syntax_findings(facts),
-        inspection.complexity_findings(facts),
-        inspection.docstring_findings(metrics),
-        inspection.cycle_findings(graph.strongly_connected(edges)),
-        inspection.marker_scan(texts),
-        inspection.missing_package_init(inventory),
-    ]
-    if previous is not None:
-        parts.append(inspection.snapshot_drift(previous, inventory))
-    findings = inspection.union_findings(*parts)
-    runs = inventory.groupBy("project_id", "run_id").agg(F.count("*").alias("file_count"))
-    health = inspection.health_scores(runs, findings)
-    return {
-        "inventory": inventory, "facts": facts, "metrics": metrics, "edges": edges, "findings": findings, "health": health,
-        "severities": inspection.count_by_severity(runs, findings),
-    }
 
 
 def reasoning_report(findings: DataFrame, runs: DataFrame, edges: DataFrame, nodes: DataFrame) -> Report:
     """RP2: groups, blast radius, hypotheses, drift insight and recommendations."""
-    groups = reasoning.correlation_groups(findings)
     seeds = findings.select("project_id", "run_id", F.col("file_path").alias("node")).distinct()
     seeds = seeds.join(nodes, ["project_id", "run_id", "node"], "left_semi")
-    closure = graph.transitive_dependents(edges, seeds)
-    impact = reasoning.dependency_impact(findings, nodes, graph.direct_dependents(edges), closure)
-    hypotheses = reasoning.hypotheses(findings)
-    hot = reasoning.high_impact_drift(findings, impact)
-    insight = reasoning.drift_insight(findings, runs, hot)
-    return {
-        "groups": groups,
-        "members": reasoning.group_members(groups, findings),
-        "dependents": closure,
-        "impact": impact,
-        "hypotheses": hypotheses,
-        "files": reasoning.code_files(findings),
-        "insight": insight,
-        "high_impact": hot,
-        "recommendations": reasoning.recommendations(groups, impact, hypotheses, insight),
-    }
+    return Report(
+        groups=lambda r: reasoning.correlation_groups(findings),
+        members=lambda r: reasoning.group_members(r["groups"], findings),
+        dependents=lambda r: graph.transitive_dependents(edges, seeds),
+        impact=lambda r: reasoning.dependency_impact(findings, nodes, graph.direct_dependents(edges), r["dependents"]),
+        hypotheses=lambda r: reasoning.hypotheses(findings),
+        files=lambda r: reasoning.code_files(findings),
+        high_impact=lambda r: reasoning.high_impact_drift(findings, r["impact"]),
+        insight=lambda r: reasoning.drift_insight(findings, runs, r["high_impact"]),
+        recommendations=lambda r: reasoning.recommendations(r["groups"], r["impact"], r["hypotheses"], r["insight"]),
+    )
 
 
 def text_report(documents: DataFrame, facts: DataFrame, inventory: DataFrame, sources: DataFrame) -> Report:
@@ -96,35 +105,31 @@ def text_report(documents: DataFrame, facts: DataFrame, inventory: DataFrame, so
     ``documents`` has (project_id, run_id, path, kind, text), ``sources`` the Python texts.
     """
     readmes = documents.where(F.col("kind") == "readme")
-    features = text.distinct_features(text.feature_bullets(readmes))
-    statements = text.requirements(readmes)
-    declared = text.declared_packages(documents.where(F.col("kind") == "dependency_manifest"))
-    imported = text.third_party_packages(facts, inventory)
-    blobs = code.text_blobs(facts, code.comment_lines(sources)).withColumnRenamed("blob", "text")
-    claims = text.claims_union(features, statements)
-    return {
-        "intent": text.merge_intents(documents),
-        "features": features,
-        "requirements": statements,
-        "packages": imported,
-        "mismatch": text.dependency_mismatch(declared, imported),
-        "untraceable": text.keyword_traceability(claims, blobs),
-        "matches": text.best_match(claims, blobs),
-    }
+    manifests = documents.where(F.col("kind") == "dependency_manifest")
+    return Report(
+        intent=lambda r: text.merge_intents(documents),
+        features=lambda r: text.distinct_features(text.feature_bullets(readmes)),
+        requirements=lambda r: text.requirements(readmes),
+        packages=lambda r: text.third_party_packages(facts, inventory),
+        mismatch=lambda r: text.dependency_mismatch(text.declared_packages(manifests), r["packages"]),
+        blobs=lambda r: code.text_blobs(facts, code.comment_lines(sources)).withColumnRenamed("blob", "text"),
+        claims=lambda r: text.claims_union(r["features"], r["requirements"]),
+        untraceable=lambda r: text.keyword_traceability(r["claims"], r["blobs"]),
+        matches=lambda r: text.best_match(r["claims"], r["blobs"]),
+    )
 
 
 def prediction_report(runs: DataFrame, metrics: DataFrame, findings: DataFrame, impact: DataFrame, history: DataFrame) -> Report:
     """RP4: feature vector, risk, debt, failure probability, module ranking and trend."""
-    vectors = prediction.feature_vectors(runs, metrics, findings, impact)
-    scored = prediction.failure_probability(prediction.technical_debt(prediction.regression_risk(vectors)))
-    modules = prediction.module_risk(metrics, impact, findings)
-    return {
-        "features": vectors,
-        "predictions": scored,
-        "modules": modules,
-        "high_risk_modules": prediction.high_risk_modules(modules),
-        "trend": prediction.trend_two(history),
-    }
+    return Report(
+        features=lambda r: prediction.feature_vectors(runs, metrics, findings, impact),
+        predictions=lambda r: prediction.failure_probability(
+            prediction.technical_debt(prediction.regression_risk(r["features"]))
+        ),
+        modules=lambda r: prediction.module_risk(metrics, impact, findings),
+        high_risk_modules=lambda r: prediction.high_risk_modules(r["modules"]),
+        trend=lambda r: prediction.trend_two(history),
+    )
 
 
 def visual_report(
@@ -132,26 +137,31 @@ def visual_report(
     canvas_width: int | None = None, canvas_height: int | None = None,
 ) -> Report:
     """RP5: all visual findings of every comparison and its verdict."""
-    changed = vision.changed_pixels(pairs)
-    pixels, regions = vision.pixel_diff(changed), vision.region_boxes(changed)
-    changes = vision.layout_diff(baseline, current)
-    ratios = vision.layout_change_ratio(changes, baseline, current)
-    issues = vision.consistency_issues(current, canvas_width, canvas_height)
-    findings = (
-        vision.embedding_findings(vision.embedding_diff(embeddings))
-        .unionByName(vision.pixel_findings(pixels, regions))
-        .unionByName(vision.layout_findings(changes, ratios))
-        .unionByName(vision.consistency_findings(issues))
-    )
-    ids = (
-        pairs.select(F.col("pair_id").cast("string").alias("comparison_id"))
-        .unionByName(ratios.select(F.col("layout_id").cast("string").alias("comparison_id")))
-        .distinct()
+
+    def findings(r: Report) -> DataFrame:
+        return (
+            vision.embedding_findings(vision.embedding_diff(embeddings))
+            .unionByName(vision.pixel_findings(r["pixels"], r["regions"]))
+            .unionByName(vision.layout_findings(r["changes"], r["ratios"]))
+            .unionByName(vision.consistency_findings(r["issues"]))
+        )
+
+    def comparisons() -> DataFrame:
+        ids = [pairs.select(F.col("pair_id").alias("c")), embeddings.select(F.col("pair_id").alias("c"))]
+        ids += [side.select(F.col("layout_id").alias("c")) for side in (baseline, current)]
+        named = [rows.select(F.col("c").cast("string").alias("comparison_id")) for rows in ids]
+        return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3]).distinct()
+
+    return Report(
+        changed=lambda r: vision.changed_pixels(pairs),
+        pixels=lambda r: vision.pixel_diff(r["changed"]),
+        regions=lambda r: vision.region_boxes(r["changed"]),
+        changes=lambda r: vision.layout_diff(baseline, current),
+        ratios=lambda r: vision.layout_change_ratio(r["changes"], baseline, current),
+        issues=lambda r: vision.consistency_issues(current, canvas_width, canvas_height),
+        findings=findings,
+        verdicts=lambda r: vision.verdicts(comparisons(), r["findings"]),
     )
-    return {
-        "pixels": pixels, "regions": regions, "changes": changes, "ratios": ratios, "issues": issues,
-        "findings": findings, "verdicts": vision.verdicts(ids, findings),
-    }
 
 
 def recall(records: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
@@ -160,8 +170,12 @@ def recall(records: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFr
     return memory.recall_hydrate(memory.recall_topk(vectors, good), records)
 
 
-def trend_training(records: DataFrame, chunk, limit: int | None = None) -> Report:
+def trend_training(records: DataFrame, chunk: Column, limit: int | None = None) -> Report:
     """RP8: aligned training pairs of each project and both fitted trends."""
-    pairs = prediction.zip_training_pairs(records, limit)
-    series = prediction.run_index(pairs, ["recorded_at", "record_id"], chunk)
-    return {"series": series, "one": prediction.trend_one(series), "two": prediction.trend_two(series)}
+    return Report(
+        series=lambda r: prediction.run_index(
+            prediction.zip_training_pairs(records, limit), ["recorded_at", "record_id"], chunk
+        ),
+        one=lambda r: prediction.trend_one(r["series"]),
+        two=lambda r: prediction.trend_two(r["series"]),
+    )
