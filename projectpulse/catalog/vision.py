@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from projectpulse.catalog import inputs
@@ -185,12 +186,10 @@ SELECT 'supplier-' || l_suppkey || '-' || year(l_shipdate) AS layout_id, l_order
   row_number() OVER (PARTITION BY l_suppkey, year(l_shipdate) ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice) AS ordinal,
   l_partkey % 97 AS x, l_orderkey % 89 AS y, CAST(l_quantity AS BIGINT) AS w, CAST(round(l_discount * 100 + l_tax * 500) AS BIGINT) AS h FROM lineitem
 """)
-cte("overlaps", _overlap_sql("canvas"), ("canvas",))
+cte("overlapping", _overlap_sql("canvas"), ("canvas",))
 
 
 def canvas(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
     order = Window.partitionBy("l_suppkey", "year").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
     return rows.select(
@@ -200,8 +199,8 @@ def canvas(spark, sf_dir):
 
 
 @query("jn9_overlap_pairs", """
-SELECT layout_id, first AS element_id, second AS second_element_id, CASE WHEN ratio >= 0.7 THEN 'high' ELSE 'moderate' END AS risk_level FROM overlaps
-""", ("overlaps",))
+SELECT layout_id, first AS element_id, second AS second_element_id, CASE WHEN ratio >= 0.7 THEN 'high' ELSE 'moderate' END AS risk_level FROM overlapping
+""", ("overlapping",))
 def _(spark, sf_dir):
     return V.overlap_pairs(canvas(spark, sf_dir)).select("layout_id", "element_id", "second_element_id", "risk_level")
 

@@ -87,20 +87,13 @@ def pixel_diff(changed: DataFrame) -> DataFrame:
     return rows.withColumn("risk_level", band("diff_ratio", fixed.PIXEL_BANDS))
 
 
-def _label(positions: np.ndarray, width: int) -> np.ndarray:
-    """Component label (index into positions, sorted) of each changed pixel, 4-connected."""
-    parent = np.arange(len(positions))
-    right = np.searchsorted(positions, positions + 1)
-    below = np.searchsorted(positions, positions + width)
-    a = np.concatenate([parent, parent])
-    b = np.concatenate([right, below])
-    step = np.concatenate([positions + 1, positions + width])
-    inside = b < len(positions)
-    same_row = np.concatenate([positions % width != width - 1, np.ones(len(positions), bool)])
-    keep = inside & same_row
-    a, b, step = a[keep], b[keep], step[keep]
-    linked = positions[b] == step
-    a, b = a[linked], b[linked]
+def _label(keys: np.ndarray, right: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Smallest index of the component of each key; ``right`` and ``below`` are neighbour keys, -1 for none."""
+    here = np.arange(len(keys))
+    a, step = np.concatenate([here, here]), np.concatenate([right, below])
+    b = np.minimum(np.searchsorted(keys, step), len(keys) - 1)
+    linked = keys[b] == step
+    a, b, parent = a[linked], b[linked], here.copy()
     while True:
         low, high = np.minimum(parent[a], parent[b]), np.maximum(parent[a], parent[b])
         if (low == high).all():
@@ -120,26 +113,30 @@ def region_boxes(changed: DataFrame, limit: int | None = MAX_REGIONS) -> DataFra
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
-            for pair, width, positions in batch.itertuples(index=False, name=None):
-                at = np.sort(np.asarray(positions, dtype=np.int64))
-                if not len(at):
-                    continue
-                frame = pd.DataFrame({"root": _label(at, int(width)), "x": at % width, "y": at // width, "at": at})
-                boxes = frame.groupby("root").agg(
-                    x=("x", "min"), y=("y", "min"), right=("x", "max"), bottom=("y", "max"),
-                    changed_pixel_count=("at", "size"), first=("at", "min"),
-                )
-                boxes = boxes.sort_values(["changed_pixel_count", "first"], ascending=[False, True])
-                if limit is not None:
-                    boxes = boxes.head(limit)
-                boxes["width"] = boxes["right"] - boxes["x"] + 1
-                boxes["height"] = boxes["bottom"] - boxes["y"] + 1
-                boxes["region_rank"] = np.arange(1, len(boxes) + 1)
-                boxes["pair_id"] = pair
-                parts.append(boxes)
-            if parts:
-                yield pd.concat(parts)[["pair_id", "region_rank", "x", "y", "width", "height", "changed_pixel_count"]]
+            batch = batch[batch["changed"].map(len) > 0]
+            if batch.empty:
+                continue
+            owner = np.repeat(np.arange(len(batch)), batch["changed"].map(len))
+            at = np.concatenate(batch["changed"].to_numpy()).astype(np.int64)
+            width = batch["width"].to_numpy().astype(np.int64)[owner]
+            stride = int(at.max()) + int(width.max()) + 1  # keeps the pairs of a batch apart
+            keys = owner * stride + at
+            order = np.argsort(keys, kind="stable")
+            keys, owner, at, width = keys[order], owner[order], at[order], width[order]
+            x, y = at % width, at // width
+            root = _label(keys, np.where(x == width - 1, -1, keys + 1), keys + width)
+            boxes = pd.DataFrame({"root": root, "owner": owner, "x": x, "y": y, "at": at}).groupby("root").agg(
+                owner=("owner", "first"), x=("x", "min"), y=("y", "min"), right=("x", "max"), bottom=("y", "max"),
+                changed_pixel_count=("at", "size"), first=("at", "min"),
+            )
+            boxes = boxes.sort_values(["owner", "changed_pixel_count", "first"], ascending=[True, False, True])
+            boxes["region_rank"] = boxes.groupby("owner").cumcount() + 1
+            if limit is not None:
+                boxes = boxes[boxes["region_rank"] <= limit]
+            boxes["width"] = boxes["right"] - boxes["x"] + 1
+            boxes["height"] = boxes["bottom"] - boxes["y"] + 1
+            boxes["pair_id"] = batch["pair_id"].to_numpy()[boxes["owner"]]
+            yield boxes[["pair_id", "region_rank", "x", "y", "width", "height", "changed_pixel_count"]]
 
     pair_type = dict(changed.dtypes)["pair_id"]
     schema = f"pair_id {pair_type}, region_rank bigint, x bigint, y bigint, width bigint, height bigint, changed_pixel_count bigint"

@@ -8,9 +8,10 @@ the chunk is a slice of time, and once more over one summary row per chunk.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -64,16 +65,27 @@ def previous_values(
     return joined.select(*df.columns, *[F.col(f"_prev.{v}").alias(f"prev_{v}") for v in values])
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a loop's state in the reliable checkpoint folder of the cluster."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The reliable checkpoint folder of the session; a temporary one in local mode only."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="projectpulse-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a fresh table or stream checkpoint below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise a loop's state in the reliable checkpoint folder of the cluster."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
