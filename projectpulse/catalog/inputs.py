@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from projectpulse.catalog.registry import cte, table
+from projectpulse.catalog.registry import cte, table, text_table
 from projectpulse.functions import fixed
 
 # --- events as telemetry --------------------------------------------------------------------
@@ -219,7 +219,7 @@ cte("claim_tokens", f"SELECT item_id, {sql_tokens('text')} AS tokens FROM benchm
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         F.lit("corpus").alias("project_id"), F.lit(0).cast("bigint").alias("run_id"),
         F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), "text",
     )
@@ -279,12 +279,11 @@ UNION ALL SELECT layout_id, 'new-' || element_id, ordinal + 1000, tag, x, y, w,
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ordinal of an element is its place in its own order, which is one small group."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    """Elements are ordered by a struct of columns; numbering them would need their layout in one task."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("layout_id"),
         F.col("l_linenumber").cast("string").alias("element_id"),
-        F.row_number().over(order).cast("bigint").alias("ordinal"),
+        F.struct(F.lit(0).alias("fresh"), "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice").alias("ordinal"),
         F.col("l_returnflag").alias("tag"),
         (F.col("l_partkey") % 1000 - 5).alias("x"),
         (F.col("l_suppkey") % 800).alias("y"),
@@ -307,7 +306,8 @@ def elements_now(base: DataFrame) -> DataFrame:
         "h", "text",
     )
     fresh = base.where(tax > 0.075).select(
-        "layout_id", F.concat(F.lit("new-"), "element_id").alias("element_id"), (F.col("ordinal") + 1000).alias("ordinal"),
+        "layout_id", F.concat(F.lit("new-"), "element_id").alias("element_id"),
+        F.col("ordinal").withField("fresh", F.lit(1)).alias("ordinal"),
         "tag", "x", "y", "w", "h", "text",
     )
     return kept.unionByName(fresh)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from projectpulse.catalog import inputs
-from projectpulse.catalog.registry import query, shown, sql_round, table
+from projectpulse.catalog.registry import query, shown, sql_round, table, text_table
 from projectpulse.functions import files as ff
 from projectpulse.functions import fixed
 from projectpulse.functions.scalars import band, per_file, severity_weight
@@ -25,7 +25,7 @@ def sql_band(x: str, bands) -> str:
 
 def document_files(spark, sf_dir):
     """Every document as a text file: project = source, path = language/id."""
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         F.col("source").alias("project_id"), F.lit(0).cast("bigint").alias("run_id"),
         F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text",
         F.encode("text", "UTF-8").alias("content"),
@@ -47,12 +47,12 @@ SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHE
 FROM documents
 """)
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", ff.line_count(F.encode("text", "UTF-8")).alias("line_count"))
+    return text_table(spark, sf_dir, "documents").select("doc_id", ff.line_count(F.encode("text", "UTF-8")).alias("line_count"))
 
 
 @query("fn3_sha256", "SELECT page_id, sha256(html) AS content_hash FROM pages")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", ff.sha256(F.encode("html", "UTF-8")).alias("content_hash"))
+    return text_table(spark, sf_dir, "pages").select("page_id", ff.sha256(F.encode("html", "UTF-8")).alias("content_hash"))
 
 
 @query("fn4_paths", """
@@ -114,7 +114,7 @@ FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i F
 WHERE regexp_matches(part, '[0-9]') GROUP BY ALL
 """)
 def _(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(ff.lines_of("text")).alias("pos", "part"))
+    lines = text_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(ff.lines_of("text")).alias("pos", "part"))
     hits = lines.where(F.col("part").rlike("[0-9]")).groupBy("doc_id")
     return hits.agg(F.count("*").alias("matched_lines"), (F.min("pos") + 1).cast("bigint").alias("first_line"),
                     (F.max("pos") + 1).cast("bigint").alias("last_line"))
@@ -127,7 +127,7 @@ WHERE trim(part) LIKE '#%' AND trim(part) NOT LIKE '#!%' AND trim(regexp_replace
   AND NOT regexp_matches(trim(regexp_replace(trim(part), '^#+', '')), 'coding[:=]\\s*[-\\w.]+') GROUP BY ALL
 """)
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(
+    rows = text_table(spark, sf_dir, "documents").select(
         F.lit("p").alias("project_id"), F.lit(0).alias("run_id"), F.col("doc_id").alias("path"), F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n#  "))).alias("text"))
     return comment_lines(rows).groupBy(F.col("path").alias("doc_id")).agg(F.count("*").alias("comments"))
 
@@ -229,7 +229,7 @@ def python_sources(spark, sf_dir):
     The number of branches of the function is the number of its paragraph lines, capped by
     nothing; the module has a docstring where the document has a quality label.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir, "documents")
     body = F.concat(
         F.lit("import os\nimport numpy as np\nfrom . import helpers\n\n\ndef work(x):\n"),
         F.array_join(F.transform(ff.lines_of("text"), lambda line: F.concat(

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from projectpulse.catalog import inputs
-from projectpulse.catalog.inspection import RUN, python_sources
+from projectpulse.catalog.inspection import _MODULE_LINES, RUN, python_sources
 from projectpulse.catalog.registry import cte, query, shown, sql_round, table
 from projectpulse.functions import files as ff
 from projectpulse.functions import fixed
 from projectpulse.operators import graph, inspection, reasoning as R
 from projectpulse.plans import reports
+from projectpulse.skew import prefix_totals, time_chunk
 from projectpulse.sources.code import code_facts
 
 
@@ -297,7 +297,7 @@ _CHARS = "CAST(100 + l_quantity * 20 AS BIGINT)"
 @query("wn11_pack_batches", f"""
 WITH RECURSIVE items AS (
   SELECT 'supplier-' || l_suppkey AS project_id, CAST(year(l_shipdate) AS BIGINT) AS run_id, {_CHARS} AS chars,
-    row_number() OVER (PARTITION BY l_suppkey, year(l_shipdate) ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice) - 1 AS position,
+    row_number() OVER (PARTITION BY l_suppkey, year(l_shipdate) ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS position,
     sum({_CHARS}) OVER (PARTITION BY l_suppkey, year(l_shipdate)) AS total FROM lineitem),
 fill AS (
   SELECT project_id, run_id, position, chars, total, CAST(0 AS BIGINT) AS batch, chars AS used FROM items WHERE position = 0
@@ -308,11 +308,13 @@ fill AS (
 SELECT project_id, run_id, position, chars, batch FROM fill
 """)
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate").cast("bigint"))
-    order = Window.partitionBy("l_suppkey", "year").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
-    items = rows.select(
-        F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")).alias("project_id"), F.col("year").alias("run_id"),
-        (F.row_number().over(order) - 1).cast("bigint").alias("position"), (100 + F.col("l_quantity") * 20).cast("bigint").alias("chars"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")).alias("project_id"),
+        F.year("l_shipdate").cast("bigint").alias("run_id"), (100 + F.col("l_quantity") * 20).cast("bigint").alias("chars"),
+        "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    numbered = prefix_totals(rows, RUN, order, time_chunk("l_shipdate", 24 * 7), {"position": F.lit(1)})
+    items = numbered.select(*RUN, F.col("position").cast("bigint").alias("position"), "chars")
     return R.pack_batches(items)
 
 
@@ -367,3 +369,16 @@ def _(spark, sf_dir):
     runs = nodes.groupBy(*RUN).agg(F.count("*").alias("file_count"))
     report = reports.reasoning_report(rows, runs, edges, nodes)
     return report["recommendations"].groupBy("category", "priority").agg(F.count("*").alias("recommendations"))
+
+
+@query("rp1_inspection_report", """
+SELECT source AS project_id, count(*) AS file_count, CAST(sum(f) + count(DISTINCT lang) AS BIGINT) AS finding_count,
+  greatest(0.0, least(100.0, CAST(round(CAST(100 - 20.0 * (sum(w) + 3 * count(DISTINCT lang)) / count(*) AS DECIMAL(38,10)), 2) AS DOUBLE))) AS health_score
+FROM (SELECT *, CASE WHEN lang = 'de' THEN 1 ELSE (c >= 10)::INT + (lang <> 'en')::INT END AS f,
+    CASE WHEN lang = 'de' THEN 15 ELSE CASE WHEN c >= 20 THEN 7 WHEN c >= 10 THEN 3 ELSE 0 END + 3 * (lang <> 'en')::INT END AS w
+  FROM (SELECT *, 1 + {lines} AS c FROM documents)) GROUP BY ALL
+""".replace("{lines}", _MODULE_LINES))
+def _(spark, sf_dir):
+    contents = python_sources(spark, sf_dir).withColumn("size_bytes", F.octet_length("content").cast("bigint"))
+    report = reports.inspection_report(contents.select(*RUN, "path", "size_bytes", "content"))
+    return report["health"].select("project_id", "file_count", "finding_count", "health_score")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from projectpulse.functions.scalars import rounded
 from projectpulse.session import configure
+from projectpulse.skew import spread
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -62,6 +63,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, spread over the cores when its file is one scan task."""
+    return spread(table(spark, sf_dir, name))
+
+
 def ts_text(ts) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 

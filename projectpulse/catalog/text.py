@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from projectpulse.catalog import inputs
 from projectpulse.catalog.inspection import RUN, python_sources
 from projectpulse.catalog.inputs import sql_tokens
-from projectpulse.catalog.registry import cte, query, shown, sql_round, table
+from projectpulse.catalog.registry import cte, query, shown, sql_round, table, text_table
 from projectpulse.functions import files as ff
 from projectpulse.functions import fixed
 from projectpulse.functions import text as ft
@@ -29,7 +29,7 @@ def sql_strip(text: str) -> str:
 
 def derived_documents(spark, sf_dir, text):
     """Documents with a text derived from their own, e.g. as Markdown."""
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         F.col("source").alias("project_id"), F.lit(0).cast("bigint").alias("run_id"),
         F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), text.alias("text"))
 
@@ -38,7 +38,7 @@ def derived_documents(spark, sf_dir, text):
 SELECT doc_id, CAST(len(tokens) AS BIGINT) AS token_count, md5(array_to_string(tokens, ' ')) AS token_hash FROM doc_tokens
 """, ("doc_tokens",))
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", ft.tokenize("text").alias("tokens"))
+    rows = text_table(spark, sf_dir, "documents").select("doc_id", ft.tokenize("text").alias("tokens"))
     return rows.select("doc_id", F.size("tokens").cast("bigint").alias("token_count"), F.md5(F.array_join("tokens", " ")).alias("token_hash"))
 
 
@@ -47,7 +47,7 @@ SELECT page_id, CAST(len(tokens) AS BIGINT) AS token_count, md5(array_to_string(
 FROM (SELECT page_id, {sql_tokens('html')} AS tokens FROM pages)
 """)
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", ft.tokenize("html").alias("tokens"))
+    rows = text_table(spark, sf_dir, "pages").select("page_id", ft.tokenize("html").alias("tokens"))
     return rows.select("page_id", F.size("tokens").cast("bigint").alias("token_count"), F.md5(F.array_join("tokens", " ")).alias("token_hash"))
 
 
@@ -57,7 +57,7 @@ FROM (SELECT conv_id, turn, list_distinct({sql_tokens('text')}) AS k FROM conver
 JOIN (SELECT conv_id, turn - 1 AS turn, list_distinct({sql_tokens('text')}) AS k FROM conversations) b USING (conv_id, turn)
 """)
 def _(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", ft.keywords("text").alias("a"))
+    turns = text_table(spark, sf_dir, "conversations").select("conv_id", "turn", ft.keywords("text").alias("a"))
     answers = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
     return shown(turns.join(answers, ["conv_id", "turn"]).select("conv_id", "turn", ft.keyword_overlap("a", "b").alias("overlap")))
 
@@ -76,7 +76,7 @@ SELECT doc_id, nullif({sql_strip("regexp_extract('intro' || chr(10) || '# ' || t
 """)
 def _(spark, sf_dir):
     text = F.concat(F.lit("intro\n# "), "text")
-    return table(spark, sf_dir, "documents").select("doc_id", ft.extract_title(text).alias("title"))
+    return text_table(spark, sf_dir, "documents").select("doc_id", ft.extract_title(text).alias("title"))
 
 
 cte("modal", f"""
@@ -221,7 +221,7 @@ cte("page_tokens", f"SELECT page_id, {sql_tokens('html')} AS tokens FROM pages")
 
 
 def page_documents(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
+    return text_table(spark, sf_dir, "pages").select(
         F.lit("corpus").alias("project_id"), F.lit(0).cast("bigint").alias("run_id"),
         F.lpad(F.col("page_id").cast("string"), 12, "0").alias("path"), F.col("html").alias("text"))
 

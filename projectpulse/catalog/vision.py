@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from projectpulse.catalog import inputs
@@ -21,10 +20,10 @@ def layouts(spark, sf_dir):
 
 
 @query("pr17_box_geometry", """
-SELECT layout_id, ordinal, greatest(w, 0) * greatest(h, 0) AS area, x + w AS "right", y + h AS bottom FROM elements
+SELECT layout_id, element_id, greatest(w, 0) * greatest(h, 0) AS area, x + w AS "right", y + h AS bottom FROM elements
 """, ("elements",))
 def _(spark, sf_dir):
-    return V.box_geometry(inputs.elements(spark, sf_dir)).select("layout_id", "ordinal", "area", "right", "bottom")
+    return V.box_geometry(inputs.elements(spark, sf_dir)).select("layout_id", "element_id", "area", "right", "bottom")
 
 
 cte("zero", "SELECT layout_id, element_id, 'Element ''' || element_id || ''' has non-positive size (' || w || 'x' || h || ').' AS detail FROM elements WHERE w <= 0 OR h <= 0", ("elements",))
@@ -190,11 +189,11 @@ cte("overlapping", _overlap_sql("canvas"), ("canvas",))
 
 
 def canvas(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
-    order = Window.partitionBy("l_suppkey", "year").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
-    return rows.select(
-        F.concat_ws("-", F.lit("supplier"), "l_suppkey", "year").alias("layout_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("element_id"),
-        F.row_number().over(order).cast("bigint").alias("ordinal"), (F.col("l_partkey") % 97).alias("x"), (F.col("l_orderkey") % 89).alias("y"),
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", F.lit("supplier"), "l_suppkey", F.year("l_shipdate")).alias("layout_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("element_id"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice").alias("ordinal"),
+        (F.col("l_partkey") % 97).alias("x"), (F.col("l_orderkey") % 89).alias("y"),
         F.col("l_quantity").cast("bigint").alias("w"), F.round(F.col("l_discount") * 100 + F.col("l_tax") * 500).cast("bigint").alias("h"))
 
 

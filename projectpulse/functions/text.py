@@ -23,6 +23,28 @@ def tokenize(text) -> Column:
     return F.filter(tokens, lambda t: (F.length(t) >= fixed.MIN_TOKEN_LENGTH) & ~t.isin(fixed.STOPWORDS))
 
 
+def term_counts(tokens) -> Column:
+    """(term, n) of an array of tokens, counted inside the row: sort, then run lengths.
+
+    A document is one row, so its counts need no shuffle. The one-element arrays bind the
+    sorted tokens and the run starts to names, so that both are computed once.
+    """
+
+    def runs(ordered: Column) -> Column:
+        opens = F.transform(ordered, lambda x, i: F.when((i == 0) | (x != F.get(ordered, i - 1)), i))
+        starts = F.filter(opens, lambda i: i.isNotNull())
+
+        def lengths(begin: Column) -> Column:
+            return F.transform(begin, lambda p, j: F.struct(
+                F.get(ordered, p).alias("term"),
+                (F.coalesce(F.get(begin, j + 1), F.size(ordered)) - p).cast("bigint").alias("n"),
+            ))
+
+        return F.get(F.transform(F.array(starts), lengths), F.lit(0))
+
+    return F.get(F.transform(F.array(F.sort_array(as_col(tokens))), runs), F.lit(0))
+
+
 def keywords(text) -> Column:
     """Distinct tokens in sorted order."""
     return F.array_sort(F.array_distinct(tokenize(text)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from projectpulse.functions import files as ff
-from projectpulse.skew import cut_lineage
+from projectpulse.skew import cut_lineage, read_tables, write_table
 
 RUN = ["project_id", "run_id"]
 
@@ -64,18 +64,22 @@ def transitive_dependents(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     pairs. ``seeds`` (project_id, run_id, node) restricts the closure to files with findings.
     """
     arcs = cut_lineage(edges.select(*RUN, F.col("dst").alias("at"), F.col("src").alias("dependent")).distinct())
-    frontier = seeds.select(*RUN, F.col("node").alias("seed"), F.col("node").alias("at")).distinct()
     pair = [*RUN, "seed", "dependent"]
-    reached = None
+    known = seeds.select(*RUN, "node").distinct()
+    step = known.withColumnRenamed("node", "seed").join(arcs.withColumnRenamed("at", "seed"), [*RUN, "seed"])
+    step = step.where(F.col("dependent") != F.col("seed")).select(*pair)
+    found: list[str] = []
     while True:
-        step = frontier.join(arcs, [*RUN, "at"]).where(F.col("dependent") != F.col("seed")).select(*pair).distinct()
-        if reached is not None:
-            step = step.join(reached, pair, "left_anti")
-        step = cut_lineage(step)
-        if step.isEmpty():
-            return reached if reached is not None else step
-        reached = step if reached is None else reached.unionByName(step)
-        frontier = step.withColumnRenamed("dependent", "at")
+        path = write_table(step)
+        latest = read_tables(step, [path])
+        if latest.isEmpty():
+            return read_tables(step, found or [path])
+        found.append(path)
+        # one scan over all rounds keeps the plan of a round the same size
+        reached = read_tables(step, found)
+        onward = latest.withColumnRenamed("dependent", "at").join(arcs, [*RUN, "at"])
+        onward = onward.where(F.col("dependent") != F.col("seed")).select(*pair).distinct()
+        step = onward.join(reached, pair, "left_anti")
 
 
 def _trim(edges: DataFrame) -> DataFrame:
@@ -92,59 +96,60 @@ def _trim(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def _spread_minimum(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Propagate the smallest label along edge direction until nothing changes.
+def _smallest_reaching(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node name from which each node can be reached.
 
-    ``labels`` has (project_id, run_id, node, label); a message is combined per receiving
-    node before the shuffle, so a node with very many edges costs one row per task.
+    Every round takes the smallest label of the predecessors and then the label of that
+    label, which also reaches the node; so paths are covered in doubling steps and the
+    number of rounds grows with the logarithm of the longest path. Messages are combined
+    per receiving node before the shuffle: a node with very many edges costs one row per
+    task.
     """
     node = [*RUN, "node"]
-    active = labels
+    nodes = edges.select(*RUN, F.col("src").alias("node")).unionByName(edges.select(*RUN, F.col("dst").alias("node")))
+    labels = cut_lineage(nodes.distinct().withColumn("label", F.col("node")))
     while True:
-        sent = active.select(*RUN, F.col("node").alias("src"), "label").join(edges, [*RUN, "src"])
+        sent = labels.select(*RUN, F.col("node").alias("src"), "label").join(edges, [*RUN, "src"])
         incoming = sent.groupBy(*RUN, F.col("dst").alias("node")).agg(F.min("label").alias("new"))
+        nearer = labels.join(incoming, node, "left").select(
+            *node, F.col("label").alias("old"), F.least("label", F.coalesce("new", "label")).alias("via")
+        )
+        known = labels.select(*RUN, F.col("node").alias("via"), F.col("label").alias("onward"))
         updated = cut_lineage(
-            labels.join(incoming, node, "left").select(
-                *node,
-                F.least("label", F.coalesce("new", "label")).alias("label"),
-                (F.col("new") < F.col("label")).alias("changed"),
-            )
+            nearer.join(known, [*RUN, "via"]).select(*node, F.least("via", "onward").alias("label"), "old")
         )
-        active = updated.where("changed").select(*node, "label")
         labels = updated.select(*node, "label")
-        if active.isEmpty():
+        if updated.where("label < old").isEmpty():
             return labels
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """GR3: members of every strongly connected component of two or more files.
 
-    Colouring: each node takes the smallest node name that reaches it; inside one colour,
-    the nodes that lead back to the colour's own node form its component. Components found
-    are removed, the rest is trimmed, until no edge is left. The component is named after
-    its smallest member.
+    Colouring: each node takes the smallest node name that reaches it. Inside one colour the
+    nodes that lead back to the colour's own node form its component, and the same search on
+    the reversed edges finds them, since that node is the smallest of its colour. Edges
+    between colours lie on no cycle and are dropped, components found are removed, and the
+    rest is trimmed, until no edge is left. A component is named after its smallest member.
     """
     edges = _trim(cut_lineage(edges.select(*RUN, "src", "dst").where(F.col("src") != F.col("dst")).distinct()))
     node, found = [*RUN, "node"], None
     while not edges.isEmpty():
-        nodes = edges.select(*RUN, F.col("src").alias("node")).unionByName(
-            edges.select(*RUN, F.col("dst").alias("node"))
-        ).distinct()
-        colours = _spread_minimum(nodes.withColumn("label", F.col("node")), edges)
+        colours = _smallest_reaching(edges)
         tail = colours.select(*RUN, F.col("node").alias("src"), F.col("label").alias("src_colour"))
         head = colours.select(*RUN, F.col("node").alias("dst"), F.col("label").alias("dst_colour"))
         inside = edges.join(tail, [*RUN, "src"]).join(head, [*RUN, "dst"]).where("src_colour = dst_colour")
         inside = cut_lineage(inside.select(*RUN, "src", "dst"))
-        # walk back from each colour's root: a member is marked once it leads to the root
-        marks = colours.withColumn("mark", F.when(F.col("node") == F.col("label"), 0).otherwise(1))
-        back = _spread_minimum(marks.select(*node, F.col("mark").alias("label")), reverse_edges(inside))
+        back = _smallest_reaching(reverse_edges(inside))
+        back = back.withColumnRenamed("label", "leads_to")
         members = cut_lineage(
-            back.where("label = 0").select(*node).join(colours, node).select(*node, F.col("label").alias("component"))
+            colours.join(back, node).where("label = leads_to").select(*node, F.col("label").alias("component"))
         )
         found = members if found is None else found.unionByName(members)
-        done_src = members.select(*RUN, F.col("node").alias("src"))
-        done_dst = members.select(*RUN, F.col("node").alias("dst"))
-        edges = _trim(edges.join(done_src, [*RUN, "src"], "left_anti").join(done_dst, [*RUN, "dst"], "left_anti"))
+        roots = colours.where("label = node").select(*node)  # a root alone in its colour is done as well
+        done = members.select(*node).unionByName(roots).distinct()
+        done_src, done_dst = done.withColumnRenamed("node", "src"), done.withColumnRenamed("node", "dst")
+        edges = _trim(inside.join(done_src, [*RUN, "src"], "left_anti").join(done_dst, [*RUN, "dst"], "left_anti"))
     if found is None:
         return edges.select(*RUN, F.col("src").alias("node"), F.col("dst").alias("component"))
     sizes = found.groupBy(*RUN, "component").agg(F.count("*").alias("size")).where("size > 1")
@@ -153,7 +158,5 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """GR4 for any undirected graph: smallest node name per component."""
-    both = edges.select(*RUN, "src", "dst").unionByName(reverse_edges(edges)).distinct()
-    both = cut_lineage(both)
-    nodes = both.select(*RUN, F.col("src").alias("node")).distinct()
-    return _spread_minimum(nodes.withColumn("label", F.col("node")), both).withColumnRenamed("label", "component")
+    both = cut_lineage(edges.select(*RUN, "src", "dst").unionByName(reverse_edges(edges)).distinct())
+    return _smallest_reaching(both).withColumnRenamed("label", "component")

@@ -164,10 +164,15 @@ def _top_of_tasks(block: pd.DataFrame) -> Callable[[Iterator[pd.DataFrame]], Ite
                 lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
                 vectors = np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0)
                 scores = np.round(np.clip(matrix @ vectors.T, -1.0, 1.0), 8)
+                names, types = rows["record_id"].to_numpy(), rows["record_type"].to_numpy()
                 for i, query in enumerate(ids):
-                    found = pd.DataFrame({"record_id": rows["record_id"].to_numpy(), "cosine": scores[i]})
+                    row = scores[i]
                     if wanted[i] is not None:
-                        found = found[(rows["record_type"] == wanted[i]).to_numpy()]
+                        row = np.where(types == wanted[i], row, -np.inf)
+                    k = min(limits[i], len(row))
+                    # all rows at or above the k-th score, so that ties are decided by id below
+                    near = np.flatnonzero((row >= np.partition(row, -k)[-k]) & (row > -np.inf))
+                    found = pd.DataFrame({"record_id": names[near], "cosine": row[near]})
                     if query in best:
                         found = pd.concat([best[query], found])
                     best[query] = found.sort_values(["cosine", "record_id"], ascending=[False, True]).head(limits[i])
@@ -177,7 +182,7 @@ def _top_of_tasks(block: pd.DataFrame) -> Callable[[Iterator[pd.DataFrame]], Ite
     return run
 
 
-def recall_topk(records: DataFrame, queries: DataFrame, block_rows: int = 20_000) -> DataFrame:
+def recall_topk(records: DataFrame, queries: DataFrame, block_rows: int = 2_000) -> DataFrame:
     """SO7: the k most similar records of each query's project, exactly.
 
     ``records`` has record_id, project_id, record_type, embedding; ``queries`` has query_id,

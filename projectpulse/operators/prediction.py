@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from projectpulse.functions import fixed
 from projectpulse.functions.scalars import as_col, band, clamp, per_file, percent_text, rounded, severity_weight
+from projectpulse.operators.memory import trend_series
 from projectpulse.skew import prefix_totals
 
 RUN = ["project_id", "run_id"]
@@ -210,7 +211,7 @@ def _duplicated(series: DataFrame) -> DataFrame:
 def trend_one(series: DataFrame, duplicate_current: bool = False) -> DataFrame:
     """AG14: least squares of the health score over the run index, one hash aggregate.
 
-    ``duplicate_current`` counts the newest run twice, as the reference behaviour does.
+    ``duplicate_current`` counts the newest run twice: once as history, once as current.
     """
     if duplicate_current:
         series = _duplicated(series)
@@ -260,10 +261,8 @@ def trend_two(series: DataFrame, duplicate_current: bool = False) -> DataFrame:
 def zip_training_pairs(records: DataFrame, limit: int | None = None) -> DataFrame:
     """JN16, AG32: (health_score, finding_count) of inspection records, oldest first.
 
-    With ``limit`` the oldest N records are kept, as in the reference.
+    With ``limit`` the oldest N records are kept.
     """
-    from projectpulse.operators.memory import trend_series
-
     count = F.coalesce(F.json_array_length(F.get_json_object("payload", "$.findings")), F.lit(0)).cast("bigint")
     rows = trend_series(records.withColumn("finding_count", count), ["inspection"], limit)
     return rows.select("project_id", "record_id", "recorded_at", "health_score", "finding_count")

@@ -196,9 +196,8 @@ def keyword_traceability(
 def term_frequencies(documents: DataFrame) -> DataFrame:
     """AG16: occurrences of each term in each document and their share of its tokens."""
     words = documents.select(*RUN, "path", ft.tokenize("text").alias("tokens"))
-    words = words.select(*RUN, "path", F.size("tokens").alias("total"), F.explode("tokens").alias("term"))
-    counted = words.groupBy(*RUN, "path", "term", "total").agg(F.count("*").alias("n"))
-    return counted.select(*RUN, "path", "term", "n", (F.col("n") / F.col("total")).alias("tf"))
+    counted = words.select(*RUN, "path", F.size("tokens").alias("total"), F.explode(ft.term_counts("tokens")).alias("c"))
+    return counted.select(*RUN, "path", "c.term", "c.n", (F.col("c.n") / F.col("total")).alias("tf"))
 
 
 def inverse_frequencies(frequencies: DataFrame, documents: DataFrame) -> DataFrame:
@@ -251,8 +250,8 @@ def best_match(claims: DataFrame, documents: DataFrame, block_rows: int = 500_00
     frequencies = cut_lineage(term_frequencies(documents))
     idf = cut_lineage(inverse_frequencies(frequencies, documents).select(*RUN, "term", "idf"))
     words = claims.select(*CLAIM, ft.tokenize("text").alias("tokens")).where(F.size("tokens") > 0)
-    counted = words.select(*CLAIM, F.size("tokens").alias("total"), F.explode("tokens").alias("term"))
-    counted = counted.groupBy(*CLAIM, "term", "total").agg(F.count("*").alias("n"))
+    counted = words.select(*CLAIM, F.size("tokens").alias("total"), F.explode(ft.term_counts("tokens")).alias("c"))
+    counted = counted.select(*CLAIM, "c.term", "c.n", "total")
     weighted = counted.join(idf, [*RUN, "term"]).withColumn("w", F.col("n") / F.col("total") * F.col("idf"))
     norms = weighted.groupBy(*CLAIM).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     separator = F.lit("\u0001")

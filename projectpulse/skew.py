@@ -83,10 +83,35 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def write_table(df: DataFrame, name: str = "table") -> str:
+    """Write a DataFrame as a new table in the shared folder; returns its path."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
+def read_tables(df: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """One scan over tables of the same columns as ``df``."""
+    return df.sparkSession.read.schema(df.schema).parquet(*paths)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a loop's state in the reliable checkpoint folder of the cluster."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a loop's state as a table in the shared folder and read it back.
+
+    A table survives lost executors, and unlike a checkpointed plan it has a true size:
+    size estimates that multiply with every join would otherwise grow without bound over
+    the rounds of a loop, and small states are broadcast because they are known to be small.
+    """
+    return read_tables(df, [write_table(df)])
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Split a file scan of fewer tasks than cores before work that is heavy per row.
+
+    A table of many files or row groups is left alone, so no shuffle is added at scale.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def bounded_blocks(df: DataFrame, key: str, max_rows: int) -> Iterator[DataFrame]:
