@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from projectpulse.functions import files as ff
 from projectpulse.functions import fixed
 from projectpulse.functions.scalars import as_col, band, clamp, rounded, severity_weight
+from projectpulse.skew import cut_lineage
 
 RUN = ["project_id", "run_id"]
 FINDING_COLUMNS = [*RUN, "category", "severity", "code", "message", "file_path", "line"]
@@ -92,22 +93,18 @@ def missing_package_init(inventory: DataFrame) -> DataFrame:
 def snapshot_drift(previous: DataFrame, current: DataFrame, baselines: DataFrame | None = None) -> DataFrame:
     """JN1, SE2: files added, removed or modified between two inventories of each run.
 
-    Both sides carry the current run's keys. Keys are unique per side, so one aggregate over
-    the union replaces the full outer join: it combines on the map side and needs one shuffle.
-    ``baselines`` lists runs that have a previous snapshot; by default those of ``previous``.
+    Both sides carry the current run's keys. Paths are unique per side, so the full outer
+    join has no hot key, and a side that already lies partitioned by its keys is not
+    shuffled again. ``baselines`` lists runs that have a previous snapshot; by default
+    those of ``previous``.
     """
-    columns = [*RUN, "relative_path", "content_hash"]
-    tagged = previous.select(*columns, F.lit(1).alias("old")).unionByName(current.select(*columns, F.lit(0).alias("old")))
-    was, now = F.col("old") == 1, F.col("old") == 0
-    sides = tagged.groupBy(*RUN, "relative_path").agg(
-        F.count_if(was).alias("n_old"),
-        F.count_if(now).alias("n_new"),
-        F.max(F.when(was, F.col("content_hash"))).alias("old_hash"),
-        F.max(F.when(now, F.col("content_hash"))).alias("new_hash"),
-    )
+    keys = [*RUN, "relative_path"]
+    old = previous.select(*keys, F.col("content_hash").alias("old_hash"), F.lit(True).alias("was"))
+    new = current.select(*keys, F.col("content_hash").alias("new_hash"), F.lit(True).alias("now"))
+    sides = new.join(old, keys, "full")
     code = (
-        F.when(F.col("n_old") == 0, "FILE_ADDED")
-        .when(F.col("n_new") == 0, "FILE_REMOVED")
+        F.when(F.col("was").isNull(), "FILE_ADDED")
+        .when(F.col("now").isNull(), "FILE_REMOVED")
         .when(F.col("old_hash") != F.col("new_hash"), "FILE_MODIFIED")
     )
     changed = sides.withColumn("code", code).where(F.col("code").isNotNull())
@@ -122,12 +119,13 @@ def snapshot_drift(previous: DataFrame, current: DataFrame, baselines: DataFrame
 def consecutive_drift(inventory: DataFrame, runs: DataFrame) -> DataFrame:
     """Drift of every run against the run before it, all projects at once.
 
-    ``runs`` is the header table (project_id, run_id), one row per run and thus small next
-    to the inventory; AQE broadcasts it when its measured size allows.
+    ``runs`` is the header table (project_id, run_id). The step from each run to the next is
+    written first, so that its size is known: Spark broadcasts it below its own threshold
+    and leaves the inventory unshuffled, and otherwise joins by shuffle, splitting hot runs.
     """
     ordered = Window.partitionBy("project_id").orderBy("run_id")
     steps = runs.select(*RUN).distinct().withColumn("next_run", F.lead("run_id").over(ordered))
-    steps = steps.where(F.col("next_run").isNotNull())
+    steps = cut_lineage(steps.where(F.col("next_run").isNotNull()))
     previous = inventory.join(steps, RUN).select(
         "project_id", F.col("next_run").alias("run_id"), "relative_path", "content_hash"
     )

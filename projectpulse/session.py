@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Python workers see batches of bounded size, however large single files or images are
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
 }
 
 
