@@ -238,7 +238,7 @@ def _score_blocks(claim_vectors: pd.DataFrame) -> Callable[[Iterator[pd.DataFram
     return run
 
 
-def best_match(claims: DataFrame, documents: DataFrame, block_rows: int = 500_000) -> DataFrame:
+def best_match(claims: DataFrame, documents: DataFrame, block_rows: int = 200_000) -> DataFrame:
     """JN8, WN10: the document of highest TF-IDF cosine per claim; null and 0.0 without one.
 
     Exact and without claim-document pairs: documents become one sparse vector row each
@@ -247,11 +247,14 @@ def best_match(claims: DataFrame, documents: DataFrame, block_rows: int = 500_00
     best row per claim before anything is shuffled. Claims beyond one block cost one more
     pass over the document vectors.
     """
-    frequencies = cut_lineage(term_frequencies(documents))
-    idf = cut_lineage(inverse_frequencies(frequencies, documents).select(*RUN, "term", "idf"))
     words = claims.select(*CLAIM, ft.tokenize("text").alias("tokens")).where(F.size("tokens") > 0)
     counted = words.select(*CLAIM, F.size("tokens").alias("total"), F.explode(ft.term_counts("tokens")).alias("c"))
     counted = counted.select(*CLAIM, "c.term", "c.n", "total")
+    claim_terms = counted.select(*RUN, "term").distinct().withColumn("used", F.lit(True))
+    frequencies = cut_lineage(term_frequencies(documents))
+    # both sides have one row per term; the postings then need a single join, whose hot terms AQE can split
+    idf = inverse_frequencies(frequencies, documents).select(*RUN, "term", "idf")
+    idf = cut_lineage(idf.join(claim_terms, [*RUN, "term"], "left"))
     weighted = counted.join(idf, [*RUN, "term"]).withColumn("w", F.col("n") / F.col("total") * F.col("idf"))
     norms = weighted.groupBy(*CLAIM).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     separator = F.lit("\u0001")
@@ -261,9 +264,7 @@ def best_match(claims: DataFrame, documents: DataFrame, block_rows: int = 500_00
         (F.col("w") / F.col("norm")).alias("w"),
     )
     vectors = cut_lineage(vectors)
-    claim_terms = counted.select(*RUN, "term").distinct().withColumn("used", F.lit(True))
     weights = frequencies.join(idf, [*RUN, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    weights = weights.join(claim_terms, [*RUN, "term"], "left")
     term_key = F.concat(F.col("project_id"), separator, F.col("run_id").cast("string"), separator, "term")
     pair = F.when(F.col("used"), F.struct(term_key.alias("t"), F.col("w").alias("w")))
     documents_rows = weights.groupBy(*RUN, "path").agg(

@@ -22,6 +22,10 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else has built."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        # start shuffles fine enough for the largest tables; AQE merges small partitions again
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(8 * context.defaultParallelism))
     return spark
 
 
