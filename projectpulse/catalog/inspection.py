@@ -303,3 +303,22 @@ def _(spark, sf_dir):
     sources = python_sources(spark, sf_dir)
     blobs = text_blobs(code_facts(sources), comment_lines(sources))
     return blobs.select("project_id", "path", F.size(F.split("blob", " ")).cast("bigint").alias("words"))
+
+
+@query("ud1_pattern_overrides", """
+SELECT source AS project_id, count(*) AS findings FROM (SELECT source, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{0085}\\x{2028}\\x{2029}]')) AS part FROM documents)
+WHERE regexp_matches(part, '[0-9]{3,}') GROUP BY ALL
+""")
+def _(spark, sf_dir):
+    found = I.marker_scan(document_files(spark, sf_dir), {"NUMBER": "[0-9]{3,}"}, all_files=True)
+    return found.groupBy("project_id").agg(F.count("*").alias("findings"))
+
+
+@query("ud3_code_facts", """
+SELECT source AS project_id, name, level, count(*) AS imports FROM (
+  SELECT source, unnest([{'name': 'os', 'level': 0}, {'name': 'numpy', 'level': 0}, {'name': '', 'level': 1}], recursive := true) FROM documents WHERE lang <> 'de')
+GROUP BY ALL
+""".replace("SELECT source AS project_id, name, level,", "SELECT source AS project_id, name, CAST(level AS BIGINT) AS level,"))
+def _(spark, sf_dir):
+    facts = code_facts(python_sources(spark, sf_dir)).where(F.col("kind").isin("import", "import_from"))
+    return facts.groupBy("project_id", "name", F.col("level").cast("bigint").alias("level")).agg(F.count("*").alias("imports"))

@@ -10,6 +10,7 @@ from projectpulse.catalog.reasoning import own_impact
 from projectpulse.catalog.registry import cte, query, shown, sql_round, table
 from projectpulse.functions import fixed
 from projectpulse.operators import inspection, prediction as P
+from projectpulse.operators.memory import prediction_summary
 from projectpulse.plans import reports
 from projectpulse.skew import time_chunk
 
@@ -227,3 +228,15 @@ FROM pairs_history GROUP BY ALL
 def _(spark, sf_dir):
     report = reports.trend_training(payload_records(spark, sf_dir), time_chunk("recorded_at", 24 * 365))
     return report["one"].select("project_id", "direction", "data_points_used", "slope_per_run")
+
+
+@query("pr22_prediction_summary", f"""
+SELECT project_id, run_id, 'ML prediction run for ''/src'': regression_risk=' || {sql_band('regression_probability', fixed.PROBABILITY_BANDS)} || ', technical_debt='
+  || {sql_band('debt_score', fixed.DEBT_BANDS)} || ', quality_trend=' || direction || ', failure_probability=' || {sql_band('failure_probability', fixed.PROBABILITY_BANDS)} || '.' AS summary
+FROM failure JOIN ({_trend_sql("slope", "icpt + slope * n", "fit_one")}) USING (project_id)
+""", ("failure", "fit_one"))
+def _(spark, sf_dir):
+    trend = P.trend_one(series(spark, sf_dir)).select("project_id", "direction")
+    rows = scored(spark, sf_dir).join(trend, "project_id")
+    summary = prediction_summary(F.lit("/src"), F.col("regression_level"), F.col("debt_level"), F.col("direction"), F.col("failure_level"))
+    return rows.select(*RUN, summary.alias("summary"))

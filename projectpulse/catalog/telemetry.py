@@ -256,18 +256,19 @@ def _(spark, sf_dir):
 
 
 @query("ag12_recent_sessions", f"""
-SELECT p.project_id, coalesce(n, 0) AS sessions_considered, {sql_round('m', 2)} AS average_success_score,
+SELECT p.project_id, coalesce(n, 0) AS sessions_considered, coalesce(array_to_string(l, ' '), '') AS success_scores, {sql_round('m', 2)} AS average_success_score,
   CASE WHEN coalesce(n, 0) = 0 THEN 'No sessions have been recorded yet.'
     WHEN k = 0 THEN n || ' recent session(s) considered, but none have a computed Success Score yet.'
     WHEN n < 5 THEN 'Average of ' || k || ' session(s) - fewer than 5 exist so far.'
     ELSE 'Average of the ' || k || ' most recent sessions.' END AS message
 FROM (SELECT DISTINCT project_id FROM telemetry) p LEFT JOIN (
-  SELECT project_id, count(*) AS n, count(success_score) AS k, avg(success_score) AS m FROM (
+  SELECT project_id, count(*) AS n, count(success_score) AS k, avg(success_score) AS m, list(success_score ORDER BY r DESC) FILTER (WHERE success_score IS NOT NULL) AS l FROM (
     SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY started_at DESC, ended_at DESC) AS r FROM scored) WHERE r <= 5 GROUP BY ALL) s
   USING (project_id)
 """, ("scored",))
 def _(spark, sf_dir):
-    return S.recent_sessions(scored(spark, sf_dir), projects(spark, sf_dir))
+    rows = S.recent_sessions(scored(spark, sf_dir), projects(spark, sf_dir))
+    return rows.withColumn("success_scores", F.array_join(F.col("success_scores").cast("array<string>"), " "))
 
 
 @query("ag13_session_likelihood", f"""
@@ -353,3 +354,29 @@ FROM scored GROUP BY ALL
 """, ("scored",))
 def _(spark, sf_dir):
     return reports.telemetry_report(inputs.telemetry(spark, sf_dir), NOW, GAP)["totals"]
+
+
+LATER = "2024-01-25 08:30:00"
+
+
+@query("ud4_clock", f"""
+SELECT project_id, count(*) AS snapshots, count(*) FILTER (WHERE code = 1) AS active_snapshots FROM activity
+WHERE recorded_at >= TIMESTAMP '{LATER}' - INTERVAL 1 HOUR GROUP BY ALL
+""", ("activity",))
+def _(spark, sf_dir):
+    return S.recent_activity(inputs.telemetry(spark, sf_dir), LATER)
+
+
+@query("fn23_prediction_basis", f"""
+SELECT t.project_id, CASE WHEN coalesce(h.n, 0) > 0 THEN 'Statistical estimate from ' || h.n || ' derived historical session(s): ' || h.m
+    || ' started around this day-of-week/time-of-day, and the last-hour telemetry window ' || CASE WHEN active THEN 'shows' ELSE 'does not show' END
+    || ' an active signal. Predicted duration/success score are the mean of the ' || least(h.n, 5) || ' most recent session(s).'
+  WHEN recent THEN 'No historical sessions have been derived yet, so the likelihood is based only on whether the last-hour telemetry window shows an active typing/mouse signal - not a trained-model prediction.'
+  ELSE 'No historical sessions have been derived yet and no telemetry was ingested in the last hour; this is a low-confidence baseline heuristic, not a trained-model prediction.' END AS basis
+FROM (SELECT project_id, bool_or(recorded_at >= TIMESTAMP '{NOW}' - INTERVAL 1 HOUR) AS recent,
+    bool_or(recorded_at >= TIMESTAMP '{NOW}' - INTERVAL 1 HOUR AND coalesce(code, 0) = 1) AS active FROM activity GROUP BY ALL) t
+LEFT JOIN (SELECT project_id, count(*) AS n, count(*) FILTER (WHERE isodow(started_at) = isodow(TIMESTAMP '{NOW}') AND least(d, 24 - d) <= 2) AS m
+  FROM (SELECT *, abs(hour(started_at) + minute(started_at) / 60.0 + second(started_at) / 3600.0 - 15.0) AS d FROM sessions) GROUP BY ALL) h USING (project_id)
+""", ("sessions",))
+def _(spark, sf_dir):
+    return S.session_likelihood(inputs.telemetry(spark, sf_dir), scored(spark, sf_dir), NOW).select("project_id", "basis")

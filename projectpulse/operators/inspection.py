@@ -140,6 +140,13 @@ def latest_snapshot(records: DataFrame) -> DataFrame:
     ).select("project_id", "r.*")
 
 
+def snapshot_inventory(latest: DataFrame) -> DataFrame:
+    """SC9: the files of a stored payload as an inventory (project_id, relative_path, content_hash)."""
+    schema = "snapshot struct<files: map<string, struct<content_hash: string>>>"
+    files = latest.select("project_id", F.explode(F.from_json("payload", schema)["snapshot"]["files"]).alias("relative_path", "f"))
+    return files.select("project_id", "relative_path", "f.content_hash")
+
+
 def union_findings(*parts: DataFrame) -> DataFrame:
     """SE1: findings of all analyzers in one table."""
     result = parts[0].select(*FINDING_COLUMNS)

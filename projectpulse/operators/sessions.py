@@ -231,6 +231,10 @@ def recent_sessions(scored: DataFrame, projects: DataFrame) -> DataFrame:
         F.count("*").alias("sessions_considered"),
         F.count("success_score").alias("scored"),
         F.avg("success_score").alias("mean"),
+        # at most five elements, oldest first
+        F.array_sort(F.collect_list(F.when(
+            F.col("success_score").isNotNull(), F.struct((-F.col("recency")).alias("o"), F.col("success_score").alias("s"))
+        ))).alias("listed"),
     )
     considered, scored_n = F.col("sessions_considered"), F.col("scored")
     message = (
@@ -252,6 +256,7 @@ def recent_sessions(scored: DataFrame, projects: DataFrame) -> DataFrame:
         .select(
             "project_id",
             considered,
+            F.coalesce(F.transform("listed", lambda x: x.s), F.array().cast("array<double>")).alias("success_scores"),
             rounded("mean", 2).alias("average_success_score"),
             message.alias("message"),
         )

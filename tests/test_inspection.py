@@ -153,3 +153,11 @@ def test_inspection_report(spark):
     codes = sorted(r.code for r in report["findings"].collect())
     assert codes == ["CIRCULAR_DEPENDENCY", "FORBIDDEN_MARKER_TODO", "MISSING_INIT_FILE"]
     assert report["health"].first().health_score == round(100 - 20 * 13 / 3, 2)
+
+
+def test_baseline_from_the_newest_record(spark):
+    schema = "record_id string, project_id string, record_type string, d string, payload string"
+    body = '{"snapshot": {"files": {"a.py": {"content_hash": "%s", "size_bytes": 3}}}}'
+    data = [("1", "p", "inspection", "2026-01-01", body % "old"), ("2", "p", "inspection", "2026-01-02", body % "new"), ("3", "p", "nlp", "2026-01-03", "{}")]
+    records = spark.createDataFrame(data, schema).selectExpr("*", "cast(d as timestamp) as recorded_at")
+    assert rows(I.snapshot_inventory(I.latest_snapshot(records))) == [("p", "a.py", "new")]
