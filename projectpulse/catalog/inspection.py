@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from projectpulse.catalog import inputs
-from projectpulse.catalog.registry import query, shown, sql_round, table, text_table
+from projectpulse.catalog.registry import query, sql_round, table, text_table
 from projectpulse.functions import files as ff
 from projectpulse.functions import fixed
 from projectpulse.functions.scalars import band, per_file, severity_weight

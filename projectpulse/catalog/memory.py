@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from projectpulse.catalog import inputs
 from projectpulse.catalog.inspection import RUN
 from projectpulse.catalog.registry import cte, query, shown, sql_round, sql_ts, table
-from projectpulse.functions import fixed
 from projectpulse.operators import inspection, memory as M
 from projectpulse.plans import reports
 

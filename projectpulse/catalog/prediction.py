@@ -182,15 +182,16 @@ def _(spark, sf_dir):
     return P.trend_two(series(spark, sf_dir)).drop("summary")
 
 
+_SLOPE_TEXT = "CASE WHEN slope < 0 THEN '-' ELSE '+' END || CAST(abs(round(CAST(slope AS DECIMAL(38,10)), 2)) AS DECIMAL(18,2))"
+
+
 @query("fn23_trend_summary", f"""
-SELECT project_id, 'Health score trend is ' || direction || ' (' || printf('%+.2f', slope_per_run) || ' point(s) per run over ' || data_points_used || ' data point(s)); next run projected at '
-  || printf('%.2f', projected_next_health_score) || ' by a trained linear regression model.' AS summary FROM ({_trend_sql("slope", "icpt + slope * n", "fit_one")})
-WHERE abs(slope_per_run * 100 - floor(slope_per_run * 100) - 0.5) > 0.02
+SELECT project_id, 'Health score trend is ' || direction || ' (' || {_SLOPE_TEXT} || ' point(s) per run over ' || data_points_used || ' data point(s)); next run projected at '
+  || CAST(projected_next_health_score AS DECIMAL(18,2)) || ' by a trained linear regression model.' AS summary
+FROM ({_trend_sql("slope", "icpt + slope * n", "fit_one")}) JOIN (SELECT project_id, slope FROM fit_one) USING (project_id)
 """, ("fit_one",))
 def _(spark, sf_dir):
-    rows = P.trend_one(series(spark, sf_dir))
-    scaled = F.col("slope_per_run") * 100
-    return rows.where(F.abs(scaled - F.floor(scaled) - 0.5) > 0.02).select("project_id", "summary")
+    return P.trend_one(series(spark, sf_dir)).select("project_id", "summary")
 
 
 def payload_records(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from projectpulse.catalog import inputs
 from projectpulse.catalog.inspection import _MODULE_LINES, RUN, python_sources
-from projectpulse.catalog.registry import cte, query, shown, sql_round, table
+from projectpulse.catalog.registry import cte, query, sql_round, table
 from projectpulse.functions import files as ff
 from projectpulse.functions import fixed
 from projectpulse.operators import graph, inspection, reasoning as R

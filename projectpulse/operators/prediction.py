@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from projectpulse.functions import fixed
-from projectpulse.functions.scalars import as_col, band, clamp, per_file, percent_text, rounded, severity_weight
+from projectpulse.functions.scalars import band, clamp, per_file, percent_text, rounded, severity_weight
 from projectpulse.operators.memory import trend_series
 from projectpulse.skew import prefix_totals
 

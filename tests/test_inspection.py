@@ -1,5 +1,3 @@
-import textwrap
-
 from pyspark.sql import functions as F
 
 from conftest import rows
