@@ -185,7 +185,7 @@ def _trend_texts(rows: DataFrame, clause: Column) -> DataFrame:
     summary = F.when(
         enough,
         F.concat(
-            F.format_string("Health score trend is %s (%+.2f point(s) per run over %d data point(s)", "direction", "slope", "n"),
+            F.format_string("Health score trend is %s (%+.2f point(s) per run over %d data point(s)", F.col("direction"), F.round("slope", 10), F.col("n")),
             clause,
             F.format_string("); next run projected at %.2f by a trained linear regression model.", "projected_next_health_score"),
         ),

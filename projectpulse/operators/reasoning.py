@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from projectpulse.functions import fixed
 from projectpulse.functions.scalars import band, priority_weight, rounded, severity_weight, strip
-from projectpulse.skew import cut_lineage, prefix_totals
+from projectpulse.skew import cut_lineage, prefix_totals, read_tables, write_table
 
 RUN = ["project_id", "run_id"]
 REC_COLUMNS = [*RUN, "priority", "category", "title", "description"]
@@ -317,11 +317,11 @@ def pack_batches(items: DataFrame, whole_limit: int = 6000, batch_limit: int = 4
     chunk = F.floor(F.col("position") / 10000)
     sums = prefix_totals(items, RUN, ["position"], chunk, {"before": F.col("chars"), "idx": F.lit(1)})
     totals = items.groupBy(*RUN).agg(F.sum("chars").alias("total"))
-    large = sums.join(totals, RUN).withColumn("cell", F.floor(F.col("before") / batch_limit))
-    single = large.where(F.col("total") <= whole_limit).select(
+    measured = cut_lineage(sums.join(totals, RUN).withColumn("cell", F.floor(F.col("before") / batch_limit)))
+    single = measured.where(F.col("total") <= whole_limit).select(
         *RUN, "position", "chars", F.lit(0).cast("bigint").alias("batch")
     )
-    large = cut_lineage(large.where(F.col("total") > whole_limit))
+    large = measured.where(F.col("total") > whole_limit)
     # an item's successor lies in its own cell or the next one
     seen = large.select(*RUN, "idx", "before", "total", "cell", F.explode(F.array("cell", F.col("cell") - 1)).alias("view"))
     ahead = Window.partitionBy(*RUN, "view").orderBy("before").rangeBetween(Window.currentRow, batch_limit)
@@ -330,12 +330,15 @@ def pack_batches(items: DataFrame, whole_limit: int = 6000, batch_limit: int = 4
     steps = steps.where(~last).select(*RUN, F.col("idx").alias("at"), F.greatest("far", F.col("idx") + 1).alias("to"))
     ends = large.groupBy(*RUN).agg(F.max("idx").alias("end"))
     jumps = cut_lineage(steps.join(ends, RUN).where(F.col("to") <= F.col("end")).select(*RUN, "at", "to"))
-    starts = cut_lineage(large.where("idx = 0").select(*RUN, F.col("idx").alias("at")))
+    starts = large.where("idx = 0").select(*RUN, F.col("idx").alias("at"))
+    found = [write_table(starts)]
     while not jumps.isEmpty():
-        landed = starts.join(jumps, [*RUN, "at"]).select(*RUN, F.col("to").alias("at"))
-        starts = cut_lineage(starts.unionByName(landed).distinct())
+        # the starts known so far are the first 2^k of each run, those landed on the next 2^k
+        landed = read_tables(starts, found).join(jumps, [*RUN, "at"]).select(*RUN, F.col("to").alias("at"))
+        found.append(write_table(landed))
         onward = jumps.select(*RUN, F.col("at").alias("to"), F.col("to").alias("next"))
         jumps = cut_lineage(jumps.join(onward, [*RUN, "to"]).select(*RUN, "at", F.col("next").alias("to")))
+    starts = read_tables(starts, found)
     flagged = large.join(starts.select(*RUN, F.col("at").alias("idx"), F.lit(1).alias("opens")), [*RUN, "idx"], "left")
     flagged = flagged.fillna(0, ["opens"])
     counted = prefix_totals(
