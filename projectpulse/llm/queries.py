@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from projectpulse.llm import line_dedup, substring_dedup
+from projectpulse.llm import decontamination, language_id, line_dedup, metric_join, minhash_forest, sentence_pieces, substring_dedup, token_files, url_filters
 from projectpulse.llm.common import table
+from projectpulse.skew import new_folder
+
+#: folder of the public vocabulary files
+TOKENIZERS = "/opt/tokenizers"
+PIECE_MODEL, BYTE_TOKENIZER = f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/byte_bpe_50k.json"
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +72,111 @@ FROM marked GROUP BY doc_id
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH split AS (
+  SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split
+), rules(rule, rhost, rpath, v) AS (
+  VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
+), fits AS (
+  SELECT host, path, rule, v, row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC, rule) AS rn
+  FROM (SELECT DISTINCT host, path FROM parts) JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+)
+SELECT page_id, parts.host, parts.path, rule, coalesce(v, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT * FROM fits WHERE rn = 1) f ON parts.host = f.host AND parts.path = f.path
+"""
+
+
+@query("op1_url_filters", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_filters.rule_table(spark, [url_filters.parse_rule(text, verdict) for text, verdict in URL_RULES])
+    return url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, hash(list_aggregate(words[p:p + 4], 'string_agg', ' ')) AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS p FROM w WHERE len(words) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN sizes sx ON x = sx.doc_id JOIN sizes sy ON y = sy.doc_id WHERE 100 * c >= 75 * (sx.n + sy.n - c)
+), both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(a, b) AS (SELECT x, x FROM both_ways UNION SELECT a, y FROM reach JOIN both_ways ON b = x),
+roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, w.doc_id) AS component_id, w.doc_id = coalesce(root, w.doc_id) AS kept
+FROM w LEFT JOIN sizes ON w.doc_id = sizes.doc_id LEFT JOIN roots ON w.doc_id = a
+"""
+
+
+@query("op2_minhash_dedup", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END), 'sum') = 0
+), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach(a, b) AS (SELECT x, x FROM links UNION SELECT a, y FROM reach JOIN links ON b = x),
+roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, vec_id) AS component_id, vec_id = coalesce(root, vec_id) AS kept
+FROM embeddings LEFT JOIN counts ON vec_id = x LEFT JOIN roots ON vec_id = a
+"""
+
+
+@query("op3_embedding_dedup", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
+@query("op8_sentence_pieces")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentence_pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL)
+    decoded = sentence_pieces.decode(encoded, PIECE_MODEL)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2(F.encode("decoded_text", "utf-8"), 256).alias("decoded_sha256")
+    )
+
+
+PAGE_TEXT = r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>|&[a-z0-9#]+;"
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages (declared language, address) and documents (declared ``lang``, source as host) in one corpus."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    names, logs = language_id.fit_trigrams(docs, "doc_id", "text", "lang")
+    host, _ = url_filters.host_and_path(F.col("_url"))
+    none = F.lit(None)
+    both = docs.select("doc_id", none.cast("bigint").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit("").alias("suffix"))
+    web = pages.select("page_id", "html", F.col("url").alias("_url")).select("page_id", "html", host.alias("host"))
+    both = both.unionByName(
+        web.select(
+            none.cast("bigint").alias("doc_id"), "page_id", F.regexp_replace("html", PAGE_TEXT, " ").alias("text"),
+            F.regexp_extract("html", r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]+)""", 1).alias("declared"), "host", F.regexp_extract("host", r"\.([a-z]+)(?::\d+)?$", 1).alias("suffix"),
+        )
+    )
+    found = language_id.identify(both, names, logs, F.struct("doc_id", "page_id"), F.col("text"), F.col("declared"), F.col("host"), F.col("suffix"))
+    return found.select("key.doc_id", "key.page_id", "host", "declared", "language", "probability", "kept")
+
+
+@query("op10_token_files")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-shards")
+    token_files.write_shards(table(spark, sf_dir, "documents"), folder, BYTE_TOKENIZER, end_id=0)
+    return token_files.read_shards(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
