@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from projectpulse.llm import common
 
 #: bytes of text whose windows share one hash range
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 12 << 20
 PACKED = "bucket int, kind int, ids binary, keys binary, counts binary, positions binary, hashes binary"
 HITS = "doc_id bigint, row_key bigint, positions binary"
 
