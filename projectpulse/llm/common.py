@@ -7,7 +7,7 @@ pick the columns they are told to and ignore all others, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: rows and bytes of a batch that a Python worker is handed at once
 BATCH_ROWS, BATCH_BYTES = 2000, "8MB"
 #: bytes of text that are turned into arrays at once; a longer text is a block of its own
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
@@ -39,9 +39,10 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, row_key); everything else is left out."""
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def with_row_key(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text, row_key) and, if columns are to be carried along, a struct ``carried`` of them."""
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried)
     return picked.withColumn("row_key", F.xxhash64("doc_id", "text"))
 
 
@@ -124,6 +125,19 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * powers(len(words), inverse=True)[: len(words) - width + 1])
 
 
+def sliding_min(values: np.ndarray, span: int) -> np.ndarray:
+    """Smallest of values[i : i + span] for every whole window."""
+    count = len(values) - span + 1
+    if count <= 0:
+        return np.zeros(0, values.dtype)
+    padded = np.full(-(-len(values) // span) * span, np.iinfo(values.dtype).max, values.dtype)
+    padded[: len(values)] = values
+    rows = padded.reshape(-1, span)
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:count], ahead[span - 1 : span - 1 + count])
+
+
 def first_of_runs(values: np.ndarray) -> np.ndarray:
     """Positions at which a sorted array starts a new value."""
     if not len(values):

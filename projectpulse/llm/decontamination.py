@@ -92,7 +92,7 @@ class Seeds:
         grams = [common.window_hashes(words, gram) for words in items]
         every = np.concatenate([np.zeros(0, np.uint64), *grams])
         self.hashes, place = np.unique(every, return_inverse=True)
-        self.item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
+        self.item = np.repeat(np.arange(len(items)), np.array([len(g) for g in grams], np.int64))
         self.seed, self.offset = place, np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in grams]]).astype(np.int64)
         self.probe = np.zeros(1 << PROBE_BITS, bool)
         self.probe[self.hashes >> np.uint64(64 - PROBE_BITS)] = True
@@ -118,6 +118,8 @@ def _hits(seeds: Seeds, gram: int, reach: int):
             place, number = seeds.find(hashes)
             inside = texts[place] == texts[place + gram - 1]
             place, number = place[inside], number[inside]
+            if not len(place):
+                continue
             heads = common.first_of_runs(texts[place])
             first_word = np.searchsorted(texts, np.arange(rows.num_rows + 1))
             out = {"at": [], "seeds": [], "places": [], "kept_from": [], "words": []}

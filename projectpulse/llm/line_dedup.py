@@ -18,7 +18,7 @@ all lines; rows that repeat an id are one document; an empty table gives an empt
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -158,29 +158,32 @@ def _drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lines = [line for number, line in enumerate(lines) if number not in away]
             dropped.append(counts[-1] - len(lines))
             kept.append("\n".join(lines))
+        carried = ["carried"] if "carried" in batch.schema.names else []
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["row_key"], pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())],
-            names=["doc_id", "row_key", "n_lines", "n_dropped", "kept_text"],
+            [batch["doc_id"], batch["row_key"], pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string()), *[batch[c] for c in carried]],
+            names=["doc_id", "row_key", "n_lines", "n_dropped", "kept_text", *carried],
         )
 
 
 def drop_repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 40, min_docs: int = 5, filter_bits: int = FILTER_BITS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 40, min_docs: int = 5, filter_bits: int = FILTER_BITS, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per document: doc_id, row_key, n_lines (before), n_dropped, kept_text."""
+    """One row per document: doc_id, row_key, n_lines (before), n_dropped, kept_text, and a struct ``carried`` of the columns in ``carry``."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    keyed = common.with_row_key(docs, id_col, text_col)
+    keyed = common.with_row_key(docs, id_col, text_col, carry)
     bits = max(8, filter_bits // SLICES)
     seen = keyed.select("doc_id", "text").mapInArrow(_seen_hashes(min_length), "slice int, once binary, twice binary")
     slices = seen.groupBy("slice").applyInArrow(_fill(bits), "slice int, filter binary").collect()  # filter_bits in all
     filters = spark.sparkContext.broadcast({r["slice"]: bytes(r["filter"]) for r in slices})
-    suspects = cut_lineage(keyed.mapInArrow(_suspects(min_length, filters, bits), "doc_id bigint, row_key bigint, line_no int, line_key string"))
+    suspects = cut_lineage(keyed.select("doc_id", "text", "row_key").mapInArrow(_suspects(min_length, filters, bits), "doc_id bigint, row_key bigint, line_no int, line_key string"))
     counted = suspects.groupBy("line_key").agg(F.count_distinct("doc_id").alias("_docs"), F.max("doc_id").alias("_last"))
     counted = counted.where(F.col("_docs") >= min_docs).select(F.col("line_key").alias("_line"), "_last")
     gone = suspects.join(counted, F.col("line_key") == F.col("_line")).where("doc_id != _last")
     gone = gone.groupBy(F.col("row_key").alias("_key"), F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("gone"))
     joined = keyed.join(gone, (F.col("row_key") == F.col("_key")) & (F.col("doc_id") == F.col("_id")), "left")
-    return joined.select("doc_id", "row_key", "text", "gone").mapInArrow(
-        _drop_lines, "doc_id bigint, row_key bigint, n_lines bigint, n_dropped bigint, kept_text string"
-    )
+    ddl = "doc_id bigint, row_key bigint, n_lines bigint, n_dropped bigint, kept_text string"
+    carried = ["carried"] if carry else []
+    if carry:
+        ddl += f", carried {keyed.schema['carried'].dataType.simpleString()}"
+    return joined.select("doc_id", "row_key", "text", "gone", *carried).mapInArrow(_drop_lines, ddl)

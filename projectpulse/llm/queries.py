@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from projectpulse.llm import decontamination, language_id, line_dedup, metric_join, minhash_forest, sentence_pieces, substring_dedup, token_files, url_filters
+from projectpulse.llm import decontamination, language_id, line_dedup, metric_join, minhash_forest, sentence_pieces, substring_dedup, suffix_dedup, token_files, url_filters
 from projectpulse.llm.common import table
 from projectpulse.skew import new_folder
 
@@ -30,6 +30,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 OP6_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents

@@ -1,0 +1,20 @@
+import os
+import random
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+
+@pytest.fixture(scope="session")
+def words():
+    """Invented words; a fixed seed."""
+    source = random.Random(5)
+    return ["".join(source.choice("abcdefghij") for _ in range(source.randint(2, 7))) for _ in range(400)]
+
+
+@pytest.fixture(scope="session")
+def odd_texts():
+    """Texts that operators have to survive."""
+    return [None, "", " ", "\n", "a", "  two  spaces ", "tab\tand\nline\r\n", "Äpfel ÄPFEL äpfel", "▁ marked ▁▁ text", "日本語 のテキスト", "x" * 5000, "word " * 3000, " odd　spaces here", "<|endoftext|> and </s>", "🙂 emoji 👩‍👩‍👧"]
