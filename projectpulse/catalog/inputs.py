@@ -221,7 +221,7 @@ cte("claim_tokens", f"SELECT item_id, {sql_tokens('text')} AS tokens FROM benchm
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_table(spark, sf_dir, "documents").select(
         F.lit("corpus").alias("project_id"), F.lit(0).cast("bigint").alias("run_id"),
-        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), "text",
+        F.lpad(F.col("doc_id").cast("string"), 19, "0").alias("path"), "text",
     )
 
 

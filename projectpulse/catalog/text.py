@@ -31,7 +31,7 @@ def derived_documents(spark, sf_dir, text):
     """Documents with a text derived from their own, e.g. as Markdown."""
     return text_table(spark, sf_dir, "documents").select(
         F.col("source").alias("project_id"), F.lit(0).cast("bigint").alias("run_id"),
-        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), text.alias("text"))
+        F.lpad(F.col("doc_id").cast("string"), 19, "0").alias("path"), text.alias("text"))
 
 
 @query("fn1_tokenize", """
@@ -94,7 +94,7 @@ def modal_documents(spark, sf_dir):
 
 
 @query("fn7_extract_requirements", f"""
-SELECT source AS project_id, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS source_path, line, md5(clean) AS text_hash, array_to_string(keywords, ' ') AS keywords
+SELECT source AS project_id, lpad(CAST(doc_id AS VARCHAR), 19, '0') AS source_path, line, md5(clean) AS text_hash, array_to_string(keywords, ' ') AS keywords
 FROM (SELECT *, list_sort(list_distinct({sql_tokens('clean')})) AS keywords FROM (SELECT *, {_CLEAN} AS clean FROM modal)) WHERE len(keywords) > 0
 """, ("modal",))
 def _(spark, sf_dir):
@@ -148,7 +148,7 @@ def feature_documents(spark, sf_dir):
 
 
 @query("wn7_feature_bullets", """
-SELECT project_id, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, md5(feature) AS feature_hash, count(*) AS n FROM bullets GROUP BY ALL
+SELECT project_id, lpad(CAST(doc_id AS VARCHAR), 19, '0') AS path, md5(feature) AS feature_hash, count(*) AS n FROM bullets GROUP BY ALL
 """, ("bullets",))
 def _(spark, sf_dir):
     rows = X.feature_bullets(feature_documents(spark, sf_dir))
@@ -156,7 +156,7 @@ def _(spark, sf_dir):
 
 
 @query("se7_distinct_features", """
-SELECT project_id, md5(feature) AS feature_hash, min(lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS path FROM bullets GROUP BY project_id, feature
+SELECT project_id, md5(feature) AS feature_hash, min(lpad(CAST(doc_id AS VARCHAR), 19, '0')) AS path FROM bullets GROUP BY project_id, feature
 """, ("bullets",))
 def _(spark, sf_dir):
     rows = X.distinct_features(X.feature_bullets(feature_documents(spark, sf_dir)))
@@ -223,7 +223,7 @@ cte("page_tokens", f"SELECT page_id, {sql_tokens('html')} AS tokens FROM pages")
 def page_documents(spark, sf_dir):
     return text_table(spark, sf_dir, "pages").select(
         F.lit("corpus").alias("project_id"), F.lit(0).cast("bigint").alias("run_id"),
-        F.lpad(F.col("page_id").cast("string"), 12, "0").alias("path"), F.col("html").alias("text"))
+        F.lpad(F.col("page_id").cast("string"), 19, "0").alias("path"), F.col("html").alias("text"))
 
 
 @query("jn7_claim_overlap", "SELECT CAST(item_id AS VARCHAR) AS claim_id, keyword_count, matched_count, overlap_ratio FROM claim_overlap", ("claim_overlap",))
@@ -262,7 +262,7 @@ cte("tf", "SELECT doc_id, term, count(*) AS n, count(*) / any_value(total) AS tf
 cte("idf", "SELECT term, count(*) AS df, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY ALL", ("tf",))
 
 
-@query("ag16_tf", f"SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, term, n, {sql_round('tf', 6)} AS tf FROM tf", ("tf",))
+@query("ag16_tf", f"SELECT lpad(CAST(doc_id AS VARCHAR), 19, '0') AS path, term, n, {sql_round('tf', 6)} AS tf FROM tf", ("tf",))
 def _(spark, sf_dir):
     return shown(X.term_frequencies(inputs.documents(spark, sf_dir)).select("path", "term", "n", "tf"))
 
@@ -275,7 +275,7 @@ def _(spark, sf_dir):
 
 cte("tfidf_best", """
 SELECT c.item_id, b.path, coalesce(b.score, 0.0) AS score FROM claim_tokens c LEFT JOIN (
-  SELECT item_id, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, score FROM (
+  SELECT item_id, lpad(CAST(doc_id AS VARCHAR), 19, '0') AS path, score FROM (
     SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM (
       SELECT q.item_id, d.doc_id, round(sum(q.w * d.w) / any_value(qn.norm) / any_value(dn.norm), 9) AS score
       FROM (SELECT item_id, term, count(*) / any_value(total) * any_value(idf) AS w FROM (SELECT item_id, len(tokens) AS total, unnest(tokens) AS term FROM claim_tokens) JOIN idf USING (term) GROUP BY ALL) q
@@ -294,8 +294,8 @@ def _(spark, sf_dir):
 
 @query("wn10_best_match", "SELECT CAST(item_id AS VARCHAR) AS claim_id, path AS best_match_file FROM tfidf_best", ("tfidf_best",))
 def _(spark, sf_dir):
-    """The same with blocks so small that the claims need several passes."""
-    rows = X.best_match(inputs.claims(spark, sf_dir), inputs.documents(spark, sf_dir), block_rows=400)
+    """The same with blocks so small that a run has many cells."""
+    rows = X.best_match(inputs.claims(spark, sf_dir), inputs.documents(spark, sf_dir), claim_rows=15, document_rows=400)
     return rows.select("claim_id", "best_match_file")
 
 

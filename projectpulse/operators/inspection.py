@@ -54,21 +54,20 @@ def discover_documents(inventory: DataFrame) -> DataFrame:
 def marker_scan(sources: DataFrame, markers: dict[str, str] | None = None, all_files: bool = False) -> DataFrame:
     """JN15, WN12: one finding per line and marker that occurs on it.
 
-    ``sources`` has (project_id, run_id, path, text). The markers are tested inside the row;
-    files without any of them are dropped before their lines are exploded.
+    ``sources`` has (project_id, run_id, path, text). Patterns are tried on single lines, inside
+    the row of their file; only lines with a hit become rows.
     """
     markers = fixed.FORBIDDEN_MARKERS if markers is None else markers
     if not all_files:
         sources = sources.where(ff.is_python_source("path"))
-    hit_any = None
-    for pattern in markers.values():
-        hit = F.col("text").rlike(pattern)
-        hit_any = hit if hit_any is None else hit_any | hit
-    lines = sources.where(hit_any).select(*RUN, "path", F.posexplode(ff.lines_of("text")).alias("pos", "text_line"))
-    codes = F.array_compact(F.array(*[
-        F.when(F.col("text_line").rlike(pattern), F.lit(name)) for name, pattern in markers.items()
-    ]))
-    hits = lines.select(*RUN, "path", (F.col("pos") + 1).alias("no"), F.explode(codes).alias("marker"))
+
+    def codes(line: Column) -> Column:
+        none = F.lit(None).cast("string")
+        return F.array_compact(F.array(none, *[F.when(line.rlike(pattern), F.lit(name)) for name, pattern in markers.items()]))
+
+    numbered = F.transform(ff.lines_of("text"), lambda line, at: F.struct((at + 1).alias("no"), codes(line).alias("codes")))
+    lines = sources.select(*RUN, "path", F.explode(F.filter(numbered, lambda line: F.size(line.codes) > 0)).alias("line"))
+    hits = lines.select(*RUN, "path", F.col("line.no").alias("no"), F.explode("line.codes").alias("marker"))
     message = F.format_string(
         "Line contains a prohibited '%s' marker; Article 30 forbids placeholder/incomplete code.", "marker"
     )
@@ -257,16 +256,10 @@ def syntax_findings(facts: DataFrame) -> DataFrame:
 def cycle_findings(components: DataFrame) -> DataFrame:
     """GR3 as findings: one per strongly connected component of the import graph.
 
-    The chain in the message names up to 20 members and then the number of all of them, so
-    that no message grows with the data; ``components`` holds every member as a row.
+    The message names the whole chain, as long as the cycle is; ``components`` has its members as rows.
     """
-    sizes = components.groupBy(*RUN, "component").agg(F.count("*").alias("size"))
-    shown = F.array_sort(F.collect_list("node"))
-    order = Window.partitionBy(*RUN, "component").orderBy("node")
-    first = components.withColumn("position", F.row_number().over(order)).where(F.col("position") <= 20)
-    grouped = first.groupBy(*RUN, "component").agg(shown.alias("members")).join(sizes, [*RUN, "component"])
-    rest = F.when(F.col("size") > 20, F.format_string(" -> ... (%d members)", "size")).otherwise("")
-    chain = F.concat(F.array_join("members", " -> "), rest, F.lit(" -> "), F.element_at("members", 1))
+    grouped = components.groupBy(*RUN, "component").agg(F.array_sort(F.collect_list("node")).alias("members"))
+    chain = F.concat(F.array_join("members", " -> "), F.lit(" -> "), F.element_at("members", 1))
     message = F.concat(F.lit("Circular import dependency detected: "), chain)
     return grouped.select(
         *_finding("dependency", "error", "CIRCULAR_DEPENDENCY", message, F.element_at("members", 1))

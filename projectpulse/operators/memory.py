@@ -6,8 +6,6 @@ health_score), stored partitioned by project_id and record_type.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +13,7 @@ from pyspark.sql import functions as F
 
 from projectpulse.functions import fixed
 from projectpulse.functions.scalars import as_col, clamp, rounded, strip
-from projectpulse.skew import bounded_blocks
+from projectpulse.skew import block_pairs
 
 
 def check_record_types(records: DataFrame) -> DataFrame:
@@ -26,18 +24,18 @@ def check_record_types(records: DataFrame) -> DataFrame:
 
 
 def keep_latest(records: DataFrame) -> DataFrame:
-    """SC5: one row per record_id, the newest by (recorded_at, seq).
+    """SC5: one row per project and record_id, the newest by (recorded_at, seq).
 
     An aggregate, not a window: copies of one id combine before the shuffle, so a record
     delivered very often does not gather in one task.
     """
     row = F.struct(*records.columns)
-    latest = records.groupBy("record_id").agg(F.max_by(row, F.struct("recorded_at", "seq")).alias("r"))
+    latest = records.groupBy("project_id", "record_id").agg(F.max_by(row, F.struct("recorded_at", "seq")).alias("r"))
     return latest.select("r.*")
 
 
 def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """SC5: insert or replace by record_id; delivering the same rows twice changes nothing."""
+    """SC5: insert or replace by project and record_id; delivering the same rows twice changes nothing."""
     return keep_latest(stored.unionByName(incoming))
 
 
@@ -144,65 +142,47 @@ def distance_similarity(distance) -> Column:
     return rounded(1.0 - clamp(distance, 0.0, 2.0) / 2.0, 4)
 
 
-def _top_of_tasks(block: pd.DataFrame) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Best records per query among one task's records: matrix products, cut to k at once."""
-    by_project = {}
-    for project, group in block.groupby("project_id", sort=False):
-        matrix = np.array(group["embedding"].tolist(), dtype=float)
-        lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
-        by_project[project] = (group["query_id"].tolist(), group["top_k"].tolist(), group["record_type"].tolist(), matrix)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[object, pd.DataFrame] = {}
-        for batch in batches:
-            for project, rows in batch.groupby("project_id", sort=False):
-                if project not in by_project:
-                    continue
-                ids, limits, wanted, matrix = by_project[project]
-                vectors = np.array(rows["embedding"].tolist(), dtype=float)
-                lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
-                vectors = np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0)
-                scores = np.round(np.clip(matrix @ vectors.T, -1.0, 1.0), 8)
-                names, types = rows["record_id"].to_numpy(), rows["record_type"].to_numpy()
-                for i, query in enumerate(ids):
-                    row = scores[i]
-                    if wanted[i] is not None:
-                        row = np.where(types == wanted[i], row, -np.inf)
-                    k = min(limits[i], len(row))
-                    # all rows at or above the k-th score, so that ties are decided by id below
-                    near = np.flatnonzero((row >= np.partition(row, -k)[-k]) & (row > -np.inf))
-                    found = pd.DataFrame({"record_id": names[near], "cosine": row[near]})
-                    if query in best:
-                        found = pd.concat([best[query], found])
-                    best[query] = found.sort_values(["cosine", "record_id"], ascending=[False, True]).head(limits[i])
-        for query, found in best.items():
-            yield found.assign(query_id=query)[["query_id", "record_id", "cosine"]]
-
-    return run
-
-
-def recall_topk(records: DataFrame, queries: DataFrame, block_rows: int = 2_000) -> DataFrame:
+def _unit_rows(column: pd.Series) -> np.ndarray:
+    matrix = np.array(column.tolist(), dtype=float)
+    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
+
+
+def _top_of_cell(queries: pd.DataFrame, records: pd.DataFrame) -> pd.DataFrame:
+    """Best records per query of one cell: a matrix product, cut to k rows per query at once."""
+    if queries.empty or records.empty:
+        return pd.DataFrame(columns=["project_id", "query_id", "top_k", "record_id", "cosine"])
+    scores = np.round(np.clip(_unit_rows(queries["embedding"]) @ _unit_rows(records["embedding"]).T, -1.0, 1.0), 8)
+    names, types = records["record_id"].to_numpy(), records["record_type"].to_numpy()
+    parts = []
+    for row, query in zip(scores, queries.itertuples(index=False), strict=True):
+        if query.record_type is not None:
+            row = np.where(types == query.record_type, row, -np.inf)
+        k = min(query.top_k, len(row))
+        # all rows at or above the k-th score, so that ties are decided by id
+        near = np.flatnonzero((row >= np.partition(row, -k)[-k]) & (row > -np.inf))
+        found = pd.DataFrame({"record_id": names[near], "cosine": row[near]})
+        found = found.sort_values(["cosine", "record_id"], ascending=[False, True]).head(k)
+        parts.append(found.assign(project_id=query.project_id, query_id=query.query_id, top_k=query.top_k))
+    return pd.concat(parts)[["project_id", "query_id", "top_k", "record_id", "cosine"]]
+
+
+def recall_topk(records: DataFrame, queries: DataFrame, query_rows: int = 500, record_rows: int = 10_000) -> DataFrame:
     """SO7: the k most similar records of each query's project, exactly.
 
     ``records`` has record_id, project_id, record_type, embedding; ``queries`` has query_id,
-    project_id, embedding, top_k, record_type (null for any). Queries travel to the tasks in
-    blocks of bounded size; a task keeps k rows per query, so only queries x k x tasks rows
-    are shuffled, whatever the size of a project.
+    project_id, embedding, top_k, record_type (null for any); a query is named by its project
+    and id. Both sides of a project are cut into blocks, each pair of blocks keeps k rows per
+    query, and only those are shuffled and ranked, whatever the size of a project.
     """
     slim = records.select("record_id", "project_id", "record_type", F.col("embedding").cast("array<double>"))
-    wanted = queries.select("query_id", "project_id", F.col("embedding").cast("array<double>"), "top_k", "record_type")
-    record_type = dict(slim.dtypes)["record_id"]
-    query_type = dict(wanted.dtypes)["query_id"]
-    found = None
-    for block in bounded_blocks(wanted, "query_id", block_rows):
-        schema = f"query_id {query_type}, record_id {record_type}, cosine double"
-        part = slim.mapInPandas(_top_of_tasks(block.toPandas()), schema)
-        found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "record_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).join(
-        wanted.select("query_id", "project_id", "top_k"), "query_id"
-    ).where(F.col("rank") <= F.col("top_k"))
+    wanted = queries.select("query_id", "project_id", F.col("embedding").cast("array<double>"), F.col("top_k").cast("int").alias("top_k"), "record_type")
+    kinds = dict(slim.dtypes) | {"query_id": dict(wanted.dtypes)["query_id"]}
+    left, right = block_pairs(wanted, slim, ["project_id"], "query_id", "record_id", query_rows, record_rows)
+    schema = f"project_id {kinds['project_id']}, query_id {kinds['query_id']}, top_k int, record_id {kinds['record_id']}, cosine double"
+    found = left.cogroup(right).applyInPandas(_top_of_cell, schema)
+    order = Window.partitionBy("project_id", "query_id").orderBy(F.desc("cosine"), "record_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("top_k"))
     similarity = distance_similarity(1.0 - F.col("cosine"))
     return ranked.select("query_id", "project_id", "record_id", "rank", similarity.alias("similarity_score"))
 

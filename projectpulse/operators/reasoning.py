@@ -91,7 +91,7 @@ def _knowledge_columns(code: Column) -> dict[str, Column]:
     The table of explanations is a fixed handful of entries, so the lookup is a CASE inside
     the row and needs no join.
     """
-    marker = F.substring(code, len(fixed.MARKER_CODE_PREFIX) + 1, 1000)
+    marker = F.substr(code, F.lit(len(fixed.MARKER_CODE_PREFIX) + 1))
     cause, explanation, steps = F, F, F
     for name, (c, e, s) in fixed.FINDING_KNOWLEDGE.items():
         cause, explanation = cause.when(code == name, F.lit(c)), explanation.when(code == name, F.lit(e))

@@ -6,7 +6,7 @@ Documents are (project_id, run_id, path, text), claims (project_id, run_id, clai
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -17,10 +17,12 @@ from projectpulse.functions import files as ff
 from projectpulse.functions import fixed
 from projectpulse.functions import text as ft
 from projectpulse.functions.scalars import rounded, strip
-from projectpulse.skew import bounded_blocks, cut_lineage
+from projectpulse.skew import block_pairs, cut_lineage
 
 RUN = ["project_id", "run_id"]
 CLAIM = [*RUN, "claim_id"]
+#: document x claim scores that a task holds at once
+SCORES_AT_ONCE = 1_000_000
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
@@ -100,21 +102,21 @@ def merge_intents(documents: DataFrame) -> DataFrame:
 def claims_union(features: DataFrame, requirement_rows: DataFrame) -> DataFrame:
     """SE3: features first, then requirement texts; claim_id tells kind and place."""
     left = features.select(
-        *RUN, F.lit("feature").alias("kind"), F.concat_ws(":", F.lit("f"), "path", F.lpad(F.col("pos").cast("string"), 9, "0")).alias("claim_id"),
+        *RUN, F.lit("feature").alias("kind"), F.concat_ws(":", F.lit("f"), "path", F.lpad(F.col("pos").cast("string"), 19, "0")).alias("claim_id"),
         F.col("feature").alias("text"), F.lit(None).cast("string").alias("source_path"), F.lit(None).cast("int").alias("line"),
     )
     right = requirement_rows.select(
-        *RUN, F.lit("requirement").alias("kind"), F.concat_ws(":", F.lit("r"), "source_path", F.lpad(F.col("line").cast("string"), 9, "0")).alias("claim_id"),
+        *RUN, F.lit("requirement").alias("kind"), F.concat_ws(":", F.lit("r"), "source_path", F.lpad(F.col("line").cast("string"), 19, "0")).alias("claim_id"),
         "text", "source_path", "line",
     )
     return left.unionByName(right)
 
 
 def third_party_packages(facts: DataFrame, inventory: DataFrame) -> DataFrame:
-    """AG30: top-level absolute imports that are neither standard library nor internal."""
+    """AG30: top-level absolute imports of non-test files that are neither standard library nor internal."""
     name = F.substring_index("name", ".", 1)
     absolute = (F.col("kind").isin("import", "import_from")) & (F.coalesce("level", F.lit(0)) == 0) & (F.col("name") != "")
-    imported = facts.where(absolute).select(*RUN, name.alias("package")).distinct()
+    imported = facts.where(absolute & ff.is_python_source("path")).select(*RUN, name.alias("package")).distinct()
     stdlib = sorted(set(sys.stdlib_module_names) | {"__future__"})
     imported = imported.where(~F.col("package").isin(stdlib))
     python = inventory.where(ff.is_python_source("relative_path"))
@@ -208,44 +210,46 @@ def inverse_frequencies(frequencies: DataFrame, documents: DataFrame) -> DataFra
     return df.join(total, RUN).select(*RUN, "term", "df", idf.alias("idf"))
 
 
-def _score_blocks(claim_vectors: pd.DataFrame) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Best document per claim of one task: sparse products of a batch, reduced at once."""
-    claim_index = {key: i for i, key in enumerate(claim_vectors["claim_key"].unique())}
-    keys = list(claim_index)
-    postings: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-    for term, group in claim_vectors.groupby("term_key", sort=False):
-        postings[term] = (group["claim_key"].map(claim_index).to_numpy(), group["w"].to_numpy())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = np.zeros(len(keys))
-        path = np.full(len(keys), None, dtype=object)
-        for batch in batches:
-            for name, terms, weights, norm in batch.itertuples(index=False, name=None):
-                scores = np.zeros(len(keys))
-                for term, weight in zip(terms, weights):
-                    hit = postings.get(term)
-                    if hit is not None:
-                        scores[hit[0]] += hit[1] * weight
-                scores = np.round(scores / norm, 10)
-                better = (scores > best) | ((scores == best) & (scores > 0) & np.array([p is None or name < p for p in path]))
-                best[better] = scores[better]
-                path[better] = name
-        found = best > 0
-        yield pd.DataFrame({
-            "claim_key": np.array(keys, dtype=object)[found], "path": path[found], "score": best[found],
-        })
-
-    return run
-
-
-def best_match(claims: DataFrame, documents: DataFrame, block_rows: int = 200_000) -> DataFrame:
+def _score_cell(claims: pd.DataFrame, documents: pd.DataFrame) -> pd.DataFrame:
+    """Best document per claim of one cell: sparse products over the claims' postings, reduced at once."""
+    if claims.empty or documents.empty:
+        return pd.DataFrame(columns=[*CLAIM, "path", "score"])
+    claims, documents = claims.reset_index(drop=True), documents.sort_values("path", kind="stable").reset_index(drop=True)
+    claim_of = np.repeat(np.arange(len(claims)), [len(t) for t in claims["terms"]])
+    vocabulary, claim_term = np.unique(np.concatenate(claims["terms"].to_list()).astype(str), return_inverse=True)
+    order = np.argsort(claim_term, kind="stable")
+    owners, weights = claim_of[order], np.concatenate(claims["weights"].to_list())[order]
+    starts = np.searchsorted(claim_term[order], np.arange(len(vocabulary) + 1))
+    best, place = np.zeros(len(claims)), np.full(len(claims), -1)
+    step = max(1, SCORES_AT_ONCE // max(1, len(claims)))
+    for low in range(0, len(documents), step):
+        some = documents.iloc[low : low + step]
+        words = np.concatenate(some["terms"].to_list()).astype(str)
+        term = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+        known = vocabulary[term] == words
+        row = np.repeat(np.arange(len(some)), [len(t) for t in some["terms"]])[known]
+        weight, term = np.concatenate(some["weights"].to_list())[known], term[known]
+        size = starts[term + 1] - starts[term]
+        at = np.repeat(starts[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        cell = np.repeat(row, size) * len(claims) + owners[at]
+        sums = np.bincount(cell, np.repeat(weight, size) * weights[at], len(some) * len(claims)).reshape(len(some), len(claims))
+        scores = np.round(sums / some["norm"].to_numpy()[:, None], 10)
+        top = scores.argmax(axis=0)  # the first of equal ones, and paths are in order
+        high = scores[top, np.arange(len(claims))]
+        better = high > best
+        best[better], place[better] = high[better], top[better] + low
+    found = np.flatnonzero(best > 0)
+    kept = claims.loc[found, CLAIM].reset_index(drop=True)
+    return kept.assign(path=documents["path"].to_numpy()[place[found]], score=best[found])
+
+
+def best_match(claims: DataFrame, documents: DataFrame, claim_rows: int = 1_000, document_rows: int = 5_000) -> DataFrame:
     """JN8, WN10: the document of highest TF-IDF cosine per claim; null and 0.0 without one.
 
-    Exact and without claim-document pairs: documents become one sparse vector row each
-    (only terms that some claim uses, and the norm over all terms); the claims' vectors are
-    sent to the tasks in blocks of bounded size, and every task reduces its documents to one
-    best row per claim before anything is shuffled. Claims beyond one block cost one more
-    pass over the document vectors.
+    Documents and claims become one sparse vector row each (documents keep only terms that some
+    claim of their run uses, and the norm over all terms). Both sides of a run are cut into blocks
+    of bounded size; every pair of blocks is one cell, scored on its own and reduced to one row per
+    claim before the last shuffle. Of equal scores the first path wins.
     """
     words = claims.select(*CLAIM, ft.tokenize("text").alias("tokens")).where(F.size("tokens") > 0)
     counted = words.select(*CLAIM, F.size("tokens").alias("total"), F.explode(ft.term_counts("tokens")).alias("c"))
@@ -255,36 +259,18 @@ def best_match(claims: DataFrame, documents: DataFrame, block_rows: int = 200_00
     # both sides have one row per term; the postings then need a single join, whose hot terms AQE can split
     idf = inverse_frequencies(frequencies, documents).select(*RUN, "term", "idf")
     idf = cut_lineage(idf.join(claim_terms, [*RUN, "term"], "left"))
+    square = F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
+    pairs = lambda pair: F.array_sort(F.collect_list(pair)).alias("pairs")
     weighted = counted.join(idf, [*RUN, "term"]).withColumn("w", F.col("n") / F.col("total") * F.col("idf"))
-    norms = weighted.groupBy(*CLAIM).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    separator = F.lit("\u0001")
-    vectors = weighted.join(norms, CLAIM).select(
-        F.concat(F.col("project_id"), separator, F.col("run_id").cast("string"), separator, F.col("claim_id").cast("string")).alias("claim_key"),
-        F.concat(F.col("project_id"), separator, F.col("run_id").cast("string"), separator, "term").alias("term_key"),
-        (F.col("w") / F.col("norm")).alias("w"),
-    )
-    vectors = cut_lineage(vectors)
+    claim_rows_of = weighted.groupBy(*CLAIM).agg(square, pairs(F.struct("term", "w")))
+    claim_vectors = claim_rows_of.select(*CLAIM, F.col("pairs.term").alias("terms"), F.transform("pairs.w", lambda w: w / F.col("norm")).alias("weights"))
     weights = frequencies.join(idf, [*RUN, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    term_key = F.concat(F.col("project_id"), separator, F.col("run_id").cast("string"), separator, "term")
-    pair = F.when(F.col("used"), F.struct(term_key.alias("t"), F.col("w").alias("w")))
-    documents_rows = weights.groupBy(*RUN, "path").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(pair).alias("pairs")
-    )
-    documents_rows = cut_lineage(
-        documents_rows.where(F.size("pairs") > 0).select("path", F.col("pairs.t").alias("terms"), F.col("pairs.w").alias("weights"), "norm")
-    )
-    found = None
-    for block in bounded_blocks(vectors, "claim_key", block_rows):
-        scorer = _score_blocks(block.toPandas())
-        part = documents_rows.mapInPandas(scorer, "claim_key string, path string, score double")
-        found = part if found is None else found.unionByName(part)
-    top = found.groupBy("claim_key").agg(F.max_by(F.struct("path", "score"), F.struct(F.col("score"), _reverse_order("path"))).alias("b"))
-    top = top.select("claim_key", "b.*")
-    keyed = words.select(*CLAIM, F.concat(F.col("project_id"), separator, F.col("run_id").cast("string"), separator, F.col("claim_id").cast("string")).alias("claim_key"))
-    joined = keyed.join(top, "claim_key", "left")
-    return joined.select(*CLAIM, F.col("path").alias("best_match_file"), rounded(F.coalesce("score", F.lit(0.0)), 4).alias("similarity_score"))
-
-
-def _reverse_order(path: str) -> Column:
-    """Orders strings backwards, so that max_by keeps the first path among equal scores."""
-    return F.transform(F.split(F.col(path), ""), lambda ch: -F.ascii(ch))
+    shared = weights.groupBy(*RUN, "path").agg(square, pairs(F.when(F.col("used"), F.struct("term", "w"))))
+    document_vectors = shared.where(F.size("pairs") > 0).select(*RUN, "path", F.col("pairs.term").alias("terms"), F.col("pairs.w").alias("weights"), "norm")
+    left, right = block_pairs(cut_lineage(claim_vectors), cut_lineage(document_vectors), RUN, "claim_id", "path", claim_rows, document_rows)
+    kinds = dict(words.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in CLAIM) + ", path string, score double"
+    found = left.cogroup(right).applyInPandas(_score_cell, schema)
+    top = found.groupBy(*CLAIM).agg(F.min(F.struct((-F.col("score")).alias("s"), "path")).alias("b"))
+    joined = words.select(*CLAIM).join(top, CLAIM, "left")
+    return joined.select(*CLAIM, F.col("b.path").alias("best_match_file"), rounded(F.coalesce(-F.col("b.s"), F.lit(0.0)), 4).alias("similarity_score"))

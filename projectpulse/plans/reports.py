@@ -55,7 +55,8 @@ def inspection_report(contents: DataFrame, previous: DataFrame | None = None) ->
     ``previous`` is the inventory of the runs' baselines, keyed by the current run. The code
     facts are written once to the checkpoint folder, since six analyzers read them.
     """
-    texts = contents.where(F.col("content").isNotNull()).withColumn("text", F.decode(F.col("content"), "UTF-8"))
+    # null where the bytes are not UTF-8: such a file has a finding of its own, and the run goes on
+    texts = contents.withColumn("text", F.try_validate_utf8(F.col("content").cast("string"))).where("text is not null")
 
     def findings(r: Report) -> DataFrame:
         parts = [

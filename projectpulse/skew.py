@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -114,16 +114,19 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def bounded_blocks(df: DataFrame, key: str, max_rows: int) -> Iterator[DataFrame]:
-    """Split a side by key hash into blocks of about ``max_rows`` rows, all of them covered.
+def block_pairs(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, left_rows: int, right_rows: int
+) -> tuple[GroupedData, GroupedData]:
+    """Both sides grouped into cells (keys, block of left, block of right) of bounded size, to be cogrouped.
 
-    The caller broadcasts one block at a time, so no broadcast grows with the data; a side
-    beyond the bound costs further passes over the other side instead.
+    Every row of a key meets every row of the other side with the same key in exactly one
+    cell, so a hot key is many cells. Rows whose key the other side lacks are left out.
     """
-    total = df.count()
-    blocks = max(1, -(-total // max_rows))
-    if blocks == 1:
-        yield df
-        return
-    for block in range(blocks):
-        yield df.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block)
+    count = lambda df, rows, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    blocks = cut_lineage(count(left, left_rows, "_ln").join(count(right, right_rows, "_rn"), list(keys)))
+    number = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = left.join(blocks, list(keys)).withColumn("_l", number(left_id, "_ln")).withColumn("_r", every("_rn"))
+    two = right.join(blocks, list(keys)).withColumn("_r", number(right_id, "_rn")).withColumn("_l", every("_ln"))
+    cell = [*keys, "_l", "_r"]
+    return one.drop("_ln", "_rn").groupBy(*cell), two.drop("_ln", "_rn").groupBy(*cell)

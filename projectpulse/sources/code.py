@@ -102,7 +102,7 @@ def comment_lines(sources: DataFrame) -> DataFrame:
 
 
 def text_blobs(facts: DataFrame, comments: DataFrame) -> DataFrame:
-    """AG31: docstring first lines, symbol names and comments of each parsed file.
+    """AG31: docstring first lines, symbol names and comments of each parsed file that is no test.
 
     The list that is collected holds the words of one file, bounded by its size.
     """
@@ -114,7 +114,7 @@ def text_blobs(facts: DataFrame, comments: DataFrame) -> DataFrame:
     notes = comments.join(parsed, ["project_id", "run_id", "path"], "left_semi").select(
         "project_id", "run_id", "path", F.lit(1).alias("part"), "pos", F.col("comment").alias("words")
     )
-    words = symbols.unionByName(notes)
+    words = symbols.unionByName(notes).where(ff.is_python_source("path"))  # test files implement nothing
     ordered = F.array_sort(F.collect_list(F.struct("part", "pos", "words")))
     filled = F.filter(F.transform(ordered, lambda w: w.words), lambda w: w != "")
     return words.groupBy("project_id", "run_id", "path").agg(F.array_join(filled, " ").alias("blob"))

@@ -82,7 +82,7 @@ def stream_likelihood(rows: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
 
 def stream_dedupe(records: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
     """ST7: re-delivered records are dropped while the watermark remembers their id."""
-    return records.withWatermark("recorded_at", delay).dropDuplicatesWithinWatermark(["record_id"])
+    return records.withWatermark("recorded_at", delay).dropDuplicatesWithinWatermark(["project_id", "record_id"])
 
 
 def late_rows(rows: DataFrame, delay: str = DEFAULT_DELAY, now: str = "ingested_at") -> DataFrame:

@@ -159,3 +159,40 @@ def test_baseline_from_the_newest_record(spark):
     data = [("1", "p", "inspection", "2026-01-01", body % "old"), ("2", "p", "inspection", "2026-01-02", body % "new"), ("3", "p", "nlp", "2026-01-03", "{}")]
     records = spark.createDataFrame(data, schema).selectExpr("*", "cast(d as timestamp) as recorded_at")
     assert rows(I.snapshot_inventory(I.latest_snapshot(records))) == [("p", "a.py", "new")]
+
+
+def test_big_undecodable_and_anchored_files(spark):
+    """A Python file of 6 MB is parsed, bad bytes end no run, markers are tried line by line."""
+    from projectpulse.plans import reports
+
+    big = ("# filler\n" * 700_000 + "def late(x):\n    return x\n# TODO: big\n").encode()
+    data = [("p", 1, "big.py", big), ("p", 1, "bad.py", b"x=\xff"), ("p", 1, "ok.py", b"one\nHACK here\n")]
+    contents = spark.createDataFrame([(*row[:3], len(row[3]), bytearray(row[3])) for row in data], KEYS + "path string, size_bytes bigint, content binary")
+    report = reports.inspection_report(contents)
+    assert {r.relative_path: r.function_count for r in report["metrics"].collect()}["big.py"] == 1
+    codes = {(r.file_path, r.code) for r in report["findings"].collect()}
+    assert ("bad.py", "UNDECODABLE") in codes and any(path == "big.py" and "TODO" in code for path, code in codes)
+    assert {r.relative_path: r.content_hash for r in report["inventory"].collect()}["big.py"] == ""
+    texts = spark.createDataFrame([("p", 1, "ok.py", "one\nHACK here\nno HACK\n")], KEYS + "path string, text string")
+    assert [(r.code[-1], r.line) for r in I.marker_scan(texts, {"H": "^HACK"}).collect()] == [("H", 2)]
+
+
+def test_tree_scan_keeps_big_sources_and_reports_what_it_cannot_read(spark, tmp_path):
+    deep = tmp_path
+    for name in "abcdef":
+        deep = deep / name
+        deep.mkdir()
+        (deep / f"{name}.py").write_bytes(b"#" * 300)
+        (deep / f"{name}.bin").write_bytes(b"#" * 300)
+    for wanted in ("1", "256"):
+        found = {r.path: r for r in read_tree(spark, str(tmp_path), maxbytes="100", partitions=wanted).collect()}
+        assert len(found) == 12 and len(found["a/b/c/c.py"].content) == 300 and found["a/a.bin"].content is None
+    (tmp_path / "gone.py").symlink_to(tmp_path / "a" / "loop")
+    (tmp_path / "a" / "loop").symlink_to(tmp_path / "gone.py")
+    assert read_tree(spark, str(tmp_path)).count() == 12
+
+
+def test_cycles_are_named_in_full(spark):
+    members = spark.createDataFrame([("p", 1, f"m{i:02d}.py", "m00.py") for i in range(30)], KEYS + "node string, component string")
+    message = I.cycle_findings(members).first().message
+    assert message.count(" -> ") == 30 and message.endswith("m29.py -> m00.py")

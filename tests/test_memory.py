@@ -94,3 +94,11 @@ def test_summaries_and_records(spark):
                      M.visual_summary(F.lit("b"), F.lit("c"), F.lit("match"), F.lit(0)).alias("v")).first()
     assert text.a == "AI reasoning run for '/s': 1 correlation group(s), 2 dependency assessment(s), 3 recommendation(s)."
     assert text.v == "Visual comparison 'b' -> 'c': verdict=match, findings=0."
+
+
+def test_projects_that_share_ids_stay_apart(spark):
+    both = records(spark, [("r1", "a", "nlp", 0, "of a", 1.0), ("r1", "b", "nlp", 9, "of b", 2.0)])
+    assert rows(M.upsert(both, both), "project_id", "summary") == [("a", "of a"), ("b", "of b")]
+    stored = spark.createDataFrame([("a1", "a", "nlp", [1.0, 0.0]), ("b1", "b", "nlp", [1.0, 0.0])], "record_id string, project_id string, record_type string, embedding array<double>")
+    asked = spark.createDataFrame([(1, p, [1.0, 0.0], 3, None) for p in "ab"], "query_id bigint, project_id string, embedding array<double>, top_k int, record_type string")
+    assert rows(M.recall_topk(stored, asked), "project_id", "record_id") == [("a", "a1"), ("b", "b1")]

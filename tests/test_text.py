@@ -128,3 +128,17 @@ def test_text_report_names(spark):
     report = reports.text_report(documents(spark), spark.createDataFrame([], schema),
                                  spark.createDataFrame([], KEYS + "relative_path string"), spark.createDataFrame([], DOC))
     assert "matches" in report.names() and report["claims"].count() == 4
+
+
+def test_ties_go_to_the_first_path_even_if_one_begins_the_other(spark):
+    claims = spark.createDataFrame([("p", 1, "1", "token service", "feature", None, None)], CLAIM)
+    docs = spark.createDataFrame([("p", 1, path, "token service") for path in ("a.pyi", "a.py", "b.py")] + [("p", 1, "z", "other")], DOC)
+    assert rows(X.best_match(claims, docs, 1, 1), "best_match_file") == [("a.py",)]
+    assert rows(X.best_match(claims, docs), "best_match_file") == [("a.py",)]
+
+
+def test_test_files_implement_nothing(spark):
+    schema = KEYS + "path string, kind string, name string, level int"
+    facts = spark.createDataFrame([("p", 1, "a.py", "import", "numpy", 0), ("p", 1, "tests/a.py", "import", "pytest", 0), ("p", 1, "test_b.py", "import", "mock", 0)], schema)
+    files = spark.createDataFrame([("p", 1, "a.py")], KEYS + "relative_path string")
+    assert rows(X.third_party_packages(facts, files), "package") == [("numpy",)]
