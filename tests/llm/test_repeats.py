@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from projectpulse.llm import common, line_dedup, substring_dedup, suffix_dedup
-from tests_llm_helpers import brute_lines
+from tests_llm_helpers import brute_lines, odd_texts, words  # noqa: F401
 
 SCHEMA = "doc_id bigint, text string, n_removed string, hits int, kept_text string"  # names that results use too
 

@@ -12,7 +12,7 @@ import corpus_pipeline
 from projectpulse.llm import decontamination, language_id, line_dedup, sentence_pieces, token_files, url_filters
 from projectpulse.llm.queries import BYTE_TOKENIZER, PIECE_MODEL, URL_RULES
 from projectpulse.skew import new_folder
-from tests_llm_helpers import brute_lines, components_of, shingles
+from tests_llm_helpers import brute_lines, components_of, odd_texts, shingles, words  # noqa: F401
 
 DOCS = "doc_id bigint, text string, ids string, part int"
 

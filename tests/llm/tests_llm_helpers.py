@@ -1,8 +1,11 @@
 """Brute-force versions shared by the tests of the corpus operators."""
 
+import random
 import re
 from collections import defaultdict
 
+import pytest
+
 
 def brute_lines(rows):
     key = lambda line: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
@@ -38,3 +41,16 @@ def shingles(text):
     if len(words) < 5:
         return {tuple(words)} if words else set()
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+@pytest.fixture(scope="session")
+def words():
+    """Invented words; a fixed seed."""
+    source = random.Random(5)
+    return ["".join(source.choice("abcdefghij") for _ in range(source.randint(2, 7))) for _ in range(400)]
+
+
+@pytest.fixture(scope="session")
+def odd_texts():
+    """Texts that operators have to survive."""
+    return [None, "", " ", "\n", "a", "  two  spaces ", "tab\tand\nline\r\n", "Äpfel ÄPFEL äpfel", "▁ marked ▁▁ text", "日本語 のテキスト", "x" * 5000, "word " * 3000, " odd　spaces here", "<|endoftext|> and </s>", "🙂 emoji 👩‍👩‍👧"]
