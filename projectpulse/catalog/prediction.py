@@ -12,11 +12,11 @@ from projectpulse.functions import fixed
 from projectpulse.operators import inspection, prediction as P
 from projectpulse.operators.memory import prediction_summary
 from projectpulse.plans import reports
-from projectpulse.skew import time_chunk
+from projectpulse.skew import cut_lineage, time_chunk
 
 
 def parts(spark, sf_dir):
-    files, own = inputs.inventory(spark, sf_dir), inputs.findings(spark, sf_dir)
+    files, own = cut_lineage(inputs.inventory(spark, sf_dir)), inputs.findings(spark, sf_dir)  # the inventory has three readers
     findings = inspection.union_findings(own, inspection.consecutive_drift(files, files))
     runs = inspection.health_scores(inputs.runs(files), own).select(*RUN, "file_count", "health_score")
     return runs, files, findings, own_impact(own)

@@ -11,7 +11,7 @@ from projectpulse.functions import files as ff
 from projectpulse.functions import fixed
 from projectpulse.operators import graph, inspection, reasoning as R
 from projectpulse.plans import reports
-from projectpulse.skew import prefix_totals, time_chunk
+from projectpulse.skew import cut_lineage, prefix_totals, time_chunk
 from projectpulse.sources.code import code_facts
 
 
@@ -127,9 +127,9 @@ def own_impact(rows):
 
 
 def drift_parts(spark, sf_dir):
-    files = inputs.inventory(spark, sf_dir)
-    drift = inspection.consecutive_drift(files, files)
-    impact = own_impact(inputs.findings(spark, sf_dir))
+    files = cut_lineage(inputs.inventory(spark, sf_dir))  # each of these has several readers
+    drift = cut_lineage(inspection.consecutive_drift(files, files))
+    impact = cut_lineage(own_impact(inputs.findings(spark, sf_dir)))
     hot = R.high_impact_drift(drift, impact)
     return drift, impact, hot, R.drift_insight(drift, inputs.runs(files), hot)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from projectpulse.components import star_components
 from projectpulse.functions import files as ff
 from projectpulse.skew import cut_lineage, read_tables, write_table
 
@@ -83,52 +84,47 @@ def transitive_dependents(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def _trim(edges: DataFrame) -> DataFrame:
-    """Drop edges that cannot lie on a cycle: those of nodes without in- or out-edges."""
-    count = edges.count()
-    while count:
-        starts = edges.select(*RUN, F.col("src").alias("dst")).distinct()
-        ends = edges.select(*RUN, F.col("dst").alias("src")).distinct()
-        edges = cut_lineage(edges.join(starts, [*RUN, "dst"], "left_semi").join(ends, [*RUN, "src"], "left_semi"))
-        left = edges.count()
-        if left == count:
-            break
-        count = left
-    return edges
+    """Drop edges of nodes without in- or out-edges, which lie on no cycle; once, so that long chains cost no rounds."""
+    starts = edges.select(*RUN, F.col("src").alias("dst")).distinct()
+    ends = edges.select(*RUN, F.col("dst").alias("src")).distinct()
+    return cut_lineage(edges.join(starts, [*RUN, "dst"], "left_semi").join(ends, [*RUN, "src"], "left_semi"))
 
 
 def _smallest_reaching(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node name from which each node can be reached.
+    """(node, label): the first node, in the order of a hash, from which each node can be reached.
 
-    Every round takes the smallest label of the predecessors and then the label of that
-    label, which also reaches the node; so paths are covered in doubling steps and the
-    number of rounds grows with the logarithm of the longest path. Messages are combined
-    per receiving node before the shuffle: a node with very many edges costs one row per
-    task.
+    Every round takes the first label of the predecessors and then the label of that label,
+    which also reaches the node. Under a hash order a label is on average half as far away as
+    the path covered so far, so the rounds grow with the logarithm of the longest path,
+    whatever the names. Messages are combined per receiving node before the shuffle: a node
+    with very many edges costs one row per task.
     """
     node = [*RUN, "node"]
     nodes = edges.select(*RUN, F.col("src").alias("node")).unionByName(edges.select(*RUN, F.col("dst").alias("node")))
-    labels = cut_lineage(nodes.distinct().withColumn("label", F.col("node")))
+    placed = F.struct(F.xxhash64("node").alias("place"), F.col("node").alias("name"))
+    labels = cut_lineage(nodes.distinct().withColumn("label", placed))
     while True:
         sent = labels.select(*RUN, F.col("node").alias("src"), "label").join(edges, [*RUN, "src"])
         incoming = sent.groupBy(*RUN, F.col("dst").alias("node")).agg(F.min("label").alias("new"))
         nearer = labels.join(incoming, node, "left").select(
             *node, F.col("label").alias("old"), F.least("label", F.coalesce("new", "label")).alias("via")
         )
-        known = labels.select(*RUN, F.col("node").alias("via"), F.col("label").alias("onward"))
+        known = labels.select(*RUN, F.col("node").alias("_via"), F.col("label").alias("onward"))
+        nearer = nearer.withColumn("_via", F.col("via.name"))
         updated = cut_lineage(
-            nearer.join(known, [*RUN, "via"]).select(*node, F.least("via", "onward").alias("label"), "old")
+            nearer.join(known, [*RUN, "_via"]).select(*node, F.least("via", "onward").alias("label"), "old")
         )
         labels = updated.select(*node, "label")
         if updated.where("label < old").isEmpty():
-            return labels
+            return labels.select(*node, F.col("label.name").alias("label"))
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """GR3: members of every strongly connected component of two or more files.
 
-    Colouring: each node takes the smallest node name that reaches it. Inside one colour the
-    nodes that lead back to the colour's own node form its component, and the same search on
-    the reversed edges finds them, since that node is the smallest of its colour. Edges
+    Colouring: each node takes the first node, in hash order, that reaches it. Inside one colour
+    the nodes that lead back to the colour's own node form its component, and the same search on
+    the reversed edges finds them, since that node is the first of its colour. Edges
     between colours lie on no cycle and are dropped, components found are removed, and the
     rest is trimmed, until no edge is left. A component is named after its smallest member.
     """
@@ -152,11 +148,14 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         edges = _trim(inside.join(done_src, [*RUN, "src"], "left_anti").join(done_dst, [*RUN, "dst"], "left_anti"))
     if found is None:
         return edges.select(*RUN, F.col("src").alias("node"), F.col("dst").alias("component"))
-    sizes = found.groupBy(*RUN, "component").agg(F.count("*").alias("size")).where("size > 1")
-    return found.join(sizes, [*RUN, "component"], "left_semi").select(*node, "component")
+    names = found.groupBy(*RUN, "component").agg(F.count("*").alias("size"), F.min("node").alias("name")).where("size > 1")
+    return found.join(names, [*RUN, "component"]).select(*node, F.col("name").alias("component"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """GR4 for any undirected graph: smallest node name per component."""
-    both = cut_lineage(edges.select(*RUN, "src", "dst").unionByName(reverse_edges(edges)).distinct())
-    return _smallest_reaching(both).withColumnRenamed("label", "component")
+    node = lambda end: F.struct(*RUN, F.col(end).alias("node"))
+    found = star_components(edges.select(node("src").alias("a"), node("dst").alias("b")))
+    found = found.select("node.*", F.col("component.node").alias("component"))
+    alone = edges.where("src = dst").select(*RUN, F.col("src").alias("node")).distinct().join(found, [*RUN, "node"], "left_anti")
+    return found.unionByName(alone.withColumn("component", F.col("node")))

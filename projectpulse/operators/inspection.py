@@ -109,6 +109,10 @@ def snapshot_drift(previous: DataFrame, current: DataFrame, baselines: DataFrame
     changed = sides.withColumn("code", code).where(F.col("code").isNotNull())
     known = (previous if baselines is None else baselines).select(*RUN).distinct()
     changed = changed.join(known, RUN, "left_semi")
+    return _drift_findings(changed)
+
+
+def _drift_findings(changed: DataFrame) -> DataFrame:
     verb = F.lower(F.substring_index("code", "_", -1))
     message = F.format_string("File %s since previous inspection: %s", verb, F.col("relative_path"))
     severity = F.when(F.col("code") == "FILE_REMOVED", "warning").otherwise("info")
@@ -118,17 +122,27 @@ def snapshot_drift(previous: DataFrame, current: DataFrame, baselines: DataFrame
 def consecutive_drift(inventory: DataFrame, runs: DataFrame) -> DataFrame:
     """Drift of every run against the run before it, all projects at once.
 
-    ``runs`` is the header table (project_id, run_id). The step from each run to the next is
-    written first, so that its size is known: Spark broadcasts it below its own threshold
-    and leaves the inventory unshuffled, and otherwise joins by shuffle, splitting hot runs.
+    ``runs`` is the header table (project_id, run_id). Its neighbours in time are written
+    first, so that their size is known. The inventory is then read once and ordered per file:
+    a file that the run before lacks is added, one that the next run lacks is removed there.
     """
     ordered = Window.partitionBy("project_id").orderBy("run_id")
-    steps = runs.select(*RUN).distinct().withColumn("next_run", F.lead("run_id").over(ordered))
-    steps = cut_lineage(steps.where(F.col("next_run").isNotNull()))
-    previous = inventory.join(steps, RUN).select(
-        "project_id", F.col("next_run").alias("run_id"), "relative_path", "content_hash"
+    steps = runs.select(*RUN).distinct().select(
+        *RUN, F.lag("run_id").over(ordered).alias("before"), F.lead("run_id").over(ordered).alias("after")
     )
-    return snapshot_drift(previous, inventory, steps.select("project_id", F.col("next_run").alias("run_id")))
+    rows = inventory.select(*RUN, "relative_path", "content_hash").join(cut_lineage(steps), RUN)
+    of_file = Window.partitionBy("project_id", "relative_path").orderBy("run_id")
+    rows = rows.withColumns({
+        "seen": F.lag("run_id").over(of_file), "old_hash": F.lag("content_hash").over(of_file), "next_seen": F.lead("run_id").over(of_file),
+    })
+    was, stays = F.col("seen").eqNullSafe(F.col("before")), F.col("next_seen").eqNullSafe(F.col("after"))
+    change = lambda condition, run, code: F.when(condition, F.struct(F.col(run).alias("run_id"), F.lit(code).alias("code")))
+    changes = F.array_compact(F.array(
+        change(F.col("before").isNotNull() & ~was, "run_id", "FILE_ADDED"),
+        change(F.col("before").isNotNull() & was & (F.col("old_hash") != F.col("content_hash")), "run_id", "FILE_MODIFIED"),
+        change(F.col("after").isNotNull() & ~stays, "after", "FILE_REMOVED"),
+    ))
+    return _drift_findings(rows.select("project_id", "relative_path", F.explode(changes).alias("c")).select("project_id", "relative_path", "c.*"))
 
 
 def latest_snapshot(records: DataFrame) -> DataFrame:
