@@ -224,16 +224,16 @@ def _(spark, sf_dir):
 
 
 def python_sources(spark, sf_dir):
-    """Every document wrapped into a small module: its lines become comments and functions.
+    """Every document wrapped into a small module: each of its lines is a comment and a branch.
 
-    The number of branches of the function is the number of its paragraph lines, capped by
-    nothing; the module has a docstring where the document has a quality label.
+    The function has as many branches as the document has lines; English ones have a docstring,
+    German ones do not parse.
     """
     docs = text_table(spark, sf_dir, "documents")
     body = F.concat(
         F.lit("import os\nimport numpy as np\nfrom . import helpers\n\n\ndef work(x):\n"),
         F.array_join(F.transform(ff.lines_of("text"), lambda line: F.concat(
-            F.lit("    if x > "), F.length(line).cast("string"), F.lit(":  # "), F.substring(F.md5(line), 1, 6), F.lit("\n        x += 1"))), "\n"),
+            F.lit("    # "), line, F.lit("\n    if x > "), F.length(line).cast("string"), F.lit(":\n        x += 1"))), "\n"),
         F.lit("\n    return x\n\n\nclass Box:\n    pass\n"),
     )
     source = F.when(F.col("lang") == "en", F.concat(F.lit('"""Document module."""\n'), body)).when(
@@ -297,7 +297,9 @@ def _(spark, sf_dir):
 
 
 @query("ag31_text_blob", f"""
-SELECT source AS project_id, lang || '/m' || doc_id || '.py' AS path, CAST(2 + CASE WHEN lang = 'en' THEN 2 ELSE 0 END AS BIGINT) AS words FROM documents WHERE lang <> 'de'
+SELECT source AS project_id, lang || '/m' || doc_id || '.py' AS path, CAST(2 + CASE WHEN lang = 'en' THEN 2 ELSE 0 END
+  + list_sum(list_transform(lines, lambda x: CASE WHEN x = '' THEN 0 ELSE len(string_split(x, ' ')) END)) AS BIGINT) AS words
+FROM (SELECT *, list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{0085}}\\x{{2028}}\\x{{2029}}]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS lines FROM documents WHERE lang <> 'de')
 """)
 def _(spark, sf_dir):
     sources = python_sources(spark, sf_dir)

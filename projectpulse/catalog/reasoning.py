@@ -285,6 +285,38 @@ def _(spark, sf_dir):
     return graph.resolve_imports(code_facts(sources), files).select("project_id", "src", "dst")
 
 
+@query("jn4_absolute_imports", """
+WITH facts AS (
+  SELECT 'p' || l_suppkey % 3 AS project_id, 'pkg' || l_suppkey % 10 || '/mod' || l_partkey % 40 || '.py' AS src, l_returnflag AS f,
+    'pkg' || l_orderkey % 12 AS pkg, 'mod' || l_orderkey % 50 AS sub FROM lineitem
+), files AS (
+  SELECT DISTINCT project_id, src AS path, replace(replace(src, '.py', ''), '/', '.') AS prefix FROM facts
+  UNION SELECT DISTINCT project_id, split_part(src, '/', 1) || '/__init__.py', split_part(src, '/', 1) FROM facts
+), wanted AS (
+  SELECT DISTINCT project_id, src, pkg || '.' || sub || '.thing' AS module FROM facts WHERE f = 'A'
+  UNION SELECT project_id, src, unnest([pkg, pkg || '.' || sub]) FROM facts WHERE f <> 'A'
+), best AS (
+  SELECT w.project_id, w.src, w.module, arg_max(path, length(prefix)) AS dst FROM wanted w
+  JOIN files x ON x.project_id = w.project_id AND (w.module = prefix OR starts_with(w.module, prefix || '.')) GROUP BY ALL
+)
+SELECT DISTINCT project_id, src, dst FROM best WHERE src <> dst
+""")
+def _(spark, sf_dir):
+    """Absolute imports of modules, of names in modules and of modules in packages; edges are distinct."""
+    rows = table(spark, sf_dir, "lineitem")
+    name = lambda prefix, key, n: F.concat(F.lit(prefix), (F.col(key) % n).cast("string"))
+    package, module, whole = name("pkg", "l_orderkey", 12), name("mod", "l_orderkey", 50), F.col("l_returnflag") == "A"
+    facts = rows.select(
+        name("p", "l_suppkey", 3).alias("project_id"), F.lit(0).cast("bigint").alias("run_id"),
+        F.concat(name("pkg", "l_suppkey", 10), F.lit("/"), name("mod", "l_partkey", 40), F.lit(".py")).alias("path"),
+        F.when(whole, "import").otherwise("import_from").alias("kind"), F.lit(0).alias("level"),
+        F.when(whole, F.concat_ws(".", package, module, F.lit("thing"))).otherwise(package).alias("name"), F.when(~whole, module).alias("text"))
+    files = facts.select(*RUN, F.col("path").alias("relative_path")).distinct()
+    roots = files.select(*RUN, F.concat(F.substring_index("relative_path", "/", 1), F.lit("/__init__.py")).alias("relative_path")).distinct()
+    files = files.unionByName(roots).withColumn("extension", F.lit("py"))
+    return graph.resolve_imports(facts, files).select("project_id", "src", "dst")
+
+
 @query("se7_distinct_edges", "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()

@@ -54,6 +54,34 @@ def _(spark, sf_dir):
     return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad).select("pair_id", "error")
 
 
+@query("pr19_differing_dimensions", f"""
+SELECT vec_id AS pair_id, CASE WHEN label % 3 = 1 THEN '{fixed.DIMENSION_MISMATCH % (8, 8, 1, 4, 16, 1)}'
+  WHEN label % 3 = 2 THEN 'current buffer length does not match its dimensions' END AS error FROM embeddings
+""")
+def _(spark, sf_dir):
+    """Images of 8 x 8 against 8 x 8, 4 x 16, and 8 x 8 with three channels claimed."""
+    pixels, kind = F.transform("embedding", lambda v: v.cast("int")), F.col("label") % 3
+    pairs = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("pair_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("channels"),
+        F.when(kind == 1, 4).otherwise(8).alias("current_width"), F.when(kind == 1, 16).otherwise(8).alias("current_height"),
+        F.when(kind == 2, 3).otherwise(1).alias("current_channels"), pixels.alias("baseline"), pixels.alias("current"))
+    good, bad = V.validate_pixels(pairs)
+    return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad).select("pair_id", "error")
+
+
+@query("jn14_three_channels", """
+SELECT pair_id, count(*) AS changed, min(p) AS first FROM (
+  SELECT pair_id, (i - 1) // 2 AS p, sum(d) AS s FROM (
+    SELECT pair_id, i, abs(CAST(floor((CAST(ea[i] AS DOUBLE) + 1) * 127.5 + 0.5) AS BIGINT) - CAST(floor((CAST(eb[i] AS DOUBLE) + 1) * 127.5 + 0.5) AS BIGINT)) AS d
+    FROM pairs, generate_series(1, 64) AS g(i)) GROUP BY pair_id, (i - 1) // 2) WHERE s >= 24 GROUP BY pair_id
+""", ("pairs",))
+def _(spark, sf_dir):
+    """The same buffers as 8 x 4 pixels of two channels: channel differences add up per pixel."""
+    pairs = inputs.image_pairs(spark, sf_dir).withColumns({"height": F.lit(4), "channels": F.lit(2)})
+    changed = V.changed_pixels(pairs).where(F.size("changed") > 0)
+    return changed.select("pair_id", F.size("changed").cast("bigint").alias("changed"), F.array_min("changed").cast("bigint").alias("first"))
+
+
 @query("pr20_paired_presence", """
 SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, (l_tax > 0.02) = (l_tax > 0.04) AND (l_discount > 0.02) = (l_discount > 0.05) AND (l_tax > 0.04 OR l_discount > 0.05) AS accepted FROM lineitem
 """)
@@ -179,10 +207,10 @@ SELECT layout_id, first, second, ratio FROM (SELECT a.layout_id, a.element_id AS
 WHERE ratio >= 0.3"""
 
 
-# all line items of a supplier and year on one canvas: layouts with enough boxes to overlap
+# all line items of a supplier and month on one canvas: layouts with some boxes that overlap
 cte("canvas", """
-SELECT 'supplier-' || l_suppkey || '-' || year(l_shipdate) AS layout_id, l_orderkey || '-' || l_linenumber AS element_id,
-  row_number() OVER (PARTITION BY l_suppkey, year(l_shipdate) ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice) AS ordinal,
+SELECT 'supplier-' || l_suppkey || '-' || strftime(l_shipdate, '%Y-%m') AS layout_id, l_orderkey || '-' || l_linenumber AS element_id,
+  row_number() OVER (PARTITION BY l_suppkey, strftime(l_shipdate, '%Y-%m') ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice) AS ordinal,
   l_partkey % 97 AS x, l_orderkey % 89 AS y, CAST(l_quantity AS BIGINT) AS w, CAST(round(l_discount * 100 + l_tax * 500) AS BIGINT) AS h FROM lineitem
 """)
 cte("overlapping", _overlap_sql("canvas"), ("canvas",))
@@ -190,7 +218,7 @@ cte("overlapping", _overlap_sql("canvas"), ("canvas",))
 
 def canvas(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", F.lit("supplier"), "l_suppkey", F.year("l_shipdate")).alias("layout_id"),
+        F.concat_ws("-", F.lit("supplier"), "l_suppkey", F.date_format("l_shipdate", "yyyy-MM")).alias("layout_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("element_id"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice").alias("ordinal"),
         (F.col("l_partkey") % 97).alias("x"), (F.col("l_orderkey") % 89).alias("y"),

@@ -18,23 +18,36 @@ from projectpulse.functions.scalars import as_col, band, cosine, hamming, percen
 
 CHANGE_THRESHOLD = 24
 MAX_REGIONS = 25
-MAX_LEVEL = 31
 
 
-def pixel_error(width, height, channels, baseline, current) -> Column:
-    """PR19: reason why a pair cannot be compared, or null."""
-    size = as_col(width) * as_col(height) * as_col(channels)
-    positive = (as_col(width) > 0) & (as_col(height) > 0) & (as_col(channels) > 0)
+DIMENSIONS = ["width", "height", "channels"]
+
+
+def pixel_error(own: list, baseline, other: list, current) -> Column:
+    """PR19: reason why two images, each with its width, height and channels, cannot be compared, or null."""
+    def product(sizes: list) -> Column:
+        return as_col(sizes[0]) * as_col(sizes[1]) * as_col(sizes[2])
+
+    positive, same = F.lit(True), F.lit(True)
+    for a, b in zip(own, other, strict=True):
+        positive, same = positive & (as_col(a) > 0) & (as_col(b) > 0), same & (as_col(a) == as_col(b))
+    shown = F.format_string(fixed.DIMENSION_MISMATCH, *[as_col(c) for c in (*own, *other)])
     return (
         F.when(~positive, "dimensions must be positive")
-        .when(F.size(as_col(baseline)) != size, "baseline buffer length does not match its dimensions")
-        .when(F.size(as_col(current)) != size, "current buffer length does not match its dimensions")
+        .when(F.size(as_col(baseline)) != product(own), "baseline buffer length does not match its dimensions")
+        .when(F.size(as_col(current)) != product(other), "current buffer length does not match its dimensions")
+        .when(~same, shown)
     )
 
 
 def validate_pixels(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """PR19: comparable pairs and quarantined ones."""
-    marked = pairs.withColumn("error", pixel_error("width", "height", "channels", "baseline", "current"))
+    """PR19: comparable pairs and quarantined ones.
+
+    ``width``, ``height`` and ``channels`` are the baseline's; where there is a column
+    ``current_width`` (``current_height``, ``current_channels``), the current image has its own.
+    """
+    other = [f"current_{d}" if f"current_{d}" in pairs.columns else d for d in DIMENSIONS]
+    marked = pairs.withColumn("error", pixel_error(DIMENSIONS, "baseline", other, "current"))
     return marked.where("error IS NULL").drop("error"), marked.where("error IS NOT NULL")
 
 
