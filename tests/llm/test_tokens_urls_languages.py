@@ -160,7 +160,7 @@ def test_pipeline_equals_brute_force(spark, words, tmp_path):
     rows = [(i, "\n".join(prose(source, lang, 30) for _ in range(3)), lang, "s1", 0) for i, lang in enumerate(list(SYLLABLES) * 15)]
     line = prose(source, "de", 15)
     rows = [(i, t + "\n" + line if i % 4 == 1 else t + "\n" + items[i % 5][1] if i % 10 == 4 else t, lang, s, n) for i, t, lang, s, n in rows]
-    rows += [(100 + i, rows[i][1], rows[i][2], "s2", 0) for i in range(0, 20, 3)] + [(200, "qqxjq zzkx wvvq " * 30, "en", "s1", 0), (201, "", "en", "s1", 0), (202, None, "fr", None, None), (None, prose(source, "es", 40), "es", "s1", 0)]
+    rows += [(100 + i, rows[i][1], rows[i][2], "s2", 0) for i in range(0, 20, 3)] + [(200, "qqxjq zzkx wvvq " * 30, None, "s1", 0), (201, "", "en", "s1", 0), (202, None, "fr", None, None), (None, prose(source, "es", 40), "es", "s1", 0)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
