@@ -80,6 +80,19 @@ def _(spark, sf_dir):
     return inspection_records(spark, sf_dir).select("record_id", "summary")
 
 
+@query("pr22_other_summaries", """
+SELECT o_orderkey, 'AI reasoning run for ''' || o_orderstatus || ''': ' || o_custkey || ' correlation group(s), ' || o_orderkey || ' dependency assessment(s), 3 recommendation(s)'
+    || CASE WHEN o_orderstatus = 'F' THEN '; drift churn=high' ELSE '' END || '.' AS reasoning,
+  'NLP consistency run for ''' || o_orderstatus || ''': ' || o_custkey || ' consistency finding(s) against ' || o_orderkey || ' documented requirement statement(s).' AS nlp
+FROM orders
+""")
+def _(spark, sf_dir):
+    root, churn = F.col("o_orderstatus"), F.when(F.col("o_orderstatus") == "F", "high")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", M.reasoning_summary(root, F.col("o_custkey"), F.col("o_orderkey"), F.lit(3), churn).alias("reasoning"),
+        M.nlp_summary(root, F.col("o_custkey"), F.col("o_orderkey")).alias("nlp"))
+
+
 @query("fn24_to_json_report", """
 SELECT record_id, json_extract_string(p, '$.project_id') IS NULL AS header_kept_out, CAST(json_extract_string(p, '$.run_id') AS BIGINT) AS run_id FROM (
   SELECT 'run-' || project_id || '-' || run_id AS record_id, to_json({'run_id': run_id, 'n': finding_count}) AS p FROM health)

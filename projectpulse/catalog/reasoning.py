@@ -403,6 +403,23 @@ def _(spark, sf_dir):
     return report["recommendations"].groupBy("category", "priority").agg(F.count("*").alias("recommendations"))
 
 
+@query("rp1_recorded_runs", """
+SELECT source AS project_id, CASE WHEN lang = 'fr' THEN 'FILE_ADDED' WHEN lang = 'es' THEN 'FILE_REMOVED' ELSE 'FILE_MODIFIED' END AS code, count(*) AS files
+FROM documents WHERE lang IN ('fr', 'es') OR doc_id % 3 = 0 GROUP BY ALL
+""")
+def _(spark, sf_dir):
+    """Two runs: the first is recorded, the second finds it as its baseline (no French before, no Spanish after, some edits)."""
+    docs = python_sources(spark, sf_dir)
+    sized = lambda rows: rows.select(*RUN, "path", F.octet_length("content").cast("bigint").alias("size_bytes"), "content")
+    none = spark.sql("SELECT '' project_id, '' record_id, '' record_type, current_timestamp() recorded_at, '' payload WHERE false")
+    first = reports.recorded_inspection(sized(docs.where("lang <> 'fr'")), none, F.make_timestamp(*[F.lit(n) for n in (2024, 1, 1, 0, 0, 0)]))
+    edited = F.when(F.col("doc_id") % 3 == 0, F.concat("content", F.lit(b"\n"))).otherwise(F.col("content"))
+    later = docs.where("lang <> 'es'").withColumns({"content": edited, "run_id": F.lit(1).cast("bigint")})
+    second = reports.recorded_inspection(sized(later), cut_lineage(first["records"]), F.make_timestamp(*[F.lit(n) for n in (2024, 2, 1, 0, 0, 0)]))
+    drift = second["findings"].where("category = 'drift'")
+    return drift.groupBy("project_id", "code").agg(F.count("*").alias("files"))
+
+
 @query("rp1_inspection_report", """
 SELECT source AS project_id, count(*) AS file_count, CAST(sum(f) + count(DISTINCT lang) AS BIGINT) AS finding_count,
   greatest(0.0, least(100.0, CAST(round(CAST(100 - 20.0 * (sum(w) + 3 * count(DISTINCT lang)) / count(*) AS DECIMAL(38,10)), 2) AS DOUBLE))) AS health_score

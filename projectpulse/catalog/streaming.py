@@ -47,11 +47,23 @@ def _(spark, sf_dir):
         (F.get_json_object("props", "$.k").cast("double") * 1.2).alias("cpu_usage_percent"),
         F.when(F.col("event_type") == "signup", "guessed").otherwise("hardware").alias("source"))
     good, bad = new_folder(spark, "accepted"), new_folder(spark, "rejected")
-    ST.stream_ingest(raw, good, bad, new_folder(spark, "ingest-state")).awaitTermination()
+    ST.stream_ingest(raw, good, bad, new_folder(spark, "ingest-state"), availableNow=True).awaitTermination()
     accepted = spark.read.parquet(good).withColumn("rejected_field", F.lit(None).cast("string"))
     return accepted.select("seq", "rejected_field").unionByName(spark.read.parquet(bad).select("seq", "rejected_field"))
 
 
+@query("st1_stamped_ingest", """
+SELECT project_id, count(*) AS snapshots, count(typing) AS typed FROM telemetry WHERE cpu IS NULL OR cpu <= 100 GROUP BY project_id
+""", ("telemetry",))
+def _(spark, sf_dir):
+    """Snapshots as agents send them, without a time: stamped, completed, appended per bucket."""
+    raw = telemetry_stream(spark, sf_dir).drop("recorded_at")
+    good, bad = new_folder(spark, "stamped"), new_folder(spark, "rejected")
+    ST.stream_ingest(raw, good, bad, new_folder(spark, "stamp-state"), stamp=True, availableNow=True).awaitTermination()
+    stored = spark.read.parquet(good).where(F.abs(F.unix_seconds("recorded_at") - F.unix_seconds(F.current_timestamp())) < 86400)
+    return stored.groupBy("project_id").agg(F.count("*").alias("snapshots"), F.count("typing_speed_cpm").alias("typed"))
+
+
 @query("st2_stream_sessions", f"""
 SELECT project_id, {sql_ts('started_at')} AS started_at, {sql_ts('ended_at')} AS ended_at, duration_minutes, snapshot_count,
   {sql_round('avg_typing', 6)} AS avg_typing_speed_cpm, {sql_round('sd_mouse', 6)} AS mouse_activity_stdev
@@ -69,14 +81,9 @@ SELECT project_id, {sql_ts('max(recorded_at)')} AS recorded_at, round(arg_max(ty
 """, ("telemetry",))
 def _(spark, sf_dir):
     target = new_folder(spark, "state")
-
-    def write(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(target)
-
     state = ST.stream_current_state(telemetry_stream(spark, sf_dir))
-    stream = state.writeStream.outputMode("complete").foreachBatch(write)
-    stream.option("checkpointLocation", new_folder(spark, "state-state")).trigger(availableNow=True).start().awaitTermination()
-    return shown(spark.read.parquet(target).select("project_id", "recorded_at", "typing_speed_cpm", "cpu_usage_percent"))
+    ST.write_state_changes(state, target, new_folder(spark, "state-state"), availableNow=True).awaitTermination()
+    return shown(ST.read_state(spark.read.parquet(target)).select("project_id", "recorded_at", "typing_speed_cpm", "cpu_usage_percent"))
 
 
 @query("st4_stream_breaks", f"""

@@ -160,6 +160,16 @@ def snapshot_inventory(latest: DataFrame) -> DataFrame:
     return files.select("project_id", "relative_path", "f.content_hash")
 
 
+def snapshot_payloads(inventory: DataFrame) -> DataFrame:
+    """SC9, SC10: (project_id, run_id, snapshot) with the files of a run in the form that ``snapshot_inventory`` reads.
+
+    A stored record holds the files of one run in one value; that is the record's format.
+    """
+    entry = F.struct("relative_path", F.struct("content_hash").alias("f"))
+    files = F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("files")
+    return inventory.groupBy(*RUN).agg(F.struct(files).alias("snapshot"))
+
+
 def union_findings(*parts: DataFrame) -> DataFrame:
     """SE1: findings of all analyzers in one table."""
     result = parts[0].select(*FINDING_COLUMNS)

@@ -1,7 +1,7 @@
 """Run records: upsert, history, trend series, vector recall.
 
 Records are (record_id, project_id, record_type, recorded_at, seq, summary, payload,
-health_score), stored partitioned by project_id and record_type.
+health_score), stored in folders of record_type and a hash of project_id.
 """
 
 from __future__ import annotations
@@ -39,9 +39,18 @@ def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return keep_latest(stored.unionByName(incoming))
 
 
-def write_records(records: DataFrame, path: str, mode: str = "append") -> None:
-    """SC10 sink: Parquet partitioned by project and type, for pruned reads."""
-    check_record_types(records).write.mode(mode).partitionBy("project_id", "record_type").parquet(path)
+def project_bucket(buckets: int = 64) -> Column:
+    return F.pmod(F.xxhash64("project_id"), F.lit(buckets)).cast("int")
+
+
+def write_records(records: DataFrame, path: str, mode: str = "append", buckets: int = 64) -> None:
+    """SC10 sink: Parquet foldered by type and a hash of the project, for pruned reads.
+
+    Equal folders come together before the write and large ones are split again, so there are
+    neither a file per task and project nor a single one for a hot project.
+    """
+    placed = check_record_types(records).withColumn("bucket", project_bucket(buckets))
+    placed.hint("rebalance", "record_type", "bucket").write.mode(mode).partitionBy("record_type", "bucket").parquet(path)
 
 
 def history(records: DataFrame, limit: int, record_type: str | None = None) -> DataFrame:

@@ -88,6 +88,21 @@ def wrap_missing(df: DataFrame) -> DataFrame:
     return df.select(*keep, *sections)
 
 
+def stamped(rows: DataFrame, now: Column | None = None) -> DataFrame:
+    """SC2: snapshots with every metric column and the time of their arrival (UTC), whatever the sender says."""
+    return complete_columns(rows).withColumn("recorded_at", F.current_timestamp() if now is None else now)
+
+
+def append_snapshots(rows: DataFrame, path: str, mode: str = "append", buckets: int = 64) -> None:
+    """SC2 sink: snapshots below ``path``, foldered by a hash of the project.
+
+    Equal buckets come together before the write, and a large one is split again, so a batch
+    leaves few files per folder and a hot project no huge one.
+    """
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("project_id"), F.lit(buckets)).cast("int"))
+    placed.hint("rebalance", "bucket").write.mode(mode).partitionBy("bucket").parquet(path)
+
+
 def readings_long(df: DataFrame) -> DataFrame:
     """One row per snapshot and metric: section, field, value, unit, source."""
     df = complete_columns(df)

@@ -27,6 +27,12 @@ class Report:
             self._made[name] = self._makers[name](self)
         return self._made[name]
 
+    def extended(self, **parts: Callable[[Report], DataFrame]) -> Report:
+        """The same report, parts already made included, with more parts."""
+        more = Report(**self._makers, **parts)
+        more._made = dict(self._made)
+        return more
+
     def names(self) -> list[str]:
         return list(self._makers)
 
@@ -83,6 +89,28 @@ def inspection_report(contents: DataFrame, previous: DataFrame | None = None) ->
     )
 
 
+def recorded_inspection(contents: DataFrame, stored: DataFrame, recorded_at: Column, root: str = "") -> Report:
+    """RP1 as a service runs it: drift against each project's newest stored inspection, then a record of this run.
+
+    ``contents`` holds one run per project. The report has the parts of ``inspection_report``
+    and ``records``, rows to append to the stored ones; the next run finds its baseline there.
+    """
+    current = contents.select("project_id", "run_id").distinct()
+    baseline = inspection.snapshot_inventory(inspection.latest_snapshot(stored)).join(current, "project_id")
+    report = inspection_report(contents, cut_lineage(baseline))
+
+    def records(r: Report) -> DataFrame:
+        run = ["project_id", "run_id"]
+        rows = r["health"].join(inspection.snapshot_payloads(r["inventory"]), run)
+        rows = rows.withColumns({
+            "record_id": F.concat_ws("-", F.lit("run"), *run), "recorded_at": recorded_at, "seq": F.col("run_id"),
+        })
+        summary = memory.inspection_summary(F.lit(root), F.lit("completed"), F.col("health_score"), F.col("file_count"), F.col("finding_count"))
+        return memory.record_report(rows, "inspection", summary, F.col("health_score"))
+
+    return report.extended(records=records)
+
+
 def reasoning_report(findings: DataFrame, runs: DataFrame, edges: DataFrame, nodes: DataFrame) -> Report:
     """RP2: groups, blast radius, hypotheses, drift insight and recommendations."""
     seeds = findings.select("project_id", "run_id", F.col("file_path").alias("node")).distinct()

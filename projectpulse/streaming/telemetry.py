@@ -20,21 +20,27 @@ from projectpulse.operators import telemetry
 DEFAULT_DELAY = "1 hour"
 
 
-def stream_ingest(raw: DataFrame, accepted: str, rejected: str, checkpoint: str) -> StreamingQuery:
+def stream_ingest(raw: DataFrame, accepted: str, rejected: str, checkpoint: str, stamp: bool = False, **trigger) -> StreamingQuery:
     """ST1, SC2: accepted snapshots and quarantined rows into two Parquet tables.
 
     Each micro-batch writes to its own batch folder with overwrite, so a batch replayed
-    after a failure replaces itself.
+    after a failure replaces itself. With ``stamp`` rows get the time of their batch and all
+    metric columns, and accepted ones are foldered by project hash. The stream runs on until
+    the caller stops it, unless a ``trigger`` such as ``availableNow=True`` says otherwise.
     """
 
     def write(rows: DataFrame, batch_id: int) -> None:
         rows = rows.persist()
         good, bad = telemetry.validate_ranges(rows)
-        good.write.mode("overwrite").parquet(f"{accepted}/ingest_batch={batch_id}")
+        if stamp:
+            telemetry.append_snapshots(telemetry.stamped(good), f"{accepted}/ingest_batch={batch_id}", "overwrite")
+        else:
+            good.write.mode("overwrite").parquet(f"{accepted}/ingest_batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{rejected}/ingest_batch={batch_id}")
         rows.unpersist()
 
-    return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def stream_sessions(rows: DataFrame, gap: str = "15 minutes", delay: str = DEFAULT_DELAY) -> DataFrame:
@@ -66,6 +72,22 @@ def stream_current_state(rows: DataFrame) -> DataFrame:
     return telemetry.current_state(rows)
 
 
+def write_state_changes(state: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """ST3 sink: each micro-batch writes only the projects it has changed, to a folder of its own."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/state_batch={batch_id}")
+
+    writer = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def read_state(changes: DataFrame) -> DataFrame:
+    """ST3: the newest row of each project among the changes written so far."""
+    newest = changes.groupBy("project_id").agg(F.max("state_batch").alias("state_batch"))
+    return changes.join(newest, ["project_id", "state_batch"], "left_semi").drop("state_batch")
+
+
 def stream_rate(rows: DataFrame, seconds: int = 30, delay: str = DEFAULT_DELAY) -> DataFrame:
     """ST5"""
     return telemetry.activity_rate(rows.withWatermark("recorded_at", delay), seconds)

@@ -61,6 +61,6 @@ def test_ingest_replay_writes_no_row_twice(spark, tmp_path):
     stream, _ = batches(spark, tmp_path / "in", parts)
     good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
     for state in ("s1", "s2"):  # the second stream starts over, as after a lost checkpoint
-        ST.stream_ingest(stream, good, bad, str(tmp_path / state)).awaitTermination()
+        ST.stream_ingest(stream, good, bad, str(tmp_path / state), availableNow=True).awaitTermination()
     assert rows(spark.read.parquet(good), "seq") == [(1,)]
     assert rows(spark.read.parquet(bad), "seq", "rejected_field") == [(2, "typing_speed_cpm")]
