@@ -6,12 +6,16 @@ tables with one row per element; headers carry their counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from projectpulse.functions import fixed
 from projectpulse.functions.scalars import band, priority_weight, rounded, severity_weight, strip
-from projectpulse.skew import cut_lineage, prefix_totals, read_tables, write_table
+from projectpulse.skew import cut_lineage
 
 RUN = ["project_id", "run_id"]
 REC_COLUMNS = [*RUN, "priority", "category", "title", "description"]
@@ -305,44 +309,83 @@ def parse_recommendations(responses: DataFrame, body: str = "body") -> tuple[Dat
     return good, work.where(F.col("_error").isNotNull()).select(*RUN, F.col("_error").alias("error"))
 
 
-def pack_batches(items: DataFrame, whole_limit: int = 6000, batch_limit: int = 4000) -> DataFrame:
+def _next_starts(ends: np.ndarray, limit: int) -> np.ndarray:
+    """For a batch that opens with item i of a slice: the item that opens the next one (the number of items if none does)."""
+    before = np.concatenate([[0], ends[:-1]])
+    return np.maximum(np.searchsorted(ends, before + limit, side="right"), np.arange(len(ends)) + 1)
+
+
+def _slice_summary(limit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """What a slice does to an open batch: by the item that closes it, the new batches and the fill at the slice's end."""
+
+    def run(items: pd.DataFrame) -> pd.DataFrame:
+        items = items.sort_values("position")
+        ends = np.cumsum(items["chars"].to_numpy())
+        count, following = len(ends), _next_starts(ends, limit)
+        opened, fill = np.zeros(count + 1, np.int64), np.zeros(count + 1, np.int64)
+        for i in range(count - 1, -1, -1):
+            after = following[i]
+            opened[i] = 1 + opened[after]
+            fill[i] = fill[after] if after < count else ends[-1] - (ends[i - 1] if i else 0)
+        first = int(np.searchsorted(ends, limit, side="right")) + 1  # no open batch lasts beyond this item
+        return items.iloc[:1][[*RUN, "slice"]].assign(
+            total=int(ends[-1]), ends=[ends[:first].tolist()], opened=[opened[: min(first, count) + 1].tolist()], fill=[fill[: min(first, count) + 1].tolist()]
+        )
+
+    return run
+
+
+def _slice_entries(limit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Fill and number of the batch that is open when each slice of a run begins: its slices' summaries in turn."""
+
+    def run(slices: pd.DataFrame) -> pd.DataFrame:
+        slices = slices.sort_values("slice")
+        entries, fill, batch = [], -1, 0  # no batch is open at first
+        for row in slices.itertuples(index=False):
+            entries.append((fill, batch))
+            # the first item of a run opens batch 0, as if it closed an earlier one
+            closing = 0 if fill < 0 else int(np.searchsorted(np.asarray(row.ends), limit - fill, side="right"))
+            if closing < len(row.opened) - 1 or (closing < len(row.opened) and row.opened[closing]):
+                batch, fill = batch + int(row.opened[closing]) - (fill < 0), int(row.fill[closing])
+            else:
+                fill += int(row.total)
+        return slices[[*RUN, "slice"]].assign(fill=[f for f, _ in entries], batch=[b for _, b in entries])
+
+    return run
+
+
+def _number_items(limit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(items: pd.DataFrame) -> pd.DataFrame:
+        items = items.sort_values("position").reset_index(drop=True)
+        ends, fill = np.cumsum(items["chars"].to_numpy()), int(items["fill"].iat[0])
+        following, opens = _next_starts(ends, limit), np.zeros(len(items), np.int64)
+        at = 0 if fill < 0 else int(np.searchsorted(ends, limit - fill, side="right"))
+        while at < len(items):
+            opens[at] = 1
+            at = following[at]
+        return items[[*RUN, "position", "chars"]].assign(batch=items["batch"].iat[0] + np.cumsum(opens) - (fill < 0))
+
+    return run
+
+
+def pack_batches(items: DataFrame, whole_limit: int = 6000, batch_limit: int = 4000, slice_items: int = 10_000) -> DataFrame:
     """WN11: number the batches of each run's items, filled greedily in order.
 
-    ``items`` has (project_id, run_id, position, chars). A run of at most ``whole_limit``
-    characters is one batch. Greedy filling looks sequential, but the first item of the
-    next batch is a function of the first item of this one: it follows from running sums
-    and a look-ahead of one batch. The starts are then the items reachable from item 0,
-    found by pointer doubling, so no run has to pass through one task.
+    ``items`` has (project_id, run_id, position, chars), positions from 0 on. A run of at most
+    ``whole_limit`` characters is one batch. Runs are cut into slices of positions: a slice
+    says, for every item that may close the batch open at its begin, how many batches follow
+    and how full the last one is. These summaries, one row per slice, are composed in order,
+    and then each slice numbers its own items: three shuffles, no loop.
     """
-    chunk = F.floor(F.col("position") / 10000)
-    sums = prefix_totals(items, RUN, ["position"], chunk, {"before": F.col("chars"), "idx": F.lit(1)})
     totals = items.groupBy(*RUN).agg(F.sum("chars").alias("total"))
-    measured = cut_lineage(sums.join(totals, RUN).withColumn("cell", F.floor(F.col("before") / batch_limit)))
-    single = measured.where(F.col("total") <= whole_limit).select(
-        *RUN, "position", "chars", F.lit(0).cast("bigint").alias("batch")
-    )
-    large = measured.where(F.col("total") > whole_limit)
-    # an item's successor lies in its own cell or the next one
-    seen = large.select(*RUN, "idx", "before", "total", "cell", F.explode(F.array("cell", F.col("cell") - 1)).alias("view"))
-    ahead = Window.partitionBy(*RUN, "view").orderBy("before").rangeBetween(Window.currentRow, batch_limit)
-    steps = seen.withColumn("far", F.max("idx").over(ahead)).where("view = cell")
-    last = F.col("total") <= F.col("before") + batch_limit
-    steps = steps.where(~last).select(*RUN, F.col("idx").alias("at"), F.greatest("far", F.col("idx") + 1).alias("to"))
-    ends = large.groupBy(*RUN).agg(F.max("idx").alias("end"))
-    jumps = cut_lineage(steps.join(ends, RUN).where(F.col("to") <= F.col("end")).select(*RUN, "at", "to"))
-    starts = large.where("idx = 0").select(*RUN, F.col("idx").alias("at"))
-    found = [write_table(starts)]
-    while not jumps.isEmpty():
-        # the starts known so far are the first 2^k of each run, those landed on the next 2^k
-        landed = read_tables(starts, found).join(jumps, [*RUN, "at"]).select(*RUN, F.col("to").alias("at"))
-        found.append(write_table(landed))
-        onward = jumps.select(*RUN, F.col("at").alias("to"), F.col("to").alias("next"))
-        jumps = cut_lineage(jumps.join(onward, [*RUN, "to"]).select(*RUN, "at", F.col("next").alias("to")))
-    starts = read_tables(starts, found)
-    flagged = large.join(starts.select(*RUN, F.col("at").alias("idx"), F.lit(1).alias("opens")), [*RUN, "idx"], "left")
-    flagged = flagged.fillna(0, ["opens"])
-    counted = prefix_totals(
-        flagged.select(*RUN, "position", "chars", "opens"), RUN, ["position"], chunk, {"opened": F.col("opens")}
-    )
-    batch = (F.col("opened") + F.col("opens") - 1).cast("bigint")
-    return single.unionByName(counted.select(*RUN, "position", "chars", batch.alias("batch")))
+    sized = items.join(totals, RUN).withColumn("slice", F.floor(F.col("position") / slice_items))
+    single = sized.where(F.col("total") <= whole_limit).select(*RUN, "position", "chars", F.lit(0).cast("bigint").alias("batch"))
+    large = sized.where(F.col("total") > whole_limit).select(*RUN, "slice", F.col("position").cast("bigint").alias("position"), F.col("chars").cast("bigint").alias("chars"))
+    large = cut_lineage(large)
+    kinds = dict(large.dtypes)
+    run = ", ".join(f"{c} {kinds[c]}" for c in RUN)
+    summary = f"{run}, slice bigint, total bigint, ends array<bigint>, opened array<bigint>, fill array<bigint>"
+    slices = large.groupBy(*RUN, "slice").applyInPandas(_slice_summary(batch_limit), summary)
+    entries = slices.groupBy(*RUN).applyInPandas(_slice_entries(batch_limit), f"{run}, slice bigint, fill bigint, batch bigint")
+    numbered = large.join(entries, [*RUN, "slice"]).groupBy(*RUN, "slice")
+    return single.unionByName(numbered.applyInPandas(_number_items(batch_limit), f"{run}, position bigint, chars bigint, batch bigint"))

@@ -115,5 +115,7 @@ def test_batches_match_greedy_fill(spark):
             used += size
             expected[(run, i)] = batch
             data.append(("p", run, i, size))
-    found = R.pack_batches(spark.createDataFrame(data, KEYS + "position bigint, chars bigint"))
-    assert {(r.run_id, r.position): r.batch for r in found.collect()} == expected
+    rows = spark.createDataFrame(data, KEYS + "position bigint, chars bigint")
+    for items in (10_000, 7, 1):  # slices shorter than a batch, too
+        found = R.pack_batches(rows, slice_items=items)
+        assert {(r.run_id, r.position): r.batch for r in found.collect()} == expected

@@ -43,6 +43,20 @@ def test_written_tables_know_their_size(spark):
     assert df.count() == 1002 and "FileScan parquet" in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_temporary_tables_go_with_their_scope(spark):
+    outer = skew.cut_lineage(spark.range(3).toDF("k"))
+    with skew.temporary_tables(spark):
+        inner = skew.cut_lineage(spark.range(5).toDF("k"))
+        assert inner.count() == 5
+    assert outer.count() == 3
+    spark.catalog.clearCache()
+    try:
+        left = spark.read.schema("k bigint").parquet(inner.inputFiles()[0]).count()
+    except Exception:  # noqa: BLE001
+        left = 0
+    assert left == 0
+
+
 def test_every_query_has_sql_and_a_name():
     assert set(registry.ORACLES) == set(registry.QUERIES) <= set(entry_points.queries())
     assert set(registry.ORACLES) <= set(entry_points.oracle_sql()) <= set(entry_points.queries())
