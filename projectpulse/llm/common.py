@@ -154,3 +154,19 @@ def planes(values: np.ndarray) -> bytes:
 def from_planes(packed: bytes) -> np.ndarray:
     steps = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
     return np.cumsum(steps, dtype=np.uint32)
+
+
+def merge_sets(labels: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Join the sets of x and y; labels[i] is the smallest member of i's set."""
+    while True:
+        a, b = labels[x], labels[y]
+        apart = a != b
+        if not apart.any():
+            return labels
+        x, y = x[apart], y[apart]
+        np.minimum.at(labels, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while True:
+            deeper = labels[labels]
+            if np.array_equal(deeper, labels):
+                break
+            labels = deeper
