@@ -7,7 +7,7 @@ the rest. Shards are rows of a Parquet table, one file per partition, written an
 alone; the planes compress with the file. Documents never span shards unless they are longer than
 one, in which case the shard grows with them.
 
-Distinct chunks between single spaces are tokenized once per worker (a bounded table): the
+Distinct chunks between single spaces are tokenized once per task (a bounded table): the
 pre-tokenizer always ends a token before a space that stands between two other characters.
 
 Cases: a null or empty text has the end id only; null ids come first; equal ids are ordered by a
@@ -17,8 +17,8 @@ hash of the row; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 
 from projectpulse.llm import common
 
-SHARD_TOKENS, BLOCK_BITS, TABLE_CHUNKS = 4 << 20, 4096, 400_000
+SHARD_TOKENS, BLOCK_BITS, TABLE_CHUNKS = 4 << 20, 4096, 600_000
 SHARD = "part int, seq int, n_tokens bigint, n_docs bigint, doc_ids binary, has_id binary, lengths binary, zeros array<bigint>, planes array<binary>, ranks array<binary>"
+#: how the vocabulary writes a space; words segmented in one call
+SPACE_MARK, RUN_WORDS = "\u0120", 256
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-ODD_SPACE = re.compile(r" \s|\s ")
 
 
 class WaveletMatrix:
@@ -46,7 +47,7 @@ class WaveletMatrix:
         zeros, planes, ranks = [], [], []
         row = ids.astype(np.uint16) if not len(ids) or int(ids.max()) < 1 << 16 else ids.astype(np.uint32)
         for bit in reversed(range(int(row.max(initial=0)).bit_length())):
-            ones = (row >> row.dtype.type(bit) & row.dtype.type(1)).view(np.uint16 if row.itemsize == 2 else np.uint32).astype(bool)
+            ones = (row & row.dtype.type(1 << bit)) != 0
             packed = np.packbits(ones)
             counts = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK_BITS // 8), dtype=np.uint32)
             ranks.append((np.cumsum(counts, dtype=np.uint32) - counts).tobytes())
@@ -122,32 +123,59 @@ class WaveletMatrix:
 
 
 class ChunkTable:
-    """Ids of the chunks between single spaces met so far."""
+    """Ids (little-endian bytes) of the chunks met so far, by the chunk without its space."""
 
     def __init__(self, tokenizer_file: str, limit: int = TABLE_CHUNKS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.limit = limit
-        self.ids: dict[str, tuple[int, ...]] = {}
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        parts = text.split(" ") if not ODD_SPACE.search(text) and not text.startswith(" ") and not text.endswith(" ") else LONE_SPACE.split(text)
-        return [parts[0], *[" " + p for p in parts[1:]]]
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        chunks = self.chunks(text)
-        new = [c for c in dict.fromkeys(chunks) if c not in self.ids]
+        self.ids: dict[str, bytes | None] = {}
+        names = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(names.values()) + 1, bool)  # tokens that begin with a space
+        self.opens[[number for name, number in names.items() if name.startswith(SPACE_MARK)]] = True
+
+    def _segment_words(self, words: list[str]) -> list[bytes]:
+        """Ids of `` word`` for every word: many at once, cut apart where a token begins with a space."""
+        runs = [words[low : low + RUN_WORDS] for low in range(0, len(words), RUN_WORDS)]
+        out = []
+        for run, found in zip(runs, self._segment([" " + " ".join(run) for run in runs]), strict=True):
+            cuts = (np.flatnonzero(self.opens[np.frombuffer(found, "<u4")]) * 4).tolist()
+            if len(cuts) == len(run):
+                out += [found[a:b] for a, b in zip(cuts, [*cuts[1:], len(found)], strict=True)]
+            else:  # a tokenizer with other rules
+                out += self._segment([" " + word for word in run])
+        return out
+
+    def _segment(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        """A word that is empty or has white space at an end does not stand alone: it is kept as None."""
+        alone = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        self.ids.update(zip(alone, self._segment_words(alone), strict=True))
+        self.ids.update(dict.fromkeys(words.difference(alone)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [text.split(" ") for text in texts]
+        heads = self._segment([parts[0] for parts in split])
+        tails = [parts[1:] for parts in split]
+        words = set().union(*tails)
+        new = words.difference(self.ids)
         if len(self.ids) + len(new) > self.limit:
             self.ids.clear()
-            new = list(dict.fromkeys(chunks))
-        if new:
-            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.ids.update((c, tuple(e.ids)) for c, e in zip(new, encoded, strict=True))
-        return np.fromiter(chain.from_iterable(map(self.ids.__getitem__, chunks)), np.uint32)
+            new = words
+        self._learn(new)
+        out = []
+        for text, parts, tail, head in zip(texts, split, tails, heads, strict=True):
+            try:
+                if tail and parts[0][-1:].isspace():
+                    raise TypeError
+                out.append(head + b"".join(map(self.ids.__getitem__, tail)))
+            except TypeError:  # a space beside another white space: cut at lone spaces only
+                first, *tail = LONE_SPACE.split(text)
+                out.append(b"".join(self._segment([first, *[" " + p for p in tail]])))
+        return out
 
 
 _tables: dict[str, ChunkTable] = {}
@@ -177,10 +205,11 @@ def _build(tokenizer_file: str, end_id: int, shard_tokens: int):
             _tables[tokenizer_file] = ChunkTable(tokenizer_file)
         table, part, seq = _tables[tokenizer_file], TaskContext.get().partitionId(), 0
         names, found, held = [], [], 0
-        end = np.array([end_id], np.uint32)
-        for batch in batches:
-            for name, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = np.concatenate([table.encode(text or ""), end])
+        end = np.array([end_id], "<u4").tobytes()
+        for rows, _, _ in common.blocks(batches):
+            encoded = table.encode([text or "" for text in rows["text"].to_pylist()])
+            for name, packed in zip(rows["doc_id"].to_pylist(), encoded, strict=True):
+                ids = np.frombuffer(packed + end, "<u4")
                 if found and held + len(ids) > shard_tokens:
                     yield shard(part, seq, names, found)
                     names, found, held, seq = [], [], 0, seq + 1
@@ -189,6 +218,8 @@ def _build(tokenizer_file: str, end_id: int, shard_tokens: int):
                 held += len(ids)
         if found:
             yield shard(part, seq, names, found)
+        table.ids.clear()
+        common.give_back()
 
     return run
 
