@@ -34,6 +34,8 @@ SAMPLE_ROWS, TRIGRAM_BITS = 4000, 15
 #: trigrams that a text's evidence counts for at most: neighbouring trigrams are no independent witnesses
 WITNESSES = 60
 DECLARED_TRUST, OTHER_SHARE = 0.9, 0.01
+#: share of trigrams in any text that follow no language (numbers, keys, names): a few odd words do not decide
+STRAY_SHARE = 0.2
 SUFFIX_WEIGHT, HOST_WEIGHT = 20.0, 20.0
 #: bytes that are not part of words count as spaces
 PLAIN = common.LOWER.copy()
@@ -84,7 +86,8 @@ def fit_trigrams(labelled: DataFrame, id_col: str, text_col: str, label_col: str
     if not names:
         return [], np.zeros((0, 1 << TRIGRAM_BITS))
     counts = np.stack([c for _, c in found]) + 0.05
-    return names, np.log(counts / counts.sum(axis=1, keepdims=True))
+    shares = counts / counts.sum(axis=1, keepdims=True)
+    return names, np.log((1 - STRAY_SHARE) * shares + STRAY_SHARE / (1 << TRIGRAM_BITS))
 
 
 def _likelihoods(names: list[str], logs: np.ndarray):
@@ -93,7 +96,7 @@ def _likelihoods(names: list[str], logs: np.ndarray):
     table = np.vstack([logs, np.full(1 << TRIGRAM_BITS, -np.log(1 << TRIGRAM_BITS))]) if names else np.zeros((1, 1 << TRIGRAM_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in common.blocks(batches):
+        for rows, data, offsets in common.blocks(batches, limit=common.BLOCK_BYTES // 2):
             number, owner = trigrams(data, offsets)
             size = rows.num_rows
             n = np.bincount(owner, minlength=size)
