@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding by a table of distinct marked words.
 
 In a model none of whose pieces continue past a white-space marker, the marked words of a text
-(a run of markers and what follows up to the next marker) are segmented independently. A worker
+(a run of markers and what follows up to the next marker) are segmented independently. A task
 keeps a table of the distinct words it has met, has the library segment each of them once, and
-joins the ids back by position. The table is bounded (``TABLE_WORDS``) and starts anew when full.
+joins the ids back by position. The table is bounded (``TABLE_WORDS``), starts anew when full, and
+goes with the task.
 If a model has pieces that cross markers, whole texts go to the library.
 
 Cases: a null or empty text has no ids and decodes to an empty text; all other columns are ignored;
@@ -13,8 +14,8 @@ an empty table gives an empty result. Ids are those of the library without begin
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from projectpulse.llm import common
 
-TABLE_WORDS = 400_000
+TABLE_WORDS = 250_000
 MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -33,7 +34,7 @@ def words_stand_alone(processor) -> bool:
 
 
 class WordTable:
-    """Ids of the marked words met so far."""
+    """Ids (32-bit, as bytes) of the marked words met so far."""
 
     def __init__(self, model_file: str, limit: int = TABLE_WORDS) -> None:
         import sentencepiece
@@ -41,7 +42,7 @@ class WordTable:
         self.processor = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.alone = words_stand_alone(self.processor)
         self.limit = limit
-        self.ids: dict[str, tuple[int, ...]] = {}
+        self.ids: dict[str, bytes] = {}
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -52,25 +53,23 @@ class WordTable:
             return text.split(" ")
         return [word[1:] for word in WORDS.findall(MARK + text.replace(" ", MARK))]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         if not self.alone:
-            return self.processor.encode(texts, num_threads=1)
-        out = []
-        for text in texts:
-            words = self.words(text)
-            new = [w for w in dict.fromkeys(words) if w not in self.ids]
-            if len(self.ids) + len(new) > self.limit:
-                self.ids.clear()
-                new = list(dict.fromkeys(words))
-            if new:
-                self.ids.update(zip(new, self._segment(new), strict=True))
-            out.append(list(chain.from_iterable(map(self.ids.__getitem__, words))))
-        return out
-
-    def _segment(self, words: list[str]) -> list[tuple[int, ...]]:
+            return self._packed(texts)
+        split = [self.words(text) for text in texts]
+        words = set().union(*split)
+        new = words.difference(self.ids)
+        if len(self.ids) + len(new) > self.limit:
+            self.ids.clear()
+            new = words
+        filled = [word for word in new if word]
+        self.ids.update(zip(filled, self._packed(filled), strict=True))
         # the library adds no marker to an empty text: there the word is the marker alone
-        found = map(tuple, self.processor.encode(words, num_threads=1))
-        return [ids if word else (self.processor.piece_to_id(MARK),) for word, ids in zip(words, found, strict=True)]
+        self.ids[""] = array("i", [self.processor.piece_to_id(MARK)]).tobytes()
+        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        return [array("i", ids).tobytes() for ids in self.processor.encode(texts, num_threads=1)]
 
 
 _tables: dict[str, WordTable] = {}
@@ -90,9 +89,11 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
         table = _table(model_file)
         for rows, _, _ in common.blocks(batches):
             found = table.encode([t or "" for t in rows["text"].to_pylist()])
-            borders = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            values = np.fromiter(chain.from_iterable(found), np.int32, count=int(borders[-1]))
+            borders = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+            values = np.frombuffer(b"".join(found), np.int32)
             yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.ListArray.from_arrays(pa.array(borders), pa.array(values))], names=["doc_id", "ids"])
+        table.ids.clear()
+        common.give_back()
 
     return common.with_row_key(docs, id_col, text_col).select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 

@@ -42,7 +42,8 @@ def test_sentence_pieces_equal_the_library(spark, words, odd_texts):
 def test_a_full_word_table_starts_anew(words):
     table = sentence_pieces.WordTable(PIECE_MODEL, limit=10)
     texts = [" ".join(words[i : i + 7]) for i in range(0, 200, 5)]
-    assert table.encode(texts) == table.processor.encode(texts)
+    assert [np.frombuffer(x, np.int32).tolist() for x in table.encode(texts)] == table.processor.encode(texts)
+    assert [np.frombuffer(table.encode([t])[0], np.int32).tolist() for t in texts] == table.processor.encode(texts)
     assert len(table.ids) <= 10
 
 
