@@ -5,9 +5,13 @@ Pivots, a bounded sample, divide the vectors into cells by the nearest pivot. By
 inequality a vector of cell p within r of some vector of cell q is at most 2r farther from q's
 pivot than from its own, and at most r plus the cell's radius away from it; for Euclidean distance
 it also lies within r of the plane between both pivots. A vector is copied to just those cells
-with a larger number, so each pair of cells meets once. Cells join independently. Crowded cells are
-cut into blocks of bounded size, and each pair of blocks is a task of its own, so all pairs in
-reach are compared whatever the crowding.
+with a larger number, so each pair of cells meets once. Cells join independently: their own
+vectors against all that are there. Both sides are cut into blocks of bounded size, and each pair of
+blocks is a group of its own, so all pairs in reach are compared whatever the crowding. Products in
+single precision sort out the pairs; those near the limit are computed in double precision.
+
+How much the pivots save depends on the data: vectors without clusters, in many dimensions, are all
+about as far from one pivot as from another, and then half of all pairs are compared.
 
 Equal vectors are one class with a count; links are counted, not listed; each task reports the
 number of links per class and a spanning forest of what it has joined.
@@ -31,8 +35,9 @@ from projectpulse.llm import common
 from projectpulse.skew import cut_lineage
 
 #: vectors per pivot aimed at, most pivots, vectors per block
-CELL_ROWS, MOST_PIVOTS, BLOCK_ROWS = 2000, 256, 4096
-SLACK = 1e-9  # of distances, above rounding
+CELL_ROWS, MOST_PIVOTS, BLOCK_ROWS = 4096, 256, 4096
+#: of distances, above rounding; of products in single precision, above theirs
+SLACK, COARSE = 1e-9, 1e-4
 
 
 def as_matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -105,48 +110,47 @@ def _copy_out(pivots_by_dim: dict[int, np.ndarray], radii: dict[tuple[int, int],
     return run
 
 
-def merge(labels: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Join the sets of x and y; labels[i] is the smallest member of i's set."""
-    while True:
-        a, b = labels[x], labels[y]
-        apart = a != b
-        if not apart.any():
-            return labels
-        x, y = x[apart], y[apart]
-        np.minimum.at(labels, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
-        while True:
-            deeper = labels[labels]
-            if np.array_equal(deeper, labels):
-                break
-            labels = deeper
+def _near(left: np.ndarray, right: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs of unit vectors whose product reaches ``least``."""
+    left32, right32 = left.astype(np.float32), right.astype(np.float32).T
+    for low in range(0, len(left), 512):
+        product = left32[low : low + 512] @ right32
+        flat = np.flatnonzero(product >= np.float32(least - COARSE))
+        value = product.ravel()[flat]
+        i, j = np.divmod(flat, len(right))
+        i += low
+        sure = value >= least + COARSE
+        doubtful = np.flatnonzero(~sure)
+        for part in np.array_split(doubtful, -(-len(doubtful) // 65536) or 1):
+            sure[part] = np.einsum("ij,ij->i", left[i[part]], right[j[part]]) >= least
+        yield i[sure], j[sure]
 
 
 def _join(least: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        dim, first, second = (int(key[i].as_py()) for i in (0, 2, 3))
-        order = np.argsort(table["vec_id"].to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        ids, copies = table["vec_id"].to_numpy(), table["copies"].to_numpy().astype(np.int64)
-        block, resident = table["block"].to_numpy(), table["resident"].to_numpy()
+        dim = int(key[0].as_py())
+        table = table.sort_by("vec_id")
+        side, resident = table["left"].to_numpy(), table["resident"].to_numpy()
+        ids, names, copies = table["vec_id"].to_numpy(), table["name"].to_numpy(), table["copies"].to_numpy()
         vectors = units(as_matrix(table["vector"], dim))
-        left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        links, labels = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for low in range(0, len(left), 512):
-            some = left[low : low + 512]
-            near = vectors[some] @ vectors[right].T >= least
-            near &= resident[some][:, None] | resident[right][None, :]
-            if first == second:
-                near &= some[:, None] < right[None, :]
-            i, j = np.nonzero(near)
-            i, j = some[i], right[j]
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            labels = merge(labels, i, j)
-        root = np.flatnonzero(labels != np.arange(len(ids)))
-        some = np.flatnonzero(links)
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        # a vector may stand on both sides: links are gathered on its first row
+        _, place = np.unique(names, return_inverse=True)
+        first = np.full(place.max() + 1, len(ids))
+        np.minimum.at(first, place, np.arange(len(ids)))
+        node = first[place]
+        links, labels = np.zeros(len(ids)), np.arange(len(ids))
+        for i, j in _near(vectors[left], vectors[right], least) if len(left) and len(right) else []:
+            i, j = left[i], right[j]
+            once = ~resident[j] | (names[i] < names[j])  # residents meet twice, and themselves
+            i, j = i[once], j[once]
+            links += np.bincount(node[i], copies[j], len(ids)) + np.bincount(node[j], copies[i], len(ids))
+            labels = common.merge_sets(labels, node[i], node[j])
+        root, some = np.flatnonzero(labels != np.arange(len(ids))), np.flatnonzero(links)
+        linked = np.arange(len(some) + len(root)) < len(some)
         return pa.table({
-            "a": pa.array(np.concatenate([ids[some], ids[root]])), "b": pa.array(np.concatenate([np.zeros(len(some), np.int64), ids[labels[root]]]), mask=np.arange(len(some) + len(root)) < len(some)),
-            "links": pa.array(np.concatenate([links[some], np.zeros(len(root), np.int64)])),
+            "a": pa.array(np.concatenate([ids[some], ids[root]])), "b": pa.array(np.concatenate([ids[some], ids[labels[root]]]), mask=linked),
+            "links": pa.array(np.concatenate([links[some], np.zeros(len(root))]).astype(np.int64)),
         })
 
     return run
@@ -172,12 +176,15 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     reach = float(np.sqrt(2 - 2 * least))
     spread = housed.mapInArrow(_copy_out(pivots, radii, reach), "vec_id bigint, dim int, vector binary, copies bigint, cell int, resident boolean")
     spread = cut_lineage(spread)
-    crowds = spread.groupBy("dim", "cell").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK_ROWS).cast("int")).select("dim", "cell", "blocks")
-    placed = spread.join(crowds, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = placed.select("*", other.alias("_o")).select(
-        "vec_id", "dim", "vector", "copies", "cell", "resident", "block", F.least("block", "_o").alias("one"), F.greatest("block", "_o").alias("two")
-    )
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK_ROWS), F.lit(1)).cast("int")
+    crowds = spread.groupBy("dim", "cell").agg(blocks(F.count_if("resident")).alias("own"), blocks(F.count("*") / 4).alias("all"))
+    placed = spread.withColumn("name", F.xxhash64("vec_id", "vector")).join(cut_lineage(crowds), ["dim", "cell"])
+    number = lambda n: F.pmod(F.col("name"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ["vec_id", "dim", "vector", "copies", "cell", "resident", "name"]
+    lefts = placed.where("resident").select(*kept, F.lit(True).alias("left"), number("own").alias("one"), every("all").alias("two"))
+    rights = placed.select(*kept, F.lit(False).alias("left"), number("all").alias("two"), every("own").alias("one"))
+    tasks = lefts.unionByName(rights)
     found = cut_lineage(tasks.groupBy("dim", "cell", "one", "two").applyInArrow(_join(least), "a bigint, b bigint, links bigint"))
 
     member = clean.join(classes.select(F.col("vec_id").alias("class_id"), "dim", "vector", "copies"), ["dim", "vector"]).select("vec_id", "class_id", "copies")
