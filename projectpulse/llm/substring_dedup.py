@@ -1,13 +1,14 @@
 """Substring de-duplication by Rabin-Karp hashes of every fixed-length word window.
 
 Every window of ``width`` words gets a 64-bit rolling hash. A task resolves what repeats inside its
-own block and sends, per hash range, one packed row with the rest; Spark brings equal ranges
-together, where equal hashes are counted against the smallest document that holds them. Windows
-that also start in a smaller document come back as word positions, overlapping ones merge into
-maximal intervals, and the words inside them go.
+own block and sends the rest, packed, to hash ranges; there equal hashes are counted against the
+smallest document that holds them. Windows that also start in a smaller document come back as word
+positions, overlapping ones merge into maximal intervals, and the words inside them go.
 
-A hot window costs one entry per block, not one per row. Hash ranges are sized by the text, so a
-range fits a task at any size.
+A window's range is that of the smallest hash of its ``GRAM``-word strings, which most neighbouring
+windows share: they travel together, and a document's windows reach a number of ranges that
+depends on its length only. A hot window costs one entry per block, not one per row. Ranges are
+sized by the text, so a range fits a task at any size.
 
 Cases: null or empty texts have no words; texts shorter than a window keep all words; a null id is
 smaller and larger than nothing, so such rows neither lose words nor make others lose any; rows that
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from projectpulse.llm import common
 
-#: bytes of text whose windows share one hash range
-RANGE_BYTES = 12 << 20
+#: bytes of text whose windows share one hash range; words of the strings that choose it
+RANGE_BYTES, GRAM = 12 << 20, 5
 PACKED = "bucket int, kind int, ids binary, keys binary, counts binary, positions binary, hashes binary"
 HITS = "doc_id bigint, row_key bigint, positions binary"
 
@@ -62,12 +63,15 @@ def _hash_windows(width: int, buckets: int):
             named = ~np.asarray(rows["doc_id"].is_null())
             ids = np.where(named, ids, 0).astype(np.int64)
             starts, ends, texts = common.word_spans(data, offsets)
-            hashes = common.window_hashes(common.span_hashes(data, starts, ends), width)
+            words = common.span_hashes(data, starts, ends)
+            hashes = common.window_hashes(words, width)
+            gram = min(GRAM, width)
+            ranged = _ranges(common.mix(common.sliding_min(common.window_hashes(words, gram), width - gram + 1)), buckets)
             owner = texts[: len(hashes)]
             whole = (owner == texts[width - 1 :][: len(hashes)]) & named[owner]
             first_word = np.searchsorted(texts, np.arange(len(ids)))
             places = np.flatnonzero(whole)
-            hashes, owner = hashes[places], owner[places]
+            hashes, owner, ranged = hashes[places], owner[places], ranged[places]
             places = places - first_word[owner]
             # smallest id of each hash in this block; everything above it is decided here
             order = np.argsort(hashes, kind="stable")
@@ -82,12 +86,11 @@ def _hash_windows(width: int, buckets: int):
             if above.any():
                 out.append(_pack(int(keys[owner[above][0]] % buckets), 1, owner[above], places[above], None, ids, keys))
             rest = np.flatnonzero(~above)
-            ranges = _ranges(hashes[rest], buckets)
-            by_range = rest[np.argsort(ranges, kind="stable")]
-            sizes = np.bincount(ranges, minlength=buckets)
-            for bucket, part in enumerate(np.split(by_range, np.cumsum(sizes)[:-1])):
+            by_range = rest[np.argsort(ranged[rest], kind="stable")]
+            heads = common.first_of_runs(ranged[by_range])
+            for part in np.split(by_range, heads[1:]):
                 if len(part):
-                    out.append(_pack(bucket, 0, owner[part], places[part], hashes[part], ids, keys))
+                    out.append(_pack(int(ranged[part[0]]), 0, owner[part], places[part], hashes[part], ids, keys))
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
