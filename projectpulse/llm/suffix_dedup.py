@@ -136,6 +136,12 @@ def _runs(flags: np.ndarray) -> np.ndarray:
     return edge.reshape(-1, 2)
 
 
+def _reach(flags: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of all True as one stretch: settled windows between open ones come along, since a cut would repeat more bytes."""
+    place = np.flatnonzero(flags)
+    return [(int(place[0]), int(place[-1]) + 1)] if len(place) else []
+
+
 class _Found:
     """Collects settled spans and contexts that go on."""
 
@@ -155,7 +161,7 @@ class _Found:
             self.add(1, row_key, None, None, None, None, None, spans.astype(np.int64).tobytes())
 
     def pass_on(self, row_key: int, anchor: int, lead: int, low: int, context: bytes, flags: np.ndarray, width: int) -> None:
-        for start, end in _runs(flags).tolist():
+        for start, end in _reach(flags):
             self.add(0, row_key, anchor, lead - start, end - start, low + start, context[start : end + width - 1], None)
 
     def batch(self) -> pa.RecordBatch:
@@ -236,7 +242,7 @@ def _settle_chained(found: _Found, contexts: list[bytes], keys, anchor, lead, st
         for row, (context, key, own, ahead, number, begin) in enumerate(rows):
             found.settle(key, begin, repeated[row, :number], width)
             if own == last and at < len(shared):
-                for start, end in _runs(first[row, :number]).tolist():
+                for start, end in _reach(first[row, :number]):
                     held.append((context[start : end + width - 1], key, own, ahead - start, end - start, begin + start))
 
 
