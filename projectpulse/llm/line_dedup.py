@@ -94,6 +94,7 @@ def _seen_hashes(min_length: int):
                 for s, (a, b) in enumerate(zip(borders[:-1], borders[1:], strict=True)) if b > a
             ]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("slice", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]))
+        common.give_back()
 
     return run
 
@@ -123,8 +124,10 @@ def _suspects(min_length: int, filters, bits: int):
     """Lines whose key hash is in the twice-seen filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {s: np.unpackbits(np.frombuffer(zlib.decompress(f), np.uint8)).view(bool)[:bits] for s, f in filters.value.items()}
-        flat = np.concatenate([known.get(s, np.zeros(bits, bool)) for s in range(SLICES)])
+        wide = -(-bits // 8)
+        packed = np.zeros(SLICES * wide, np.uint8)
+        for s, f in filters.value.items():
+            packed[s * wide : (s + 1) * wide] = np.frombuffer(zlib.decompress(f), np.uint8)
         for batch in batches:
             rows, numbers, keys = [], [], []
             for row, (doc_id, text) in enumerate(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)):
@@ -136,13 +139,16 @@ def _suspects(min_length: int, filters, bits: int):
             if not keys:
                 continue
             hashes = _hashes(keys)
-            hit = flat[_probe_bits(hashes, bits) + (_slices(hashes).astype(np.uint64) * np.uint64(bits))].all(axis=0)
+            probes = _probe_bits(hashes, bits)
+            octet = packed[(probes >> np.uint64(3)) + _slices(hashes).astype(np.uint64) * np.uint64(wide)]
+            hit = (octet >> (np.uint8(7) - (probes & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
             chosen = np.flatnonzero(hit)
             at = pa.array(np.array(rows, np.int64)[chosen])
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"].take(at), batch["row_key"].take(at), pa.array(np.array(numbers, np.int32)[chosen]), pa.array([keys[i] for i in chosen], pa.binary()).cast(pa.string())],
                 names=["doc_id", "row_key", "line_no", "line_key"],
             )
+        common.give_back()
 
     return run
 
@@ -177,8 +183,9 @@ def drop_repeated_lines(
     slices = seen.groupBy("slice").applyInArrow(_fill(bits), "slice int, filter binary").collect()  # filter_bits in all
     filters = spark.sparkContext.broadcast({r["slice"]: bytes(r["filter"]) for r in slices})
     suspects = cut_lineage(keyed.select("doc_id", "text", "row_key").mapInArrow(_suspects(min_length, filters, bits), "doc_id bigint, row_key bigint, line_no int, line_key string"))
-    counted = suspects.groupBy("line_key").agg(F.count_distinct("doc_id").alias("_docs"), F.max("doc_id").alias("_last"))
-    counted = counted.where(F.col("_docs") >= min_docs).select(F.col("line_key").alias("_line"), "_last")
+    held = suspects.select("line_key", "doc_id").distinct()  # dealt by both, so that a hot line is counted by many tasks
+    counted = held.groupBy("line_key").agg(F.count("*").alias("_docs"), F.max("doc_id").alias("_last"))
+    counted = cut_lineage(counted.where(F.col("_docs") >= min_docs).select(F.col("line_key").alias("_line"), "_last"))
     gone = suspects.join(counted, F.col("line_key") == F.col("_line")).where("doc_id != _last")
     gone = gone.groupBy(F.col("row_key").alias("_key"), F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("gone"))
     joined = keyed.join(gone, (F.col("row_key") == F.col("_key")) & (F.col("doc_id") == F.col("_id")), "left")
