@@ -1,18 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: seeds of rare words, then Smith-Waterman alignment.
 
-The word n-grams of the test items are looked up in every document. Their document frequencies are
-counted over the whole corpus, and the rarer half of each item's n-grams (all that are as rare as
-its median) become seeds: they join passages to items. Around each seed hit the passage and the item
-are aligned by words (match 2, mismatch and gap -1); the score is a share of the item's best
-possible one, so edited and partly paraphrased copies still score high. A document is contaminated
-by an item if the score is at least ``least``.
+A passage and an item are aligned by words (match 2, mismatch and gap -1); the score is a share of
+the item's best possible one, so edited and partly paraphrased copies still score high. A document
+is contaminated by an item if the score is at least ``least``.
+
+Seeds lose no such pair. A score of ``least`` needs a share of ``least`` of the item's words in
+place, within ``3 - 2 * least`` times its length. So among all but a few of its words, whichever
+these are, some are in place; they are chosen as the rarest by their document frequency over the
+whole corpus. Where enough of them lie together, all words of the item are counted, and where these
+are enough the two are aligned. The result is that of aligning every document with every item.
 
 Words are runs of bytes other than white space and ASCII punctuation, A-Z in lower case. Items are
-taken in blocks of at most ``BLOCK_ITEMS``; a block and its n-grams go to all tasks, and more items
-mean more passes. Rows of one document travel alone, so an item that a third of all documents
-contain makes no hot key.
+taken in blocks of at most ``BLOCK_ITEMS``; a block and its words go to all tasks, and more items
+mean more passes, each of which reads the documents twice. Rows of one document travel alone, so an
+item that a third of all documents contain makes no hot key.
 
-Cases: null or empty texts have no words; items with fewer words than an n-gram match nothing; rows
+Cases: null or empty texts have no words; items with fewer than ``gram`` words match nothing; rows
 with a null id are judged like others and reported with a null id; repeated rows are reported once per row;
 empty tables give an empty result.
 """
@@ -27,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from projectpulse.llm import common
-from projectpulse.skew import cut_lineage
 
 GRAM, LEAST, BLOCK_ITEMS = 4, 0.5, 20_000
 MATCH, MISS = 2, 1
@@ -37,6 +39,8 @@ NORMAL[58:65] = 32
 NORMAL[91:97] = 32
 NORMAL[123:127] = 32
 PROBE_BITS = 20
+#: (word, item) pairs that are sorted at once
+STEP = 1 << 20
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,19 +90,16 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
 
 
 class Seeds:
-    """The distinct n-grams of a block of items, to be looked up in documents."""
-
-    def __init__(self, items: list[np.ndarray], gram: int) -> None:
-        grams = [common.window_hashes(words, gram) for words in items]
-        every = np.concatenate([np.zeros(0, np.uint64), *grams])
-        self.hashes, place = np.unique(every, return_inverse=True)
-        self.item = np.repeat(np.arange(len(items)), np.array([len(g) for g in grams], np.int64))
-        self.seed, self.offset = place, np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in grams]]).astype(np.int64)
+    """The distinct words of a block of items, to be looked up in documents."""
+
+    def __init__(self, items: list[np.ndarray]) -> None:
+        self.hashes, self.seed = np.unique(np.concatenate([np.zeros(0, np.uint64), *items]), return_inverse=True)
+        self.item = np.repeat(np.arange(len(items)), np.array([len(words) for words in items], np.int64))
         self.probe = np.zeros(1 << PROBE_BITS, bool)
         self.probe[self.hashes >> np.uint64(64 - PROBE_BITS)] = True
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions that hold one of the n-grams, and its number."""
+        """Positions that hold one of the words, and its number."""
         maybe = np.flatnonzero(self.probe[hashes >> np.uint64(64 - PROBE_BITS)])
         number = np.searchsorted(self.hashes, hashes[maybe])
         number[number == len(self.hashes)] = 0
@@ -106,91 +107,101 @@ class Seeds:
         return maybe[right], number[right]
 
 
-def _hits(seeds: Seeds, gram: int, reach: int):
-    """Per document with a hit: seeds and positions, and the word hashes within reach of any of them."""
+class Rare:
+    """Per item its rarest words, how many of them a passage must hold, and within how many words.
+
+    With ``match`` of an item's words in place at least, all but ``match - need`` of its words hold
+    ``need`` matches at least, whichever they are; taking the rarest makes the fewest candidates.
+    """
+
+    def __init__(self, seeds: Seeds, items: list[np.ndarray], frequency: np.ndarray, gram: int, least: float) -> None:
+        sizes = np.array([len(words) for words in items], np.int64)
+        self.match = np.maximum(np.ceil(least * sizes - 1e-9).astype(np.int64), 1)
+        self.need = np.maximum(self.match // 3, 1)
+        self.span = np.floor(sizes * (3 - 2 * least) + 1e-9).astype(np.int64)
+        rank = np.lexsort((seeds.seed, frequency[seeds.seed], seeds.item))
+        order = np.arange(len(rank)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        taken = rank[(order < np.repeat(sizes - self.match + self.need, sizes)) & np.repeat(sizes >= gram, sizes)]
+        pairs = np.unique(seeds.seed[taken] * max(len(items), 1) + seeds.item[taken])
+        self.items = pairs % max(len(items), 1)
+        self.starts = np.searchsorted(pairs // max(len(items), 1), np.arange(len(seeds.hashes) + 1))
+        self.words = [np.unique(words) for words in items]
+
+
+def _word_counts(seeds: Seeds):
+    """(seed, documents of this task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in common.blocks(batches):
+        count = np.zeros(len(seeds.hashes), np.int64)
+        for _, data, offsets in common.blocks(batches):
             words, texts = word_hashes(data, offsets)
-            hashes = common.window_hashes(words, gram)
-            if not len(hashes) or not len(seeds.hashes):
-                continue
-            place, number = seeds.find(hashes)
-            inside = texts[place] == texts[place + gram - 1]
-            place, number = place[inside], number[inside]
-            if not len(place):
-                continue
-            heads = common.first_of_runs(texts[place])
-            first_word = np.searchsorted(texts, np.arange(rows.num_rows + 1))
-            out = {"at": [], "seeds": [], "places": [], "kept_from": [], "words": []}
-            for low, high in zip(heads, np.append(heads[1:], len(place)), strict=True):
-                text = texts[place[low]]
-                start, stop = first_word[text], first_word[text + 1]
-                near = np.zeros(stop - start + 1, np.int32)
-                local = place[low:high] - start
-                np.add.at(near, np.maximum(local - reach, 0), 1)
-                np.add.at(near, np.minimum(local + reach, stop - start), -1)
-                kept = np.flatnonzero(np.cumsum(near)[:-1] > 0)
-                out["at"].append(text)
-                out["seeds"].append(number[low:high].astype(np.int32).tobytes())
-                out["places"].append(local.astype(np.int32).tobytes())
-                out["kept_from"].append(kept.astype(np.int32).tobytes())
-                out["words"].append(words[start + kept].tobytes())
-            at = pa.array(out["at"], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [rows["doc_id"].take(at), rows["row_key"].take(at), *[pa.array(out[n], pa.binary()) for n in ("seeds", "places", "kept_from", "words")]],
-                names=["doc_id", "row_key", "seeds", "places", "kept_from", "words"],
-            )
+            if len(words) and len(count):
+                place, number = seeds.find(words)
+                held = np.unique(texts[place] * len(count) + number)
+                count += np.bincount(held % len(count), minlength=len(count))
+        seed = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int32)), pa.array(count[seed])], names=["seed", "n"])
 
     return run
 
 
-def _seed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seed, documents of this batch)."""
-    for batch in batches:
-        found = [np.unique(np.frombuffer(s.as_buffer(), np.int32)) for s in batch["seeds"]]
-        seed, count = np.unique(np.concatenate([np.zeros(0, np.int32), *found]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(count)], names=["seed", "n"])
-
-
-def _score(seeds: Seeds, items: list[np.ndarray], ids: list[int], rare: np.ndarray, least: float):
-    """Documents x items that share a rare seed, aligned where the seeds lie."""
-    by_seed = np.argsort(seeds.seed, kind="stable")
-    starts = np.searchsorted(seeds.seed[by_seed], np.arange(len(seeds.hashes) + 1))
-
-    def windows(number: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, first, last word) around the diagonals of the seeds, overlapping ones merged."""
-        found: dict[int, list[tuple[int, int]]] = {}
-        for seed, place in zip(number, places, strict=True):
-            for entry in by_seed[starts[seed] : starts[seed + 1]]:
-                if rare[entry]:
-                    item = int(seeds.item[entry])
-                    slack = len(items[item]) // 2 + 5
-                    low = int(place - seeds.offset[entry]) - slack
-                    found.setdefault(item, []).append((low, low + len(items[item]) + 2 * slack))
-        for item, spans in found.items():
-            spans.sort()
-            low, high = spans[0]
-            for a, b in spans[1:]:
-                if a <= high and b - low <= 6 * len(items[item]) + 60:
-                    high = max(high, b)
-                else:
-                    yield item, low, high
-                    low, high = a, b
-            yield item, low, high
+def _candidates(rare: Rare, n_items: int, texts: np.ndarray, place: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first and end word) around ``need`` rare words within reach of each other, overlapping ones merged."""
+    times = rare.starts[number + 1] - rare.starts[number]
+    place, number, times = place[times > 0], number[times > 0], times[times > 0]
+    heads = common.first_of_runs(texts[place])
+    before = np.concatenate(([0], np.cumsum(times)))
+    at = 0
+    while at < len(heads):  # whole texts, of about STEP entries
+        stop = max(at + 1, int(np.searchsorted(before[heads], before[heads[at]] + STEP, side="right")) - 1) if before[-1] - before[heads[at]] > STEP else len(heads)
+        low, high = heads[at], heads[stop] if stop < len(heads) else len(place)
+        at = stop
+        some = times[low:high]
+        where = np.repeat(place[low:high], some)
+        inner = np.arange(len(where)) - np.repeat(np.cumsum(some) - some, some)
+        item = rare.items[np.repeat(rare.starts[number[low:high]], some) + inner]
+        key = texts[where] * n_items + item
+        order = np.argsort(key, kind="stable")
+        key, where, item = key[order], where[order], item[order]
+        last = np.arange(len(key)) + rare.need[item] - 1
+        inside = last < len(key)
+        last[~inside] = 0
+        close = np.flatnonzero(inside & (key[last] == key) & (where[last] - where < rare.span[item]))
+        if not len(close):
+            continue
+        own, begin = key[close], where[close]
+        reach = rare.span[item[close]]
+        apart = np.concatenate(([True], (own[1:] != own[:-1]) | (begin[1:] - begin[:-1] > reach[1:])))
+        group = np.flatnonzero(apart)
+        for a, b in zip(group, np.append(group[1:], len(close)), strict=True):
+            span, which = int(reach[a]), int(item[close[a]])
+            for first in range(int(begin[a]), int(begin[b - 1]) + 1, 4 * span):  # a long run in pieces; every alignment lies whole in one
+                until = min(first + 4 * span - 1, int(begin[b - 1]))
+                yield int(texts[begin[a]]), which, first - span + 1, until + span
+
+
+def _score(seeds: Seeds, rare: Rare, items: list[np.ndarray], ids: list[int], least: float):
+    """Documents x items that share enough rare words, aligned where these lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, item, passage, last = [], [], [], []
-            for i in range(batch.num_rows):
-                number, places, kept = (np.frombuffer(batch[n][i].as_buffer(), np.int32) for n in ("seeds", "places", "kept_from"))
-                words = np.frombuffer(batch["words"][i].as_buffer(), np.uint64)
-                for which, low, high in windows(number, places):
-                    a, b = np.searchsorted(kept, (max(low, 0), high))
-                    row.append(i)
+        for rows, data, offsets in common.blocks(batches):
+            words, texts = word_hashes(data, offsets)
+            if not len(words) or not len(seeds.hashes):
+                continue
+            first_word = np.searchsorted(texts, np.arange(rows.num_rows + 1))
+            row, item, passage, begin = [], [], [], []
+            for text, which, low, high in _candidates(rare, len(items), texts, *seeds.find(words)):
+                low, high = max(low, int(first_word[text])), min(high, int(first_word[text + 1]))
+                part, own = words[low:high], rare.words[which]
+                number = np.searchsorted(own, part)
+                number[number == len(own)] = 0
+                sums = np.concatenate(([0], np.cumsum(own[number] == part)))
+                span = min(int(rare.span[which]), len(part))
+                if (sums[span:] - sums[: len(sums) - span]).max() >= rare.match[which]:
+                    row.append(text)
                     item.append(which)
-                    passage.append(words[a:b])
-                    last.append(kept[a:b])
+                    passage.append(part)
+                    begin.append(low - int(first_word[text]))
             if not row:
                 continue
             score, end = align([items[x] for x in item], passage)
@@ -198,7 +209,7 @@ def _score(seeds: Seeds, items: list[np.ndarray], ids: list[int], rare: np.ndarr
             if len(good):
                 at = pa.array([row[g] for g in good], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(at), batch["row_key"].take(at), pa.array([ids[item[g]] for g in good], pa.int64()), pa.array(score[good]), pa.array([int(last[g][min(end[g], len(last[g]) - 1)]) for g in good], pa.int64())],
+                    [rows["doc_id"].take(at), rows["row_key"].take(at), pa.array([ids[item[g]] for g in good], pa.int64()), pa.array(score[good]), pa.array([begin[g] + int(end[g]) for g in good], pa.int64())],
                     names=["doc_id", "row_key", "item_id", "score", "end_word"],
                 )
 
@@ -218,20 +229,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         block = named.where(F.pmod(F.xxhash64("item", "words"), F.lit(passes)) == number).collect()  # about BLOCK_ITEMS rows
         items = item_words([r["words"] for r in block])
         ids = [r["item"] for r in block]
-        seeds = Seeds(items, gram)
-        reach = 2 * max([0, *map(len, items)]) + 10
-        hits = cut_lineage(keyed.mapInArrow(_hits(seeds, gram, reach), "doc_id bigint, row_key bigint, seeds binary, places binary, kept_from binary, words binary"))
-        counted = hits.select("seeds").mapInArrow(_seed_counts, "seed int, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
+        seeds = Seeds(items)
+        counted = keyed.mapInArrow(_word_counts(seeds), "seed int, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
         frequency = np.zeros(len(seeds.hashes), np.int64)
-        for r in counted.collect():  # one row per n-gram of the block at most
+        for r in counted.collect():  # one row per word of the block at most
             frequency[r["seed"]] = r["n"]
-        rare = np.zeros(len(seeds.seed), bool)
-        borders = np.searchsorted(seeds.item, np.arange(len(items) + 1))
-        for low, high in zip(borders[:-1], borders[1:], strict=True):
-            own = frequency[seeds.seed[low:high]]
-            if len(own):
-                rare[low:high] = own <= np.median(own)
-        results.append(hits.mapInArrow(_score(seeds, items, ids, rare, least), ddl))
+        rare = Rare(seeds, items, frequency, gram, least)
+        results.append(keyed.mapInArrow(_score(seeds, rare, items, ids, least), ddl))
     found = results[0]
     for more in results[1:]:
         found = found.unionByName(more)

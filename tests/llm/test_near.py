@@ -190,3 +190,30 @@ def test_decontamination_in_several_passes(spark, words, monkeypatch):
     docs = spark.createDataFrame([(i, "zz " * i + t) for i, t in items], "doc_id bigint, text string")
     got = {(r.doc_id, r.item_id, r.score) for r in decontamination.contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     assert got == {(i, i, 1.0) for i in range(6)}
+
+
+def test_decontamination_equals_alignment_of_all_pairs(spark, words):
+    """Copies with 10 to 30 % of the words edited, once or several times alike, and with every 5th word replaced."""
+    source = random.Random(21)
+    items = [(i, " ".join(source.choice(words) for _ in range(source.randint(14, 45)))) for i in range(10)]
+    texts = []
+    for n in range(60):
+        copy = items[n % 10][1].split()
+        if n < 10:
+            copy = [f"new{n}x{p}" if p % 5 == 0 else w for p, w in enumerate(copy)]
+        else:
+            for _ in range(round(len(copy) * (0.1, 0.2, 0.3)[n % 3])):
+                at, edit = source.randrange(len(copy)), source.choice("rid")
+                copy[at : at + (edit != "i")] = [] if edit == "d" else [source.choice(words)]
+        around = [[source.choice(words) for _ in range(source.randint(0, 80))] for _ in range(2)]
+        texts += [" ".join(around[0] + copy + around[1])] * (3 if n % 4 == 0 else 1)
+    texts.append(" ".join(w + " x y" * (n % 2) for n, w in enumerate(items[0][1].split())))  # words put in between leave no 4-gram
+    expected = {}
+    for d, text in enumerate(texts):
+        for i, item in items:
+            score = smith_waterman(item.split(), text.split())
+            if score >= 0.5:
+                expected[d, i] = score
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert len(expected) > 70 and got == expected
