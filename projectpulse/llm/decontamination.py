@@ -10,7 +10,8 @@ these are, some are in place; they are chosen as the rarest by their document fr
 whole corpus. Where enough of them lie together, all words of the item are counted, and where these
 are enough the two are aligned. The result is that of aligning every document with every item.
 
-Words are runs of bytes other than white space and ASCII punctuation, A-Z in lower case. Items are
+Words are runs of characters other than white space and punctuation (Unicode categories Z and P,
+and ASCII symbols), without case (Unicode case folding, the same for items and documents). Items are
 taken in blocks of at most ``BLOCK_ITEMS``; a block and its words go to all tasks, and more items
 mean more passes, each of which reads the documents twice. Rows of one document travel alone, so an
 item that a third of all documents contain makes no hot key.
@@ -22,6 +23,9 @@ empty tables give an empty result.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +43,62 @@ NORMAL[58:65] = 32
 NORMAL[91:97] = 32
 NORMAL[123:127] = 32
 PROBE_BITS = 20
+#: code points with case or punctuation are all below
+FOLDED = 0x20000
 #: (word, item) pairs that are sorted at once
 STEP = 1 << 20
 
 
+def _fold(char: str) -> bytes:
+    """A character without case; punctuation and white space as spaces."""
+    if char.isspace() or unicodedata.category(char)[0] in "PZ":
+        return b" " * len(char.encode())
+    return char.casefold().encode()
+
+
+@functools.cache
+def _folds() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: 0 for characters that stay, 1 for others, 2 where the length changes; and their new bytes."""
+    kind, new = np.zeros(FOLDED, np.uint8), np.zeros((FOLDED, 4), np.uint8)
+    for code in itertools.chain(range(128, 0xD800), range(0xE000, FOLDED)):
+        own, fold = chr(code).encode(), _fold(chr(code))
+        if fold != own:
+            kind[code] = 1 if len(fold) == len(own) else 2
+            new[code, : len(own)] = np.frombuffer(fold[: len(own)].ljust(len(own)), np.uint8)
+    return kind, new
+
+
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts beyond ASCII without case, their punctuation as spaces."""
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return data, offsets
+    kind, new = _folds()
+    data, odd = data.copy(), []
+    first = data[lead]
+    for size, low, high in ((2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0x100)):
+        at = lead[(first >= low) & (first < high)]
+        code = (data[at] & (0x7F >> size)).astype(np.int64)
+        for step in range(1, size):
+            code = code << 6 | data[np.minimum(at + step, len(data) - 1)] & 0x3F
+        found = np.where(code < FOLDED, kind[np.minimum(code, FOLDED - 1)], 0)
+        odd.append(at[found == 2])
+        at, code = at[found == 1], code[found == 1]
+        for step in range(size):
+            data[np.minimum(at + step, len(data) - 1)] = new[code, step]
+    odd = np.unique(np.searchsorted(offsets, np.concatenate(odd), side="right") - 1)
+    if not len(odd):
+        return data, offsets
+    raw = data.tobytes()
+    texts = [raw[a:b] for a, b in itertools.pairwise(offsets)]
+    for text in odd:
+        texts[text] = "".join(_fold(c).decode() for c in texts[text].decode(errors="replace")).encode()
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of all words of a block."""
+    data, offsets = folded(data, offsets)
     plain = NORMAL[data]
     starts, ends, texts = common.word_spans(plain, offsets)
     return common.span_hashes(plain, starts, ends), texts

@@ -217,3 +217,11 @@ def test_decontamination_equals_alignment_of_all_pairs(spark, words):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     assert len(expected) > 70 and got == expected
+
+
+def test_decontamination_ignores_case_and_punctuation_of_all_scripts(spark):
+    items = [(1, "Él niño ñandú corrió árbol último café jamás"), (2, "straße über größe ähnlich öfter mühe"), (3, "один два три четыре пять шесть")]
+    docs = [(1, "x É " + items[0][1].upper()), (2, "x " + items[1][1].upper()), (3, "«" + "» — «".join(w.title() for w in items[2][1].split()) + "»…"), (4, "\u00a0".join(f"“{w}”" for w in items[0][1].split())), (5, "él один über"), (6, "İx ẞ. " + items[2][1].upper())]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.score) for r in decontamination.contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (4, 1, 1.0), (6, 3, 1.0)}
