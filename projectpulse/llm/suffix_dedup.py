@@ -18,6 +18,10 @@ The same step runs in the task that cuts the contexts, on its own contexts, firs
 there are settled, and one of each kind goes on. So a passage that a third of all documents share
 reaches the second step once per task, not once per row.
 
+An anchor with more than ``HOT_CONTEXTS`` contexts (a short line that a third of all documents hold
+in different surroundings) is not ordered in one task. Its open windows are dealt by the hash of
+their ``width`` bytes, so equal ones meet and different ones spread, and equal hashes are repeats.
+
 Cases: a null text is empty; texts shorter than ``width`` lose nothing; matches never cross texts;
 rows that repeat a text are repeats of each other, whatever their ids, null ids included; an empty
 table gives an empty result. What remains of a text may not be valid UTF-8 and is binary.
@@ -39,6 +43,8 @@ from projectpulse.skew import cut_lineage
 GRAM = 32
 #: contexts ordered together, and bytes of them per task of the second step
 ORDER_ROWS, TASK_BYTES = 8192, 8 << 20
+#: contexts that are ordered for one anchor; those of anchors with more are dealt as hashes of their windows
+HOT_CONTEXTS = 4 * ORDER_ROWS
 PLACE = "doc_id bigint, row_key bigint, anchor bigint, at bigint, low bigint, high bigint"
 CONTEXT = "kind int, row_key bigint, anchor bigint, lead int, starts int, low bigint, context binary, spans binary"
 
@@ -164,6 +170,14 @@ class _Found:
         for start, end in _reach(flags):
             self.add(0, row_key, anchor, lead - start, end - start, low + start, context[start : end + width - 1], None)
 
+    def deal(self, hashes: np.ndarray, keys: np.ndarray, places: np.ndarray, parts: int) -> None:
+        """Windows of hot anchors, packed by the part that their hash falls into (as ``anchor``)."""
+        part = (hashes % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        for some in np.split(order, common.first_of_runs(part[order])[1:]):
+            if len(some):
+                self.add(2, None, int(part[some[0]]), None, None, None, hashes[some].tobytes(), np.concatenate((keys[some], places[some])).tobytes())
+
     def batch(self) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict(self.rows, schema=self.schema)
 
@@ -181,12 +195,12 @@ def _settle(found: _Found, contexts: list[bytes], keys: np.ndarray, anchor: np.n
     return open_flags
 
 
-def _cut_contexts(width: int):
+def _cut_contexts(width: int, parts: int = 1):
     """Contexts of the listed anchors; repeats among this batch's own are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contexts, keys, anchor, lead, starts, low = [], [], [], [], [], []
+            contexts, keys, anchor, lead, starts, low, hot = [], [], [], [], [], [], []
             for text, key, places in zip(batch["text"], batch["row_key"].to_pylist(), batch["places"].to_pylist(), strict=True):
                 data = memoryview(text.as_buffer())
                 for p in places:
@@ -196,28 +210,56 @@ def _cut_contexts(width: int):
                     lead.append(p["at"] - p["low"])
                     starts.append(p["high"] - p["low"] + 1)
                     low.append(p["low"])
+                    hot.append(p["hot"])
             if not contexts:
                 continue
             arrays = [np.array(x, np.int64) for x in (keys, anchor, lead, starts, low)]
             found = _Found()
             flags = _settle(found, contexts, *arrays, width)
+            dealt = []
             for i, open_windows in enumerate(flags):
                 every = np.ones(starts[i], bool) if open_windows is None else open_windows
+                if hot[i]:
+                    begin = np.flatnonzero(every)
+                    hashes = common.span_hashes(np.frombuffer(contexts[i], np.uint8), begin, begin + width)
+                    dealt.append((hashes, np.full(len(begin), keys[i], np.int64), begin + low[i]))
+                    continue
                 found.pass_on(keys[i], anchor[i], lead[i], low[i], contexts[i], every, width)
+            if dealt:
+                found.deal(*(np.concatenate(x) for x in zip(*dealt, strict=True)), parts)
             yield found.batch()
 
     return run
 
 
+def _settle_dealt(found: _Found, table: pa.Table, width: int) -> None:
+    """Windows of hot anchors: equal hashes are repeats."""
+    if not table.num_rows:
+        return
+    hashes = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["context"]])
+    owners = [np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1) for x in table["spans"]]
+    keys, places = np.concatenate(owners, axis=1)
+    order = np.argsort(hashes, kind="stable")
+    heads = common.first_of_runs(hashes[order])
+    size = np.diff(np.append(heads, len(order)))
+    again = order[np.repeat(size > 1, size)]
+    again = again[np.lexsort((places[again], keys[again]))]
+    for some in np.split(again, common.first_of_runs(keys[again])[1:]):
+        if len(some):
+            begin = np.unique(places[some])
+            found.add(1, int(keys[some[0]]), None, None, None, None, None, np.stack((begin, begin + width), axis=1).astype(np.int64).tobytes())
+
+
 def _settle_group(width: int):
     def run(table: pa.Table) -> pa.Table:
-        known = table.filter(pc.equal(table["kind"], 1))
+        known, dealt = table.filter(pc.equal(table["kind"], 1)), table.filter(pc.equal(table["kind"], 2))
         table = table.filter(pc.equal(table["kind"], 0))
         found = _Found()
         if table.num_rows:
             contexts = [c.as_buffer().to_pybytes() for c in table["context"]]
             arrays = [table[n].to_numpy().astype(np.int64) for n in ("row_key", "anchor", "lead", "starts", "low")]
             _settle_chained(found, contexts, *arrays, width)
+        _settle_dealt(found, dealt, width)
         out = found.batch()
         spans = pa.Table.from_batches([out]).select(["row_key", "spans"])
         return pa.concat_tables([known.select(["row_key", "spans"]), spans])
@@ -271,19 +313,26 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _dealt_contexts(keyed: DataFrame, width: int) -> DataFrame:
+    """Contexts of repeated anchors, windows of hot ones and settled spans, with the task that takes them."""
+    places = cut_lineage(keyed.mapInArrow(_anchor_rows(width), PLACE).drop("doc_id"))
+    shared = cut_lineage(places.groupBy("anchor").count().where("count > 1"))
+    hot = F.col("count") > HOT_CONTEXTS
+    size, many = shared.agg(F.sum(F.when(~hot, F.col("count"))), F.sum(F.when(hot, F.col("count")))).first()
+    wanted = places.join(shared.select("anchor", hot.alias("hot")), "anchor")
+    per_row = wanted.groupBy("row_key").agg(F.collect_set(F.struct("anchor", "at", "low", "high", "hot")).alias("places"))
+    texts = keyed.join(per_row, "row_key").select("text", "row_key", "places")
+    parts = max(8, -(-(many or 0) * 24 * (width - GRAM + 1) // TASK_BYTES))  # a window is three numbers
+    tasks = max(8, -(-(size or 0) * (width + width // 2) // TASK_BYTES) + (parts if many else 0))
+    contexts = texts.mapInArrow(_cut_contexts(width, parts), CONTEXT)
+    return contexts.withColumn("task", F.pmod(F.xxhash64(F.coalesce("anchor", "row_key")), F.lit(tasks)))
+
+
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_bytes."""
     common.small_batches(docs.sparkSession)
     keyed = common.with_row_key(docs, id_col, text_col)
-    places = cut_lineage(keyed.mapInArrow(_anchor_rows(width), PLACE).drop("doc_id"))
-    shared = cut_lineage(places.groupBy("anchor").count().where("count > 1"))
-    wanted = places.join(shared.select("anchor"), "anchor", "left_semi")
-    size = shared.agg(F.sum("count")).first()[0] or 0
-    per_row = wanted.groupBy("row_key").agg(F.collect_set(F.struct("anchor", "at", "low", "high")).alias("places"))
-    texts = keyed.join(per_row, "row_key").select("text", "row_key", "places")
-    contexts = texts.mapInArrow(_cut_contexts(width), CONTEXT)
-    tasks = max(8, -(-size * (width + width // 2) // TASK_BYTES))
-    dealt = contexts.withColumn("task", F.pmod(F.xxhash64(F.coalesce("anchor", "row_key")), F.lit(tasks)))
+    dealt = _dealt_contexts(keyed, width)
     spans = dealt.groupBy("task").applyInArrow(_settle_group(width), "row_key bigint, spans binary")
     per_text = spans.groupBy("row_key").agg(F.collect_list("spans").alias("spans"))
     joined = keyed.join(per_text, "row_key", "left").select("doc_id", "text", "spans")

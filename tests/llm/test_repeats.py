@@ -170,6 +170,23 @@ def test_suffix_dedup_repeated_rows_and_nulls(spark):
     assert suffix_dedup.remove_repeated_bytes(frame(spark, [])).count() == 0
 
 
+def test_suffix_dedup_spreads_a_hot_line(spark, words, monkeypatch):
+    """No task gets all contexts of a line that many documents hold in different surroundings."""
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", 20)
+    source = random.Random(31)
+    fresh = lambda n: " ".join(source.choice(words) for _ in range(n))
+    line = fresh(90)[:300]
+    texts = [f"{fresh(90)} {line} {fresh(90)}" for _ in range(60)] + passages(words, 3, 20, 4)
+    texts += [texts[0], "x" + texts[1][300:], texts[2][:900] + " end"]
+    docs = frame(spark, enumerate(texts))
+    dealt = suffix_dedup._dealt_contexts(common.with_row_key(docs, "doc_id", "text"), 400)
+    assert max(r["count"] for r in dealt.where("kind = 0").groupBy("anchor").count().collect()) <= 20
+    assert dealt.where("kind = 2").select("anchor").distinct().count() > 1
+    expected = brute_bytes(texts, 400)
+    for row in suffix_dedup.remove_repeated_bytes(docs).collect():
+        assert (row.n_bytes, row.n_removed, row.n_spans, bytes(row.kept_bytes)) == expected[row.doc_id]
+
+
 # ---- substrings
 
 
