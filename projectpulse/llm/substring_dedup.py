@@ -7,8 +7,10 @@ positions, overlapping ones merge into maximal intervals, and the words inside t
 
 A window's range is that of the smallest hash of its ``GRAM``-word strings, which most neighbouring
 windows share: they travel together, and a document's windows reach a number of ranges that
-depends on its length only. A hot window costs one entry per block, not one per row. Ranges are
-sized by the text, so a range fits a task at any size.
+depends on its length only. A hot window costs one entry per block, not one per row. A hot
+``GRAM``-word string would draw the different windows of many documents into one range; so windows
+are counted by it first, and those of strings with ``HOT_WINDOWS`` or more are dealt by their own
+hash. Equal windows still meet. Ranges are sized by the text, so a range fits a task at any size.
 
 Cases: null or empty texts have no words; texts shorter than a window keep all words; a null id is
 smaller and larger than nothing, so such rows neither lose words nor make others lose any; rows that
@@ -29,6 +31,8 @@ from projectpulse.llm import common
 
 #: bytes of text whose windows share one hash range; words of the strings that choose it
 RANGE_BYTES, GRAM = 12 << 20, 5
+#: windows of one such string that are too many for its range (a quarter of it), and bits of the cells that count them
+HOT_WINDOWS, CELL_BITS = RANGE_BYTES // 24, 20
 PACKED = "bucket int, kind int, ids binary, keys binary, counts binary, positions binary, hashes binary"
 HITS = "doc_id bigint, row_key bigint, positions binary"
 
@@ -54,10 +58,46 @@ def _pack(bucket: int, kind: int, rows: np.ndarray, places: np.ndarray, hashes:
     }
 
 
-def _hash_windows(width: int, buckets: int):
+def _minimisers(words: np.ndarray, width: int) -> np.ndarray:
+    """Per window its smallest hash of ``GRAM`` words."""
+    gram = min(GRAM, width)
+    return common.mix(common.sliding_min(common.window_hashes(words, gram), width - gram + 1))
+
+
+def _cells(minimisers: np.ndarray) -> np.ndarray:
+    return (minimisers & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
+
+
+def _count_windows(width: int, least: int):
+    """(cell, windows of this task) of cells with ``least`` windows here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(1 << CELL_BITS, np.int64)
+        for _, data, offsets in common.blocks(batches):
+            starts, ends, texts = common.word_spans(data, offsets)
+            found = _minimisers(common.span_hashes(data, starts, ends), width)
+            whole = texts[: len(found)] == texts[width - 1 :][: len(found)]
+            count += np.bincount(_cells(found[whole]), minlength=len(count))
+        cell = np.flatnonzero(count >= least)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count[cell])], names=["cell", "n"])
+
+    return run
+
+
+def _hot_cells(keyed: DataFrame, width: int) -> np.ndarray:
+    """All cells with ``HOT_WINDOWS`` windows; what tasks do not report adds up to less than half of it."""
+    tasks = keyed.rdd.getNumPartitions()
+    counted = keyed.mapInArrow(_count_windows(width, max(1, HOT_WINDOWS // (2 * max(tasks, 1)))), "cell bigint, n bigint")
+    hot = counted.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_WINDOWS // 2)
+    return np.array([r["cell"] for r in hot.collect()], np.int64)  # at most two per HOT_WINDOWS windows, 2**CELL_BITS at all
+
+
+def _hash_windows(width: int, buckets: int, hot: np.ndarray = np.zeros(0, np.int64)):
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *[(n, pa.binary()) for n in ("ids", "keys", "counts", "positions", "hashes")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_hot = np.zeros(1 << CELL_BITS, bool)
+        is_hot[hot] = True
         for rows, data, offsets in common.blocks(batches):
             ids, keys = rows["doc_id"].to_numpy(zero_copy_only=False), rows["row_key"].to_numpy()
             named = ~np.asarray(rows["doc_id"].is_null())
@@ -65,8 +105,8 @@ def _hash_windows(width: int, buckets: int):
             starts, ends, texts = common.word_spans(data, offsets)
             words = common.span_hashes(data, starts, ends)
             hashes = common.window_hashes(words, width)
-            gram = min(GRAM, width)
-            ranged = _ranges(common.mix(common.sliding_min(common.window_hashes(words, gram), width - gram + 1)), buckets)
+            shared = _minimisers(words, width)
+            ranged = np.where(is_hot[_cells(shared)], _ranges(hashes, buckets), _ranges(shared, buckets))
             owner = texts[: len(hashes)]
             whole = (owner == texts[width - 1 :][: len(hashes)]) & named[owner]
             first_word = np.searchsorted(texts, np.arange(len(ids)))
@@ -171,7 +211,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     keyed = common.with_row_key(docs, id_col, text_col)
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // RANGE_BYTES))
-    packed = keyed.mapInArrow(_hash_windows(width, buckets), PACKED)
+    packed = keyed.mapInArrow(_hash_windows(width, buckets, _hot_cells(keyed, width)), PACKED)
     hits = packed.groupBy("bucket").applyInArrow(_repeated, HITS)
     per_row = hits.groupBy(F.col("row_key").alias("_key"), F.col("doc_id").alias("_id")).agg(F.collect_list("positions").alias("hits"))
     joined = keyed.join(per_row, (F.col("row_key") == F.col("_key")) & (F.col("doc_id") == F.col("_id")), "left")

@@ -220,6 +220,32 @@ def test_substring_dedup_equals_brute_force(spark, words, odd_texts, seed):
     assert substring_dedup.remove_repeated_windows(frame(spark, [])).count() == 0
 
 
+def test_substring_dedup_spreads_a_hot_phrase(spark, words, monkeypatch):
+    """Different windows around one frequent phrase do not all go to one range."""
+    monkeypatch.setattr(substring_dedup, "HOT_WINDOWS", 400)
+    source = random.Random(41)
+    phrase = " ".join(words[:5])
+    low = min((" ".join(source.choices(words, k=5)) for _ in range(3000)), key=lambda t: int(_phrase_hash(t)))
+    rows = [(i, " ".join([*source.choices(words, k=60), low, *source.choices(words, k=60), phrase])) for i in range(80)]
+    rows += [(100 + i, rows[i][1][50:]) for i in range(5)]
+    docs = frame(spark, rows)
+    hot = substring_dedup._hot_cells(common.with_row_key(docs, "doc_id", "text"), 50)
+    assert len(hot)
+    sizes = defaultdict(int)
+    for batch in substring_dedup._hash_windows(50, 64, hot)(iter(common.with_row_key(docs, "doc_id", "text").toArrow().to_batches())):
+        for r in batch.to_pylist():
+            sizes[r["bucket"]] += len(r["hashes"]) // 8
+    assert max(sizes.values()) < sum(sizes.values()) / 8
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeated_windows(docs).collect()]
+    assert by_id(got) == by_id(brute_words(rows, 50))
+
+
+def _phrase_hash(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = common.word_spans(raw, np.array([0, len(raw)]))
+    return common.window_hashes(common.span_hashes(raw, starts, ends), 5)[0]
+
+
 # ---- lines
 
 
