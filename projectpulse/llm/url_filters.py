@@ -35,7 +35,7 @@ def parse_rule(text: str, verdict: str) -> dict:
     path = slash + path
     tokens = [f"h:{label}" for label in host.split(".") if label]
     tokens += [f"p:{part}" for part in path.split("/")[1:-1] if part]  # the last part may go on in the URL
-    own = rf"(?:.*\.)?{re.escape(host)}" if host else "[^/]*"
+    own = rf"(?:[^/]*\.)?{re.escape(host)}" if host else "[^/]*"
     return {"rule": text, "verdict": verdict, "pattern": f"^{own}(?=/|$){re.escape(path)}", "tokens": tokens or [ANY], "weight": len(text)}
 
 

@@ -123,6 +123,17 @@ def test_url_rule_without_a_whole_token_and_ties(spark):
     assert got == {"http://q/abc": ("/ab", "block"), "http://q/a": (None, "allow"), "http://x.a/bbb": ("a/bb", "block"), "http://a/bc": ("a/b", "allow")}
 
 
+def test_url_rules_look_for_hosts_in_the_host_only(spark):
+    """A path that holds a fitting host, as in proxy and archive addresses, fits no rule."""
+    urls = ["http://mirror.org/www.example.com/de/x", "http://x.com/www.y.org/fr/", "http://x.com/a.net/", "http://www.example.com/de/x", "http://www.y.org/fr/"]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    rules = url_filters.rule_table(spark, [url_filters.parse_rule(*r) for r in URL_RULES])
+    got = {r.url: (r.rule, r.verdict) for r in url_filters.judge_urls(pages, rules).collect()}
+    assert got == dict(zip(urls, [(None, "allow")] * 3 + [("example.com/de/", "block"), ("org/fr/", "allow")], strict=True))
+    for r in URL_RULES:
+        assert not any(re.search(url_filters.parse_rule(*r)["pattern"], u.removeprefix("http://")) for u in urls[:3])
+
+
 SYLLABLES = {"en": ["the", "ing", "wh", "tion", "ed"], "de": ["sch", "ung", "ein", "üb", "ich"], "fr": ["eau", "que", "ai", "ment", "è"], "es": ["ció", "ñ", "ar", "los", "ez"]}
 
 
