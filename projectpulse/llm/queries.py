@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from projectpulse.llm import decontamination, language_id, line_dedup, metric_join, minhash_forest, sentence_pieces, substring_dedup, suffix_dedup, token_files, url_filters
+from projectpulse.llm import decontamination, language_id, line_dedup, metric_join, minhash_forest, quality_rules, sentence_pieces, substring_dedup, suffix_dedup, token_files, url_filters
 from projectpulse.llm.common import table
 from projectpulse.skew import new_folder
 
-#: folder of the public vocabulary files
-TOKENIZERS = "/opt/tokenizers"
-PIECE_MODEL, BYTE_TOKENIZER = f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/byte_bpe_50k.json"
+#: the public vocabulary files of the installed package, which executors have as well
+PIECE_MODEL, BYTE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,49 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-shards")
     token_files.write_shards(table(spark, sf_dir, "documents"), folder, BYTE_TOKENIZER, end_id=0)
     return token_files.read_shards(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
+OP11_BASE = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, coalesce(text, '') AS text,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), windows AS (
+  SELECT doc_id, p, words[p] || ' ' || words[p + 1] || ' ' || words[p + 2] AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS p FROM w WHERE len(words) >= 3)
+), twice AS (SELECT doc_id, s FROM windows GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT DISTINCT doc_id, p + k AS i FROM windows JOIN twice USING (doc_id, s), range(0, 3) AS r(k)),
+repeats AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id),
+base AS (
+  SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, len(list_filter(words, lambda x: regexp_matches(x, '\p{L}')))::BIGINT AS n_letter_words
+  FROM w LEFT JOIN repeats USING (doc_id)
+), bits AS (
+  SELECT *, [n_words < 50, 100 * n_repeat_words > 50 * n_words, word_chars < 3 * n_words OR word_chars > 10 * n_words, 10 * n_symbols > n_words,
+    100 * n_letter_words < 80 * n_words, n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines] AS f FROM base
+)
+"""
+OP11_SQL = OP11_BASE + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f[1] OR f[2] AS base_failed, NOT list_contains(f, true) AS kept FROM bits
+"""
+
+
+@query("op11_quality_rules", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    base, prose = (quality_rules.POLICIES[quality_rules.newest(name)] for name in ("base", "prose"))
+    kept = quality_rules.passes(base) & quality_rules.passes(prose)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality_rules.passes(base)).alias("base_failed"), kept.alias("kept"))
+
+
+ABLATION_SQL = OP11_BASE + """, masks(policy, version, mask) AS (VALUES ('base', 1, [1, 2]), ('prose', 1, [1, 2, 3, 4]), ('prose', 2, [1, 2, 3, 4, 5, 6])),
+rules(rule, r) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('word_length', 3), ('symbols', 4), ('few_letters', 5), ('repeated_lines', 6)),
+each AS (SELECT policy, version, rule, f[r] AS this, len(list_filter(mask, lambda k: f[k])) AS n FROM bits, masks JOIN rules ON list_contains(mask, r))
+SELECT policy, version, rule, count(*) AS n_docs, count(*) FILTER (n = 0) AS n_kept, count(*) FILTER (this) AS n_failed, count(*) FILTER (this AND n = 1) AS n_failed_alone
+FROM each GROUP BY ALL
+"""
+
+
+@query("quality_ablations", ABLATION_SQL)
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each version costs, over all documents."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
