@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from projectpulse.llm import decontamination, language_id, line_dedup, metric_join, minhash_forest, quality_rules, sentence_pieces, spelling_variants, substring_dedup, suffix_dedup, token_files, url_filters
+from projectpulse.llm import collocations, decontamination, language_id, line_dedup, metric_join, minhash_forest, quality_rules, sentence_pieces, spelling_variants, substring_dedup, suffix_dedup, token_files, url_filters
 from projectpulse.llm.common import table
 from projectpulse.skew import new_folder
 
@@ -267,3 +267,31 @@ FROM judged JOIN chain USING (w) JOIN judged ends ON ends.w = stop AND ends.form
 @query("op12_spelling_variants", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), split AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (SELECT lang, m, ws[i:i + m - 1] AS g FROM (SELECT lang, m, ws, unnest(range(1, len(ws) - m + 2)) AS i FROM split, range(1, 5) AS r(m))),
+f AS (SELECT lang, m, g, count(*) AS f FROM grams GROUP BY lang, m, g HAVING count(*) >= 30),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM split GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.g, c.f AS a, k, l.f AS l, r.f AS r, 2000000::HUGEINT * c.f // (l.f + r.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) c JOIN f l ON l.lang = c.lang AND l.g = c.g[1:k] JOIN f r ON r.lang = c.lang AND r.g = c.g[k + 1:c.m]
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, g[i:i + size - 1] AS g, max(f) AS longer
+  FROM (SELECT *, unnest(range(1, m - size + 2)) AS i FROM f, range(2, 4) AS s(size) WHERE m > size) GROUP BY ALL
+), kept AS (
+  SELECT best.lang, array_to_string(best.g, ' ') AS phrase, a, l, r, score::BIGINT AS score
+  FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.g = best.g WHERE longer IS NULL OR 100 * longer < 80 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
