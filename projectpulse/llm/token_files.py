@@ -7,8 +7,9 @@ the rest. Shards are rows of a Parquet table, one file per partition, written an
 alone; the planes compress with the file. Documents never span shards unless they are longer than
 one, in which case the shard grows with them.
 
-Distinct chunks between single spaces are tokenized once per task (a bounded table): the
-pre-tokenizer always ends a token before a space that stands between two other characters.
+Distinct chunks between single spaces are tokenized once per task (a bounded table), told apart by
+64-bit hashes within a block of texts: the pre-tokenizer always ends a token before a space that
+stands between two other characters.
 
 Cases: a null or empty text has the end id only; null ids come first; equal ids are ordered by a
 hash of the row; an empty table gives an empty result.
@@ -16,7 +17,6 @@ hash of the row; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterator
 
@@ -32,7 +32,10 @@ SHARD_TOKENS, BLOCK_BITS, TABLE_CHUNKS = 4 << 20, 4096, 600_000
 SHARD = "part int, seq int, n_tokens bigint, n_docs bigint, doc_ids binary, has_id binary, lengths binary, zeros array<bigint>, planes array<binary>, ranks array<binary>"
 #: how the vocabulary writes a space; words segmented in one call
 SPACE_MARK, RUN_WORDS = "\u0120", 256
-LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: white space of one byte, and first bytes of white space of three
+BLANK, WIDE_BLANK = np.zeros(256, bool), np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x20]] = True
+WIDE_BLANK[[0xE1, 0xE2, 0xE3]] = True
 
 
 class WaveletMatrix:
@@ -122,60 +125,70 @@ class WaveletMatrix:
         return row.astype(np.uint32)
 
 
+def _chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of the chunks of all texts: cut before every space between two characters that are no white space.
+
+    Where a neighbour may be a white space of several bytes, no cut is made; longer chunks give the same ids.
+    """
+    border = np.zeros(len(data) + 1, bool)
+    border[offsets] = True
+    space = np.flatnonzero(data == 0x20)
+    space = space[~border[space] & ~border[space + 1]]
+    after, before = data[space + 1], data[space - 1]
+    wide = (before >= 0x80) & ((data[space - 2] == 0xC2) | WIDE_BLANK[data[space - 3]])
+    cuts = space[~(BLANK[after] | (after == 0xC2) | WIDE_BLANK[after] | BLANK[before] | wide)]
+    starts = np.union1d(offsets[:-1][offsets[1:] > offsets[:-1]], cuts)
+    return starts, np.append(starts[1:], len(data))[: len(starts)]
+
+
 class ChunkTable:
-    """Ids (little-endian bytes) of the chunks met so far, by the chunk without its space."""
+    """Ids (little-endian bytes) of the chunks met so far, by their bytes."""
 
     def __init__(self, tokenizer_file: str, limit: int = TABLE_CHUNKS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.limit = limit
-        self.ids: dict[str, bytes | None] = {}
+        self.ids: dict[bytes, bytes] = {}
         names = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(names.values()) + 1, bool)  # tokens that begin with a space
         self.opens[[number for name, number in names.items() if name.startswith(SPACE_MARK)]] = True
 
-    def _segment_words(self, words: list[str]) -> list[bytes]:
-        """Ids of `` word`` for every word: many at once, cut apart where a token begins with a space."""
+    def _segment(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Chunks of a word after one space go to the tokenizer many at once and are cut apart where a token begins with a space."""
+        alone = [c for c in chunks if c.rfind(b" ")]
+        self.ids.update(zip(alone, self._segment([c.decode() for c in alone]), strict=True))
+        words = [c for c in chunks if not c.rfind(b" ")]
         runs = [words[low : low + RUN_WORDS] for low in range(0, len(words), RUN_WORDS)]
-        out = []
-        for run, found in zip(runs, self._segment([" " + " ".join(run) for run in runs]), strict=True):
+        for run, found in zip(runs, self._segment([b"".join(run).decode() for run in runs]), strict=True):
             cuts = (np.flatnonzero(self.opens[np.frombuffer(found, "<u4")]) * 4).tolist()
             if len(cuts) == len(run):
-                out += [found[a:b] for a, b in zip(cuts, [*cuts[1:], len(found)], strict=True)]
+                self.ids.update(zip(run, [found[a:b] for a, b in zip(cuts, [*cuts[1:], len(found)], strict=True)], strict=True))
             else:  # a tokenizer with other rules
-                out += self._segment([" " + word for word in run])
-        return out
-
-    def _segment(self, chunks: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        """A word that is empty or has white space at an end does not stand alone: it is kept as None."""
-        alone = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        self.ids.update(zip(alone, self._segment_words(alone), strict=True))
-        self.ids.update(dict.fromkeys(words.difference(alone)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.split(" ") for text in texts]
-        heads = self._segment([parts[0] for parts in split])
-        tails = [parts[1:] for parts in split]
-        words = set().union(*tails)
-        new = words.difference(self.ids)
+                self.ids.update(zip(run, self._segment([c.decode() for c in run]), strict=True))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and the number of ids of every text."""
+        starts, ends = _chunks(data, offsets)
+        _, first, which = np.unique(common.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        chunks = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        new = [c for c in chunks if c not in self.ids]
         if len(self.ids) + len(new) > self.limit:
             self.ids.clear()
-            new = words
+            new = chunks
         self._learn(new)
-        out = []
-        for text, parts, tail, head in zip(texts, split, tails, heads, strict=True):
-            try:
-                if tail and parts[0][-1:].isspace():
-                    raise TypeError
-                out.append(head + b"".join(map(self.ids.__getitem__, tail)))
-            except TypeError:  # a space beside another white space: cut at lone spaces only
-                first, *tail = LONE_SPACE.split(text)
-                out.append(b"".join(self._segment([first, *[" " + p for p in tail]])))
-        return out
+        held = [self.ids[c] for c in chunks]
+        sizes = np.array([len(h) >> 2 for h in held], np.int64)
+        flat = np.frombuffer(b"".join(held), "<u4")
+        each = sizes[which]
+        shift = (np.cumsum(sizes) - sizes)[which] - (np.cumsum(each) - each)
+        ids = flat[np.repeat(shift, each) + np.arange(int(each.sum()))]
+        owner = np.searchsorted(offsets, starts, side="right") - 1
+        return ids, np.bincount(owner, weights=each, minlength=len(offsets) - 1).astype(np.int64)
 
 
 _tables: dict[str, ChunkTable] = {}
@@ -205,11 +218,10 @@ def _build(tokenizer_file: str, end_id: int, shard_tokens: int):
             _tables[tokenizer_file] = ChunkTable(tokenizer_file)
         table, part, seq = _tables[tokenizer_file], TaskContext.get().partitionId(), 0
         names, found, held = [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
-        for rows, _, _ in common.blocks(batches):
-            encoded = table.encode([text or "" for text in rows["text"].to_pylist()])
-            for name, packed in zip(rows["doc_id"].to_pylist(), encoded, strict=True):
-                ids = np.frombuffer(packed + end, "<u4")
+        for rows, data, offsets in common.blocks(batches):
+            tokens, sizes = table.encode(data, offsets)
+            tokens = np.insert(tokens, np.cumsum(sizes), end_id)
+            for name, ids in zip(rows["doc_id"].to_pylist(), np.split(tokens, np.cumsum(sizes + 1)[:-1]), strict=True):
                 if found and held + len(ids) > shard_tokens:
                     yield shard(part, seq, names, found)
                     names, found, held, seq = [], [], 0, seq + 1
