@@ -240,8 +240,7 @@ def _impact(spark, sf_dir):
     rows, edges = inputs.catalog_findings(spark, sf_dir), inputs.edges(spark, sf_dir)
     nodes = _nodes(edges)
     seeds = rows.select(*RUN, F.col("file_path").alias("node")).distinct().join(nodes, [*RUN, "node"], "left_semi")
-    closure = graph.transitive_dependents(edges, seeds)
-    return R.dependency_impact(rows, nodes, graph.direct_dependents(edges), closure)
+    return R.dependency_impact(rows, nodes, graph.direct_dependents(edges), graph.dependent_counts(edges, seeds))
 
 
 @query("ag6_dependency_impact", "SELECT * FROM impact", ("impact",))
@@ -262,6 +261,33 @@ def _(spark, sf_dir):
     return graph.strongly_connected(inputs.edges(spark, sf_dir)).select("node", "component")
 
 
+@query("gr3_cycle_chains", """
+WITH RECURSIVE members AS (
+  SELECT node, component FROM (
+    SELECT 'part-' || a.seed AS node, least(min('part-' || a.node), 'part-' || a.seed) AS component FROM closure a JOIN closure b ON a.seed = b.node AND a.node = b.seed GROUP BY a.seed)
+), arcs AS (
+  SELECT DISTINCT s.component, s.node AS src, d.node AS dst FROM edges e JOIN members s ON s.node = 'part-' || e.src JOIN members d ON d.node = 'part-' || e.dst AND d.component = s.component
+), levels(component, node, level) AS (
+  SELECT DISTINCT component, component, 0 FROM arcs
+  UNION SELECT l.component, a.dst, l.level + 1 FROM levels l JOIN arcs a ON a.component = l.component AND a.src = l.node WHERE l.level < 200
+), first AS (SELECT component, node, min(level) AS level FROM levels GROUP BY ALL),
+ends AS (
+  SELECT f.component, f.level AS top, min(f.node) AS node FROM first f JOIN arcs a ON a.component = f.component AND a.src = f.node AND a.dst = f.component
+  GROUP BY f.component, f.level QUALIFY row_number() OVER (PARTITION BY f.component ORDER BY f.level) = 1
+), parents AS (
+  SELECT f.component, f.node, min(p.node) AS parent FROM first f JOIN arcs a ON a.component = f.component AND a.dst = f.node
+  JOIN first p ON p.component = f.component AND p.node = a.src AND p.level = f.level - 1 GROUP BY ALL
+), walk(component, position, node) AS (
+  SELECT component, top, node FROM ends UNION ALL SELECT w.component, w.position - 1, parent FROM walk w JOIN parents p ON p.component = w.component AND p.node = w.node WHERE position > 0
+)
+SELECT component, CAST(position AS BIGINT) AS position, node FROM walk
+""", ("closure",))
+def _(spark, sf_dir):
+    """A chain of real imports through every cycle, from its smallest file back to it."""
+    edges = inputs.edges(spark, sf_dir)
+    return graph.cycle_chains(edges, graph.strongly_connected(edges)).select("component", "position", "node")
+
+
 @query("gr4_connected_components", """
 SELECT node, component FROM (SELECT 'part-' || a AS node, min('part-' || b) AS component FROM (
   WITH RECURSIVE both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
@@ -317,9 +343,23 @@ def _(spark, sf_dir):
     return graph.resolve_imports(facts, files).select("project_id", "src", "dst")
 
 
-@query("se7_distinct_edges", "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem")
+@query("se7_distinct_edges", """
+SELECT DISTINCT 'supplier-' || l_suppkey AS project_id, 'm' || l_partkey % 40 || '.py' AS src, 'm' || l_orderkey % 50 || '.py' AS dst
+FROM lineitem WHERE l_partkey % 40 <> l_orderkey % 50 AND l_orderkey % 50 < 45
+""")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    """Import statements repeat over lines and forms; the resolved graph names every edge once, and no edge to a module the project lacks."""
+    rows = table(spark, sf_dir, "lineitem")
+    module = lambda key, n: F.concat(F.lit("m"), (F.col(key) % n).cast("string"))
+    project = F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")).alias("project_id")
+    facts = rows.select(
+        project, F.lit(0).cast("bigint").alias("run_id"), F.concat(module("l_partkey", 40), F.lit(".py")).alias("path"),
+        F.when(F.col("l_returnflag") == "A", "import").otherwise("import_from").alias("kind"), F.lit(0).alias("level"),
+        module("l_orderkey", 50).alias("name"), F.when(F.col("l_returnflag") != "A", F.lit("thing")).alias("text"))
+    names = F.explode(F.sequence(F.lit(0), F.lit(44)))
+    files = rows.select(project, F.lit(0).cast("bigint").alias("run_id")).distinct().withColumn("k", names)
+    files = files.select(*RUN, F.concat(F.lit("m"), F.col("k").cast("string"), F.lit(".py")).alias("relative_path"), F.lit("py").alias("extension"))
+    return graph.resolve_imports(facts, files).select("project_id", "src", "dst")
 
 
 # --- batching -------------------------------------------------------------------------------------

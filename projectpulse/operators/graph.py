@@ -3,10 +3,17 @@
 Graphs are edge tables (project_id, run_id, src, dst); src imports dst. All loops run for
 every project at once, keep their state in tables, and cut lineage in the reliable
 checkpoint folder after each round.
+
+Closures and chains are searched inside a task where a run's graph, or a component of it, has at
+most ``WHOLE_EDGES`` edges; larger ones go through rounds of joins. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +22,10 @@ from projectpulse.functions import files as ff
 from projectpulse.skew import cut_lineage, read_tables, write_table
 
 RUN = ["project_id", "run_id"]
+#: edges of one graph that a task searches, and bytes of its bitmaps
+WHOLE_EDGES, BITMAP_BYTES = 2_000_000, 64 << 20
+#: pairs that a task hands on at once
+PAIR_ROWS = 100_000
 
 
 def import_candidates(facts: DataFrame) -> DataFrame:
@@ -58,12 +69,146 @@ def direct_dependents(edges: DataFrame) -> DataFrame:
     return edges.distinct().groupBy(*RUN, F.col("dst").alias("node")).agg(F.count("*").alias("direct_dependents"))
 
 
+def _codes(rows: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names of all nodes, and both ends of every edge as numbers of nodes."""
+    ends = pa.concat_arrays([rows["src"].combine_chunks(), rows["dst"].combine_chunks()]).dictionary_encode()
+    codes = ends.indices.to_numpy()
+    return ends.dictionary.to_pylist(), codes[: rows.num_rows].astype(np.int64), codes[rows.num_rows :].astype(np.int64)
+
+
+def _grouped(keys: np.ndarray, values: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values by key: those of key k are sorted[first[k]:first[k + 1]]."""
+    order = np.argsort(keys, kind="stable")
+    return values[order], np.searchsorted(keys[order], np.arange(count + 1))
+
+
+def _components_in_order(count: int, targets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Strongly connected component of every node; a component's number is above those of all it leads to."""
+    number, low = np.full(count, -1, np.int64), np.zeros(count, np.int64)
+    component, stack, made, seen = np.full(count, -1, np.int64), [], 0, 0
+    follow, at = targets.tolist(), first[:-1].tolist()
+    last = first[1:].tolist()
+    for root in range(count):
+        if number[root] >= 0:
+            continue
+        path = [root]
+        number[root] = low[root] = seen
+        seen += 1
+        stack.append(root)
+        while path:
+            node = path[-1]
+            if at[node] < last[node]:
+                other = follow[at[node]]
+                at[node] += 1
+                if number[other] < 0:
+                    number[other] = low[other] = seen
+                    seen += 1
+                    stack.append(other)
+                    path.append(other)
+                elif component[other] < 0:
+                    low[node] = min(low[node], number[other])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[node])
+            if low[node] == number[node]:
+                while True:
+                    member = stack.pop()
+                    component[member] = made
+                    if member == node:
+                        break
+                made += 1
+    return component
+
+
+def _reaching(src: np.ndarray, dst: np.ndarray, count: int, low: int, bits: int) -> np.ndarray:
+    """Bitmaps, one row per node: which of the nodes low .. low + bits - 1 reach it, over condensed components."""
+    importers, first = _grouped(dst, src, count)
+    component = _components_in_order(count, importers, first)  # what imports a component has a smaller number
+    made = int(component.max()) + 1
+    across = component[src] != component[dst]
+    sources, begin = _grouped(component[dst][across], component[src][across], made)
+    reach = np.zeros((made, -(-bits // 8)), np.uint8)
+    own = np.arange(low, min(low + bits, count))
+    np.bitwise_or.at(reach, (component[own], (own - low) >> 3), (1 << ((own - low) & 7)).astype(np.uint8))
+    for number in range(made):
+        if begin[number + 1] > begin[number]:
+            reach[number] |= np.bitwise_or.reduce(reach[sources[begin[number] : begin[number + 1]]], axis=0)
+    return reach[component]
+
+
+def _search(pairs: bool) -> Callable:
+    """Bitmaps of one bucket of dependents of one run; reported as pairs or as counts, for seeds only (rows without ``dst``)."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        wanted = rows.filter(rows["dst"].is_null())["src"].to_pylist()
+        rows = rows.filter(rows["dst"].is_valid())
+        names, src, dst = _codes(rows)
+        bucket, bits = key[2].as_py(), int(rows["bits"][0].as_py())
+        low = bucket * bits
+        reach = _reaching(src, dst, len(names), low, bits)
+        place = {name: number for number, name in enumerate(names)}
+        known = np.array([place[n] for n in wanted if n in place], np.int64)
+        own = (known >= low) & (known < low + bits)  # a node is no dependent of its own
+        reach[known[own], (known[own] - low) >> 3] &= ~(1 << ((known[own] - low) & 7)).astype(np.uint8)
+        named = np.array(names, object)
+        runs = lambda n: [pa.array([k.as_py()] * n, k.type) for k in key[:2]]
+        if not pairs:
+            counts = np.bitwise_count(reach[known]).sum(axis=1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*runs(len(known)), pa.array(named[known], pa.string()), pa.array(counts)], names=[*RUN, "node", "transitive_dependents"])
+            return
+        step = max(1, PAIR_ROWS // bits)
+        for at in range(0, len(known), step):
+            some = known[at : at + step]
+            which, bit = np.nonzero(np.unpackbits(reach[some], axis=1, bitorder="little"))
+            yield pa.RecordBatch.from_arrays(
+                [*runs(len(which)), pa.array(named[some[which]], pa.string()), pa.array(named[bit + low], pa.string())], names=[*RUN, "seed", "dependent"]
+            )
+
+    return run
+
+
+def _closure(edges: DataFrame, seeds: DataFrame, pairs: bool) -> DataFrame:
+    edges = cut_lineage(edges.select(*RUN, "src", "dst").distinct())
+    seeds = cut_lineage(seeds.select(*RUN, "node").distinct())
+    ends = edges.select(*RUN, F.col("src").alias("node")).unionByName(edges.select(*RUN, F.col("dst").alias("node"))).distinct()
+    sizes = edges.groupBy(*RUN).agg(F.count("*").alias("_edges")).join(ends.groupBy(*RUN).agg(F.count("*").alias("_nodes")), RUN)
+    # as many dependents at once as leave a bitmap for every node within the bound
+    bits = F.greatest(F.lit(64), F.floor(F.lit(BITMAP_BYTES * 8) / F.col("_nodes")))
+    sizes = sizes.withColumn("bits", F.least(bits, F.col("_nodes")).cast("bigint")).withColumn("_buckets", F.ceil(F.col("_nodes") / F.col("bits")))
+    sizes = cut_lineage(sizes.withColumn("_whole", F.col("_edges") * F.col("_buckets") <= WHOLE_EDGES))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_buckets") - 1)).alias("bucket")
+    whole = sizes.where("_whole").select(*RUN, "bits", every)
+    cell = [*RUN, "bucket"]
+    rows = edges.unionByName(seeds.select(*RUN, F.col("node").alias("src"), F.lit(None).cast("string").alias("dst")))
+    kinds = dict(edges.dtypes)
+    run = ", ".join(f"{name} {kinds[name]}" for name in RUN)
+    found = rows.join(whole, RUN).groupBy(*cell).applyInArrow(_search(pairs), f"{run}, " + ("seed string, dependent string" if pairs else "node string, transitive_dependents bigint"))
+    large = sizes.where("not _whole").select(*RUN)
+    if not large.isEmpty():
+        listed = _dependents_by_rounds(edges.join(large, RUN, "left_semi"), seeds.join(large, RUN, "left_semi"))
+        counted = listed.groupBy(*RUN, F.col("seed").alias("node")).agg(F.count("*").alias("transitive_dependents"))
+        found = found.unionByName(listed if pairs else counted)
+    return found if pairs else found.groupBy(*RUN, "node").agg(F.sum("transitive_dependents").alias("transitive_dependents"))
+
+
 def transitive_dependents(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """GR2: pairs (seed, dependent) of every file that reaches the seed, seed excluded.
 
-    Semi-naive: each round joins only the pairs found last with the edges and drops known
-    pairs. ``seeds`` (project_id, run_id, node) restricts the closure to files with findings.
+    ``seeds`` (project_id, run_id, node) restricts the closure to files with findings. A run's
+    components are condensed, and one bitmap per component says which files reach it.
     """
+    return _closure(edges, seeds, pairs=True)
+
+
+def dependent_counts(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """AG6: (node, transitive_dependents) of the seeds that are in the graph, without listing any pair."""
+    return _closure(edges, seeds, pairs=False)
+
+
+def _dependents_by_rounds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """GR2 for graphs of any size. Semi-naive: each round joins only the pairs found last with the edges and drops known pairs."""
     arcs = cut_lineage(edges.select(*RUN, F.col("dst").alias("at"), F.col("src").alias("dependent")).distinct())
     pair = [*RUN, "seed", "dependent"]
     known = seeds.select(*RUN, "node").distinct()
@@ -152,6 +297,94 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     return found.join(names, [*RUN, "component"]).select(*node, F.col("name").alias("component"))
 
 
+def _shortest_cycle(src: list[str], dst: list[str]) -> list[str]:
+    """Shortest cycle through the smallest node; of several parents the smallest name."""
+    start, follow = min(min(src), min(dst)), {}
+    for a, b in sorted(zip(src, dst, strict=True)):
+        follow.setdefault(a, []).append(b)
+    parent, level = {start: None}, [start]
+    while level:
+        closing = [node for node in level if start in follow.get(node, ())]
+        if closing:
+            chain = [min(closing)]
+            while parent[chain[-1]] is not None:
+                chain.append(parent[chain[-1]])
+            return chain[::-1]
+        found = {}
+        for node in sorted(level):
+            for other in follow.get(node, ()):
+                if other not in parent:
+                    found.setdefault(other, node)
+        parent.update(found)
+        level = list(found)
+    return []
+
+
+def _chain(key: tuple, edges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(list(edges))
+    chain = _shortest_cycle(rows["src"].to_pylist(), rows["dst"].to_pylist())
+    fixed = [pa.array([k.as_py()] * len(chain), k.type) for k in key]
+    yield pa.RecordBatch.from_arrays([*fixed, pa.array(range(len(chain)), pa.int64()), pa.array(chain, pa.string())], names=[*RUN, "component", "position", "node"])
+
+
+def _chains_by_rounds(edges: DataFrame) -> DataFrame:
+    """Chains of components of any size: one round of joins per step of the longest chain, then the parents back by doubling.
+
+    ``edges`` has (project_id, run_id, component, src, dst); a component is named after its smallest node.
+    """
+    own = [*RUN, "component"]
+    edges = cut_lineage(edges)
+    back = edges.where("dst = component").select(*own, F.col("src").alias("node"))
+    level = edges.select(*own, F.col("component").alias("node")).distinct().withColumn("parent", F.lit(None).cast("string")).withColumn("level", F.lit(0))
+    paths, ends, depth = [], [], 0
+    while True:
+        paths.append(write_table(level))
+        latest = read_tables(level, [paths[-1]])
+        if latest.isEmpty():
+            break
+        closing = latest.join(back, [*own, "node"], "left_semi").groupBy(*own).agg(F.min("node").alias("node"))
+        ends.append(cut_lineage(closing))
+        depth += 1
+        reached = read_tables(level, paths).select(*own, "node")
+        going = latest.join(ends[-1].select(*own), own, "left_anti").select(*own, F.col("node").alias("src"))
+        level = going.join(edges, [*own, "src"]).groupBy(*own, F.col("dst").alias("node")).agg(F.min("src").alias("parent")).withColumn("level", F.lit(depth))
+        level = level.join(reached, [*own, "node"], "left_anti")
+    found = cut_lineage(read_tables(level, paths))
+    marked = ends[0]
+    for more in ends[1:]:
+        marked = marked.unionByName(more)
+    marked, jumps = cut_lineage(marked), found.where("parent is not null").select(*own, "node", F.col("parent").alias("_to"))
+    reach = 1
+    while reach <= depth:  # ancestors up to 2, 4, 8 ... steps away
+        jumps = cut_lineage(jumps)
+        marked = cut_lineage(marked.unionByName(marked.join(jumps, [*own, "node"]).select(*own, F.col("_to").alias("node"))).distinct())
+        onward = jumps.select(*own, F.col("node").alias("_to"), F.col("_to").alias("_next"))
+        jumps = jumps.join(onward, [*own, "_to"]).select(*own, "node", F.col("_next").alias("_to"))
+        reach *= 2
+    return found.join(marked, [*own, "node"], "left_semi").select(*own, F.col("level").cast("bigint").alias("position"), "node")
+
+
+def cycle_chains(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """GR3: for every component a chain of imports (component, position, node) that leads from its smallest node back to it.
+
+    It is a shortest one: breadth first from the smallest node, of several parents and of several
+    nodes that close the chain the smallest. ``members`` are the rows of ``strongly_connected``.
+    """
+    own = [*RUN, "component"]
+    tail = members.select(*RUN, F.col("node").alias("src"), "component")
+    head = members.select(*RUN, F.col("node").alias("dst"), F.col("component").alias("_c"))
+    inside = edges.select(*RUN, "src", "dst").where("src != dst").distinct().join(tail, [*RUN, "src"]).join(head, [*RUN, "dst"])
+    inside = cut_lineage(inside.where("component = _c").select(*own, "src", "dst"))
+    sizes = cut_lineage(inside.groupBy(*own).agg(F.count("*").alias("_edges")))
+    small, large = sizes.where(F.col("_edges") <= WHOLE_EDGES).select(*own), sizes.where(F.col("_edges") > WHOLE_EDGES).select(*own)
+    kinds = dict(inside.dtypes)
+    ddl = ", ".join(f"{name} {kinds[name]}" for name in own) + ", position bigint, node string"
+    found = inside.join(small, own, "left_semi").groupBy(*own).applyInArrow(_chain, ddl)
+    if not large.isEmpty():
+        found = found.unionByName(_chains_by_rounds(inside.join(large, own, "left_semi")))
+    return found
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """GR4 for any undirected graph: smallest node name per component."""
     node = lambda end: F.struct(*RUN, F.col(end).alias("node"))

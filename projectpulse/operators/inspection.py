@@ -268,23 +268,24 @@ def docstring_findings(metrics: DataFrame) -> DataFrame:
 
 
 def syntax_findings(facts: DataFrame) -> DataFrame:
-    """Files that do not parse (critical) or are not UTF-8 (critical, the run goes on)."""
-    rows = facts.where(F.col("kind").isin("syntax_error", "undecodable"))
-    code = F.when(F.col("kind") == "syntax_error", "SYNTAX_ERROR").otherwise("UNDECODABLE")
-    message = F.when(
-        F.col("kind") == "syntax_error", F.format_string("Syntax error in %s: %s", "path", "text")
-    ).otherwise(F.format_string("File %s is not valid UTF-8: %s", "path", "text"))
+    """Files that do not parse, are not UTF-8, or are beyond the parser (all critical; the run goes on)."""
+    rows = facts.where(F.col("kind").isin("syntax_error", "undecodable", "unparsable"))
+    broken, unreadable = F.col("kind") == "syntax_error", F.col("kind") == "undecodable"
+    code = F.when(broken, "SYNTAX_ERROR").when(unreadable, "UNDECODABLE").otherwise("UNPARSABLE")
+    message = (
+        F.when(broken, F.format_string("Syntax error in %s: %s", "path", "text"))
+        .when(unreadable, F.format_string("File %s is not valid UTF-8: %s", "path", "text"))
+        .otherwise(F.format_string("File %s could not be analyzed: %s", "path", "text"))
+    )
     return rows.select(*_finding("syntax", "critical", code, message, "path", "line"))
 
 
-def cycle_findings(components: DataFrame) -> DataFrame:
-    """GR3 as findings: one per strongly connected component of the import graph.
+def cycle_findings(chains: DataFrame) -> DataFrame:
+    """GR3 as findings: one per strongly connected component, naming a real chain of imports.
 
-    The message names the whole chain, as long as the cycle is; ``components`` has its members as rows.
+    ``chains`` are the rows of ``graph.cycle_chains``; the message is as long as the chain is.
     """
-    grouped = components.groupBy(*RUN, "component").agg(F.array_sort(F.collect_list("node")).alias("members"))
-    chain = F.concat(F.array_join("members", " -> "), F.lit(" -> "), F.element_at("members", 1))
-    message = F.concat(F.lit("Circular import dependency detected: "), chain)
-    return grouped.select(
-        *_finding("dependency", "error", "CIRCULAR_DEPENDENCY", message, F.element_at("members", 1))
-    )
+    grouped = chains.groupBy(*RUN, "component").agg(F.array_sort(F.collect_list(F.struct("position", "node"))).alias("steps"))
+    chain = F.array_join(F.transform("steps", lambda step: step["node"]), " -> ")
+    message = F.concat(F.lit("Circular import dependency detected: "), chain, F.lit(" -> "), F.col("component"))
+    return grouped.select(*_finding("dependency", "error", "CIRCULAR_DEPENDENCY", message, "component"))

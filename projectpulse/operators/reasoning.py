@@ -6,10 +6,12 @@ tables with one row per element; headers carry their counts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,12 +131,11 @@ def hypothesis_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(*RUN, F.desc("occurrence_count"), "finding_code")
 
 
-def dependency_impact(findings: DataFrame, nodes: DataFrame, direct: DataFrame, closure: DataFrame) -> DataFrame:
-    """AG6: blast radius of each file of the import graph that has findings."""
+def dependency_impact(findings: DataFrame, nodes: DataFrame, direct: DataFrame, reach: DataFrame) -> DataFrame:
+    """AG6: blast radius of each file of the import graph that has findings; ``reach`` are the rows of ``graph.dependent_counts``."""
     own = findings.groupBy(*RUN, F.col("file_path").alias("node")).agg(
         F.count("*").alias("finding_count"), F.sum(severity_weight("severity")).alias("weight")
     )
-    reach = closure.groupBy(*RUN, F.col("seed").alias("node")).agg(F.count("*").alias("transitive_dependents"))
     facts = (
         own.join(nodes.select(*RUN, "node").distinct(), [*RUN, "node"], "left_semi")
         .join(direct, [*RUN, "node"], "left")
@@ -368,24 +369,83 @@ def _number_items(limit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
+def _number_runs(rows: pa.Table, whole_limit: int, limit: int) -> pa.RecordBatch:
+    """Batch numbers of the items of many whole runs at once; rows are in order of run and position."""
+    chars, count = rows["chars"].to_numpy(), rows.num_rows
+    starts = np.concatenate([[0], _run_changes(rows)])
+    sizes = np.diff(np.append(starts, count))
+    first = np.repeat(starts, sizes)
+    # the item that opens the next batch, or the first item of the next run, which opens one anyway
+    jump = np.append(np.minimum(_next_starts(np.cumsum(chars), limit), first + np.repeat(sizes, sizes)), count)
+    opens = np.zeros(count + 1, bool)
+    opens[starts] = True
+    while True:  # opening items 1, 2, 4, 8 ... batches ahead
+        ahead = jump[np.flatnonzero(opens[:count])]
+        if opens[ahead].all() or (ahead[~opens[ahead]] == count).all():
+            break
+        opens[ahead] = True
+        jump = jump[jump]
+    opened = np.cumsum(opens[:count])
+    whole = np.repeat(np.add.reduceat(chars, starts) <= whole_limit, sizes)
+    batch = np.where(whole, 0, opened - opened[first])
+    columns = [*[rows[name].combine_chunks() for name in (*RUN, "position", "chars")], pa.array(batch, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=[*RUN, "position", "chars", "batch"])
+
+
+def _run_changes(rows: pa.Table) -> np.ndarray:
+    """Rows whose run is another than that of the row before."""
+    last = rows.num_rows - 1
+    changed = np.zeros(max(last, 0), bool)
+    for name in RUN:
+        column = rows[name].combine_chunks()
+        changed |= ~pc.fill_null(pc.equal(column.slice(1), column.slice(0, max(last, 0))), False).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(changed) + 1
+
+
+def _number_sorted(whole_limit: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Numbers all runs of a partition; the last run of an Arrow batch waits for the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            rows = pa.Table.from_batches([*held, batch])
+            changes = _run_changes(rows)
+            if len(changes):
+                yield _number_runs(rows.slice(0, int(changes[-1])), whole_limit, limit)
+                rows = rows.slice(int(changes[-1]))
+            held = rows.to_batches()
+        if held and sum(map(len, held)):
+            yield _number_runs(pa.Table.from_batches(held), whole_limit, limit)
+
+    return run
+
+
 def pack_batches(items: DataFrame, whole_limit: int = 6000, batch_limit: int = 4000, slice_items: int = 10_000) -> DataFrame:
     """WN11: number the batches of each run's items, filled greedily in order.
 
     ``items`` has (project_id, run_id, position, chars), positions from 0 on. A run of at most
-    ``whole_limit`` characters is one batch. Runs are cut into slices of positions: a slice
-    says, for every item that may close the batch open at its begin, how many batches follow
-    and how full the last one is. These summaries, one row per slice, are composed in order,
-    and then each slice numbers its own items: three shuffles, no loop.
+    ``whole_limit`` characters is one batch. Runs of up to ``slice_items`` items are numbered many at
+    once: the item after each possible batch is found for all of them by one search over running
+    sums, and these pointers are followed by doubling. Longer runs are cut into slices of positions:
+    a slice says, for every item that may close the batch open at its begin, how many batches
+    follow and how full the last one is. These summaries, one row per slice, are composed in
+    order, and then each slice numbers its own items.
     """
-    totals = items.groupBy(*RUN).agg(F.sum("chars").alias("total"))
-    sized = items.join(totals, RUN).withColumn("slice", F.floor(F.col("position") / slice_items))
-    single = sized.where(F.col("total") <= whole_limit).select(*RUN, "position", "chars", F.lit(0).cast("bigint").alias("batch"))
-    large = sized.where(F.col("total") > whole_limit).select(*RUN, "slice", F.col("position").cast("bigint").alias("position"), F.col("chars").cast("bigint").alias("chars"))
-    large = cut_lineage(large)
-    kinds = dict(large.dtypes)
+    items = cut_lineage(items.select(*RUN, F.col("position").cast("bigint").alias("position"), F.col("chars").cast("bigint").alias("chars")))
+    long_runs = cut_lineage(items.groupBy(*RUN).agg(F.count("*").alias("_n")).where(F.col("_n") > slice_items).select(*RUN))
+    kinds = dict(items.dtypes)
     run = ", ".join(f"{c} {kinds[c]}" for c in RUN)
+    numbered_ddl = f"{run}, position bigint, chars bigint, batch bigint"
+    short = items.join(long_runs, RUN, "left_anti").repartition(*RUN).sortWithinPartitions(*RUN, "position")
+    short = short.mapInArrow(_number_sorted(whole_limit, batch_limit), numbered_ddl)
+    if long_runs.isEmpty():
+        return short
+    large = items.join(long_runs, RUN, "left_semi").withColumn("slice", F.floor(F.col("position") / slice_items))
+    totals = large.groupBy(*RUN).agg((F.sum("chars") <= whole_limit).alias("_whole"))
     summary = f"{run}, slice bigint, total bigint, ends array<bigint>, opened array<bigint>, fill array<bigint>"
     slices = large.groupBy(*RUN, "slice").applyInPandas(_slice_summary(batch_limit), summary)
     entries = slices.groupBy(*RUN).applyInPandas(_slice_entries(batch_limit), f"{run}, slice bigint, fill bigint, batch bigint")
-    numbered = large.join(entries, [*RUN, "slice"]).groupBy(*RUN, "slice")
-    return single.unionByName(numbered.applyInPandas(_number_items(batch_limit), f"{run}, position bigint, chars bigint, batch bigint"))
+    numbered = large.join(entries, [*RUN, "slice"]).groupBy(*RUN, "slice").applyInPandas(_number_items(batch_limit), numbered_ddl)
+    # a long run of tiny items may still be one batch
+    numbered = numbered.join(totals, RUN).withColumn("batch", F.when(F.col("_whole"), 0).otherwise(F.col("batch")).cast("bigint")).drop("_whole")
+    return short.unionByName(numbered)

@@ -69,7 +69,7 @@ def inspection_report(contents: DataFrame, previous: DataFrame | None = None) ->
             inspection.syntax_findings(r["facts"]),
             inspection.complexity_findings(r["facts"]),
             inspection.docstring_findings(r["metrics"]),
-            inspection.cycle_findings(graph.strongly_connected(r["edges"])),
+            inspection.cycle_findings(graph.cycle_chains(r["edges"], graph.strongly_connected(r["edges"]))),
             inspection.marker_scan(texts),
             inspection.missing_package_init(r["inventory"]),
         ]
@@ -119,7 +119,7 @@ def reasoning_report(findings: DataFrame, runs: DataFrame, edges: DataFrame, nod
         groups=lambda r: reasoning.correlation_groups(findings),
         members=lambda r: reasoning.group_members(r["groups"], findings),
         dependents=lambda r: graph.transitive_dependents(edges, seeds),
-        impact=lambda r: reasoning.dependency_impact(findings, nodes, graph.direct_dependents(edges), r["dependents"]),
+        impact=lambda r: reasoning.dependency_impact(findings, nodes, graph.direct_dependents(edges), graph.dependent_counts(edges, seeds)),
         hypotheses=lambda r: reasoning.hypotheses(findings),
         files=lambda r: reasoning.code_files(findings),
         high_impact=lambda r: reasoning.high_impact_drift(findings, r["impact"]),

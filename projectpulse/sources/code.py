@@ -38,16 +38,20 @@ def _complexity(function) -> int:
     return total
 
 
-def _facts(content: bytes) -> Iterator[tuple]:
-    """(kind, name, line, complexity, has_doc, level, text) of one file."""
+def _facts(content: bytes) -> list[tuple]:
+    """(kind, name, line, complexity, has_doc, level, text) of one file; one that cannot be taken apart is a single fact with the reason."""
     try:
-        tree = ast.parse(bytes(content).decode("utf-8"))
+        return list(_parsed(ast.parse(bytes(content).decode("utf-8"))))
     except UnicodeDecodeError as error:
-        yield "undecodable", None, None, None, None, None, str(error.reason)
-        return
+        return [("undecodable", None, None, None, None, None, str(error.reason))]
+    except (RecursionError, MemoryError) as error:
+        reason = "nested too deeply" if isinstance(error, RecursionError) else "too large for the parser"
+        return [("unparsable", None, None, None, None, None, reason)]
     except (SyntaxError, ValueError) as error:
-        yield "syntax_error", None, getattr(error, "lineno", None), None, None, None, getattr(error, "msg", str(error))
-        return
+        return [("syntax_error", None, getattr(error, "lineno", None), None, None, None, getattr(error, "msg", str(error)))]
+
+
+def _parsed(tree: ast.Module) -> Iterator[tuple]:
     for node in ast.walk(tree):
         if isinstance(node, (ast.Module, *_SCOPES)):
             doc = ast.get_docstring(node) or ""

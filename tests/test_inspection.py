@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -102,7 +103,7 @@ def test_import_resolution_and_cycle(spark):
     edges = graph.resolve_imports(code_facts(df), I.file_records(df))
     assert rows(edges, "src", "dst") == [
         ("pkg/a.py", "pkg/__init__.py"), ("pkg/a.py", "pkg/b.py"), ("pkg/b.py", "pkg/c.py"), ("pkg/c.py", "pkg/a.py")]
-    found = I.cycle_findings(graph.strongly_connected(edges)).collect()
+    found = I.cycle_findings(graph.cycle_chains(edges, graph.strongly_connected(edges))).collect()
     assert [r.message for r in found] == ["Circular import dependency detected: pkg/a.py -> pkg/b.py -> pkg/c.py -> pkg/a.py"]
 
 
@@ -192,7 +193,27 @@ def test_tree_scan_keeps_big_sources_and_reports_what_it_cannot_read(spark, tmp_
     assert read_tree(spark, str(tmp_path)).count() == 12
 
 
-def test_cycles_are_named_in_full(spark):
-    members = spark.createDataFrame([("p", 1, f"m{i:02d}.py", "m00.py") for i in range(30)], KEYS + "node string, component string")
-    message = I.cycle_findings(members).first().message
-    assert message.count(" -> ") == 30 and message.endswith("m29.py -> m00.py")
+def test_cycles_are_named_in_full_along_real_imports(spark):
+    """Members out of the order of their names, and a member that lies on no shortest cycle."""
+    arcs = [("a.py", "c.py"), ("c.py", "b.py"), ("b.py", "d.py"), ("d.py", "a.py"), ("c.py", "e.py"), ("e.py", "c.py")]
+    arcs += [(f"m{i:02d}.py", f"m{(i * 7 + 7) % 210 // 7:02d}.py") for i in range(30)] + [(f"r{29 - i:02d}.py", f"r{(28 - i) % 30:02d}.py") for i in range(30)]
+    edges = spark.createDataFrame([("p", 1, a, b) for a, b in arcs], KEYS + "src string, dst string")
+    found = {r.file_path: r.message for r in I.cycle_findings(graph.cycle_chains(edges, graph.strongly_connected(edges))).collect()}
+    assert found["a.py"].endswith(": a.py -> c.py -> b.py -> d.py -> a.py")
+    for start, message in found.items():
+        chain = message.split(": ")[1].split(" -> ")
+        assert chain[0] == chain[-1] == start and set(zip(chain, chain[1:])) <= set(arcs)
+    assert found["r00.py"].count(" -> ") == 30
+
+
+@pytest.mark.parametrize("text", ["x = " + "+".join(["1"] * 20_000), "x = a" + ".b" * 20_000, "x = " + "(" * 5000 + ")" * 5000])
+def test_a_file_beyond_the_parser_ends_no_run(spark, text):
+    """Its reason is a finding, and other files of its task and of other projects keep theirs."""
+    good = "def busy(x):\n" + "    if x:\n        x += 1\n" * 12 + "    return x\n"
+    data = [("p", 1, "gen.py", text), ("p", 1, "ok.py", good), ("q", 1, "ok.py", good)]
+    contents = spark.createDataFrame([(a, b, c, len(t), bytearray(t.encode())) for a, b, c, t in data], KEYS + "path string, size_bytes bigint, content binary").coalesce(1)
+    report = reports.inspection_report(contents)
+    codes = {(r.project_id, r.file_path, r.code) for r in report["findings"].collect()}
+    assert {("p", "ok.py", "HIGH_COMPLEXITY"), ("q", "ok.py", "HIGH_COMPLEXITY")} <= codes
+    assert {code for project, path, code in codes if path == "gen.py"} & {"UNPARSABLE", "SYNTAX_ERROR"}
+    assert {r.project_id for r in report["health"].collect()} == {"p", "q"}

@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from conftest import rows
 from projectpulse.operators import graph, reasoning as R
 
@@ -40,22 +41,57 @@ def test_blast_radius(spark):
     df = findings(spark, [("x", "error", "X", "a"), ("x", "info", "X", "outside")])
     closure = graph.transitive_dependents(graph_edges, nodes)
     assert rows(closure.where("seed = 'a'"), "dependent") == [("b",), ("c",), ("d",)]
-    impact = R.dependency_impact(df, nodes, graph.direct_dependents(graph_edges), closure)
+    impact = R.dependency_impact(df, nodes, graph.direct_dependents(graph_edges), graph.dependent_counts(graph_edges, nodes))
     assert rows(impact, "file_path", "direct_dependents", "transitive_dependents", "risk_score") == [("a", 1, 3, 6.5)]
 
 
-def test_graph_loops_match_brute_force(spark):
-    rng = random.Random(5)
-    pairs = {(f"n{rng.randrange(40):02d}", f"n{rng.randrange(40):02d}") for _ in range(55)}
-    pairs = {(a, b) for a, b in pairs if a != b}
+def random_graph(seed, nodes=40, arcs=55):
+    rng = random.Random(seed)
+    pairs = {(f"n{rng.randrange(nodes):02d}", f"n{rng.randrange(nodes):02d}") for _ in range(arcs)}
+    return {(a, b) for a, b in pairs if a != b}
+
+
+def reach_of(pairs):
     nodes = sorted({n for p in pairs for n in p})
     reach = {n: {n} for n in nodes}
     for _ in nodes:
         for a, b in pairs:
             reach[a] |= reach[b]
+    return nodes, reach
+
+
+@pytest.mark.parametrize("whole_edges, bitmap_bytes", [(2_000_000, 64 << 20), (2_000_000, 1), (3, 64 << 20)])  # whole, in buckets, by rounds
+def test_graph_searches_match_brute_force(spark, monkeypatch, whole_edges, bitmap_bytes):
+    monkeypatch.setattr(graph, "WHOLE_EDGES", whole_edges)
+    monkeypatch.setattr(graph, "BITMAP_BYTES", bitmap_bytes)
+    pairs = random_graph(5) | {(f"w{i:03d}", f"n{i % 40:02d}") for i in range(90)}
+    nodes, reach = reach_of(pairs)
+    df = edges(spark, sorted(pairs)).unionByName(spark.createDataFrame([("q", 7, "n01", "n00")], KEYS + "src string, dst string"))
+    seeds = spark.createDataFrame([("p", 1, n) for n in [*nodes, "absent"]] + [("q", 7, "n00")], KEYS + "node string")
+    closure = graph.transitive_dependents(df, seeds)
+    expected = {("p", a, b) for a in nodes for b in reach[a] if a != b} | {("q", "n01", "n00")}
+    found = [tuple(r) for r in closure.select("project_id", "dependent", "seed").collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    counts = {(r.project_id, r.node): r.transitive_dependents for r in graph.dependent_counts(df, seeds).collect()}
+    wanted = {(project, n): sum(1 for p, _, seed in expected if (p, seed) == (project, n)) for project, n in {(r[0], r[2]) for r in found}}
+    assert {k: v for k, v in counts.items() if v} == wanted
+    chains = {}
+    members = graph.strongly_connected(df)
+    for r in graph.cycle_chains(df, members).collect():
+        chains.setdefault(r.component, {})[r.position] = r.node
+    components = {r.component for r in members.collect()}
+    assert set(chains) == components and components
+    for start, steps in chains.items():
+        chain = [steps[k] for k in range(len(steps))]
+        assert chain[0] == start and len(set(chain)) == len(chain)
+        assert all(arc in pairs for arc in zip(chain, chain[1:] + chain[:1]))
+        assert chain == graph._shortest_cycle(*map(list, zip(*[(a, b) for a, b in pairs if {r.node for r in members.collect() if r.component == start} >= {a, b}])))
+
+
+def test_components_match_brute_force(spark):
+    pairs = random_graph(5)
+    nodes, reach = reach_of(pairs)
     df = edges(spark, sorted(pairs))
-    closure = graph.transitive_dependents(df, spark.createDataFrame([("p", 1, n) for n in nodes], KEYS + "node string"))
-    assert set(map(tuple, closure.select("dependent", "seed").collect())) == {(a, b) for a in nodes for b in reach[a] if a != b}
     expected = {}
     for n in nodes:
         component = sorted(m for m in nodes if m in reach[n] and n in reach[m])
@@ -69,6 +105,23 @@ def test_graph_loops_match_brute_force(spark):
     assert dict(map(tuple, graph.connected_components(df).select("node", "component").collect())) == label
 
 
+def test_a_long_chain_needs_no_rounds(spark):
+    chain = [(f"m{i:04d}", f"m{i + 1:04d}") for i in range(1000)]
+    df = edges(spark, chain)
+    seeds = spark.createDataFrame([("p", 1, "m1000"), ("p", 1, "m0500"), ("p", 1, "m0000")], KEYS + "node string")
+    counts = graph.dependent_counts(df, seeds)
+    assert {r.node: r.transitive_dependents for r in counts.collect()} == {"m1000": 1000, "m0500": 500, "m0000": 0}
+    ring = edges(spark, [*chain, ("m1000", "m0000")])
+    members = spark.createDataFrame([("p", 1, f"m{i:04d}", "m0000") for i in range(1001)], KEYS + "node string, component string")
+    assert [r.node for r in graph.cycle_chains(ring, members).orderBy("position").collect()] == [f"m{i:04d}" for i in range(1001)]
+
+
+def test_an_empty_graph_has_no_closure(spark):
+    none, seeds = edges(spark, []), spark.createDataFrame([("p", 1, "a")], KEYS + "node string")
+    assert graph.transitive_dependents(none, seeds).collect() == [] == graph.dependent_counts(none, seeds).collect()
+    assert graph.cycle_chains(none, graph.strongly_connected(none)).collect() == []
+
+
 def test_drift_insight_and_recommendation(spark):
     drift = findings(spark, [("drift", "info", "FILE_ADDED", "a"), ("drift", "warning", "FILE_REMOVED", "b"), ("drift", "info", "FILE_MODIFIED", "c")])
     impact = spark.createDataFrame([("p", 1, "a", 2.0), ("p", 1, "c", 1.9)], KEYS + "file_path string, risk_score double")
@@ -119,3 +172,26 @@ def test_batches_match_greedy_fill(spark):
     for items in (10_000, 7, 1):  # slices shorter than a batch, too
         found = R.pack_batches(rows, slice_items=items)
         assert {(r.run_id, r.position): r.batch for r in found.collect()} == expected
+
+
+def test_thousands_of_short_runs_are_numbered_together(spark):
+    rng = random.Random(3)
+    data, expected = [], {}
+    for run in range(3000):
+        sizes = [rng.choice([100, 900, 1700, 3900, 4500]) for _ in range(rng.randint(1, 30))]
+        batch = used = 0
+        for i, size in enumerate(sizes):
+            if sum(sizes) > 6000 and used and used + size > 4000:
+                batch, used = batch + 1, 0
+            used += size
+            expected[(f"p{run % 7}", run, i)] = batch
+            data.append((f"p{run % 7}", run, i, size))
+    rng.shuffle(data)
+    items = spark.createDataFrame(data, KEYS + "position bigint, chars bigint")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        found = R.pack_batches(items, slice_items=25).collect()  # the longest runs go by slices
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.project_id, r.run_id, r.position): r.batch for r in found} == expected
+    assert R.pack_batches(items.limit(0)).collect() == []
