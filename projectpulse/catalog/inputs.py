@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from projectpulse.catalog.registry import cte, table, text_table
+from projectpulse.skew import previous_values
 from projectpulse.functions import fixed
 
 # --- events as telemetry --------------------------------------------------------------------
@@ -155,6 +156,33 @@ FROM runs r LEFT JOIN (SELECT project_id, run_id, count(*) AS n, CAST(sum(weight
   USING (project_id, run_id)
 """, ("runs", "findings"))
 
+# --- the import graph of every run: a file imports the one before it by part number, some of them each other -----
+cte("run_edges", """
+SELECT project_id, run_id, relative_path AS src, before AS dst FROM neighbours WHERE k % 4 <> 0
+UNION ALL SELECT project_id, run_id, before, relative_path FROM neighbours WHERE k % 16 = 7
+""", ("neighbours",))
+cte("neighbours", """
+SELECT * FROM (SELECT project_id, run_id, relative_path, k, lag(relative_path) OVER (PARTITION BY project_id, run_id ORDER BY k) AS before
+  FROM (SELECT project_id, run_id, relative_path, CAST(substr(relative_path, 6) AS BIGINT) AS k FROM inventory)) WHERE before IS NOT NULL
+""", ("inventory",))
+cte("run_reach", """
+SELECT project_id, run_id, seed AS file_path, count(*) AS dependents FROM (
+  WITH RECURSIVE walk AS (
+    SELECT project_id, run_id, dst AS seed, src AS node FROM run_edges
+    UNION SELECT w.project_id, w.run_id, w.seed, e.src FROM walk w JOIN run_edges e ON e.project_id = w.project_id AND e.run_id = w.run_id AND e.dst = w.node)
+  SELECT * FROM walk) WHERE seed <> node GROUP BY ALL
+""", ("run_edges",))
+
+
+def run_edges(files: DataFrame) -> DataFrame:
+    """Edges of every run of ``files`` (an inventory): chains of files, with pairs that import each other."""
+    run = ["project_id", "run_id"]
+    numbered = files.select(*run, "relative_path", F.substr("relative_path", F.lit(6)).cast("bigint").alias("k"))
+    rows = previous_values(numbered, run, ["k"], F.floor(F.col("k") / 1000), ["relative_path"]).where("prev_relative_path is not null")
+    back = rows.where("k % 16 = 7").select(*run, F.col("prev_relative_path").alias("src"), F.col("relative_path").alias("dst"))
+    return rows.where("k % 4 != 0").select(*run, F.col("relative_path").alias("src"), F.col("prev_relative_path").alias("dst")).unionByName(back)
+
+
 # --- parts as an import graph of one project --------------------------------------------------
 cte("edges", """
 SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey >= 2

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from projectpulse.catalog import inputs
 from projectpulse.catalog.inspection import RUN, sql_band
-from projectpulse.catalog.reasoning import own_impact
+from projectpulse.catalog.reasoning import impact_sql, run_impact
 from projectpulse.catalog.registry import cte, query, shown, sql_round, table
 from projectpulse.functions import fixed
 from projectpulse.operators import inspection, prediction as P
@@ -19,7 +19,7 @@ def parts(spark, sf_dir):
     files, own = cut_lineage(inputs.inventory(spark, sf_dir)), inputs.findings(spark, sf_dir)  # the inventory has three readers
     findings = inspection.union_findings(own, inspection.consecutive_drift(files, files))
     runs = inspection.health_scores(inputs.runs(files), own).select(*RUN, "file_count", "health_score")
-    return runs, files, findings, own_impact(own)
+    return runs, files, findings, cut_lineage(run_impact(own, files))  # two readers
 
 
 cte("vectors", f"""
@@ -105,9 +105,9 @@ SELECT *, {sql_round('complexity_score * 0.3 + dependency_risk_score * 0.4 + fin
   SELECT project_id, run_id, file_path, {sql_round('coalesce(c, 0) / 20', 4)} AS complexity_score, {sql_round('coalesce(r, 0) / 5', 4)} AS dependency_risk_score,
     {sql_round('coalesce(w, 0) / 10', 4)} AS finding_severity_score
   FROM (SELECT 'supplier-' || l_suppkey AS project_id, CAST(year(l_shipdate) AS BIGINT) AS run_id, 'part-' || l_partkey AS file_path, max(l_quantity) AS c FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) m
-  FULL JOIN (SELECT project_id, run_id, file_path, CAST(round(CAST(sum(weight) * 0.5 AS DECIMAL(38,10)), 2) AS DOUBLE) AS r FROM findings WHERE code LIKE 'A%' GROUP BY ALL) i USING (project_id, run_id, file_path)
+  FULL JOIN (SELECT project_id, run_id, file_path, risk_score AS r FROM ({impact_sql("(SELECT * FROM findings WHERE code LIKE 'A%')")})) i USING (project_id, run_id, file_path)
   FULL JOIN (SELECT project_id, run_id, file_path, sum(weight) AS w FROM findings WHERE code LIKE 'N%' GROUP BY ALL) f USING (project_id, run_id, file_path))
-""", ("findings",))
+""", ("findings", "run_reach"))
 
 
 def modules(spark, sf_dir):
@@ -117,7 +117,7 @@ def modules(spark, sf_dir):
         F.year("l_shipdate").cast("bigint").alias("run_id"),
         F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("relative_path"),
     ).agg(F.max("l_quantity").alias("max_cyclomatic_complexity"))
-    impact = own_impact(rows.where(F.col("code").startswith("A")))
+    impact = run_impact(rows.where(F.col("code").startswith("A")), cut_lineage(inputs.inventory(spark, sf_dir)))
     return P.module_risk(metrics, impact, rows.where(F.col("code").startswith("N")))
 
 

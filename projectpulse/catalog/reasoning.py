@@ -113,23 +113,27 @@ def _(spark, sf_dir):
     return R.hypothesis_order(R.hypotheses(coded_findings(spark, sf_dir))).select(*RUN, "finding_code", "occurrence_count")
 
 
-# impact without the import graph: the risk of a file is half the weight of its findings
-cte("weights", "SELECT project_id, run_id, file_path, CAST(round(CAST(sum(weight) * 0.5 AS DECIMAL(38,10)), 2) AS DOUBLE) AS risk_score, count(*) AS finding_count FROM findings GROUP BY ALL", ("findings",))
+def impact_sql(rows: str = "findings") -> str:
+    """Risk of every file with findings: what depends on it in its run, and half the weight of its findings."""
+    return f"""SELECT o.project_id, o.run_id, o.file_path, CAST(round(CAST(coalesce(dependents, 0) + w * 0.5 AS DECIMAL(38,10)), 2) AS DOUBLE) AS risk_score, n AS finding_count
+FROM (SELECT project_id, run_id, file_path, sum(weight) AS w, count(*) AS n FROM {rows} GROUP BY ALL) o LEFT JOIN run_reach USING (project_id, run_id, file_path)"""
 
 
-def own_impact(rows):
-    """Blast radius of files that nothing imports, through the same operator."""
-    nodes = rows.select(*RUN, F.col("file_path").alias("node")).distinct()
-    none = nodes.limit(0)
-    return R.dependency_impact(
-        rows, nodes, none.withColumn("direct_dependents", F.lit(0).cast("bigint")),
-        none.select(*RUN, F.col("node").alias("seed"), F.col("node").alias("dependent")))
+cte("weights", impact_sql(), ("findings", "run_reach"))
+
+
+def run_impact(rows, files):
+    """Blast radius of files with findings in the import graph of their run."""
+    edges = cut_lineage(inputs.run_edges(files))
+    nodes = files.select(*RUN, F.col("relative_path").alias("node"))
+    seeds = rows.select(*RUN, F.col("file_path").alias("node")).distinct()
+    return R.dependency_impact(rows, nodes, graph.direct_dependents(edges), graph.dependent_counts(edges, seeds))
 
 
 def drift_parts(spark, sf_dir):
     files = cut_lineage(inputs.inventory(spark, sf_dir))  # each of these has several readers
     drift = cut_lineage(inspection.consecutive_drift(files, files))
-    impact = cut_lineage(own_impact(inputs.findings(spark, sf_dir)))
+    impact = cut_lineage(run_impact(inputs.findings(spark, sf_dir), files))
     hot = R.high_impact_drift(drift, impact)
     return drift, impact, hot, R.drift_insight(drift, inputs.runs(files), hot)
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,7 +172,7 @@ def _search(pairs: bool) -> Callable:
 
 def _closure(edges: DataFrame, seeds: DataFrame, pairs: bool) -> DataFrame:
     edges = cut_lineage(edges.select(*RUN, "src", "dst").distinct())
-    seeds = cut_lineage(seeds.select(*RUN, "node").distinct())
+    seeds = seeds.select(*RUN, "node").distinct()
     ends = edges.select(*RUN, F.col("src").alias("node")).unionByName(edges.select(*RUN, F.col("dst").alias("node"))).distinct()
     sizes = edges.groupBy(*RUN).agg(F.count("*").alias("_edges")).join(ends.groupBy(*RUN).agg(F.count("*").alias("_nodes")), RUN)
     # as many dependents at once as leave a bitmap for every node within the bound
@@ -264,8 +265,33 @@ def _smallest_reaching(edges: DataFrame) -> DataFrame:
             return labels.select(*node, F.col("label.name").alias("label"))
 
 
+def _members(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of two or more nodes of one run's graph, named after their smallest node."""
+    names, src, dst = _codes(pa.Table.from_batches(list(batches)))
+    targets, first = _grouped(src, dst, len(names))
+    found = pd.DataFrame({"node": names, "number": _components_in_order(len(names), targets, first)})
+    groups = found.groupby("number")["node"]
+    found["component"], found["size"] = groups.transform("min"), groups.transform("size")
+    found = found[found["size"] > 1]
+    fixed = [pa.array([k.as_py()] * len(found), k.type) for k in key]
+    yield pa.RecordBatch.from_arrays([*fixed, pa.array(found["node"], pa.string()), pa.array(found["component"], pa.string())], names=[*RUN, "node", "component"])
+
+
 def strongly_connected(edges: DataFrame) -> DataFrame:
-    """GR3: members of every strongly connected component of two or more files.
+    """GR3: members (node, component) of every strongly connected component of two or more files; a component is named after its smallest member."""
+    edges = _trim(edges.select(*RUN, "src", "dst").where(F.col("src") != F.col("dst")).distinct())
+    sizes = cut_lineage(edges.groupBy(*RUN).agg((F.count("*") <= WHOLE_EDGES).alias("_whole")))
+    kinds = dict(edges.dtypes)
+    ddl = ", ".join(f"{name} {kinds[name]}" for name in RUN) + ", node string, component string"
+    found = edges.join(sizes.where("_whole").select(*RUN), RUN, "left_semi").groupBy(*RUN).applyInArrow(_members, ddl)
+    large = sizes.where("not _whole").select(*RUN)
+    if not large.isEmpty():
+        found = found.unionByName(_components_by_rounds(edges.join(large, RUN, "left_semi")))
+    return found
+
+
+def _components_by_rounds(edges: DataFrame) -> DataFrame:
+    """GR3 for graphs of any size.
 
     Colouring: each node takes the first node, in hash order, that reaches it. Inside one colour
     the nodes that lead back to the colour's own node form its component, and the same search on
@@ -273,7 +299,7 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     between colours lie on no cycle and are dropped, components found are removed, and the
     rest is trimmed, until no edge is left. A component is named after its smallest member.
     """
-    edges = _trim(cut_lineage(edges.select(*RUN, "src", "dst").where(F.col("src") != F.col("dst")).distinct()))
+    edges = _trim(cut_lineage(edges))
     node, found = [*RUN, "node"], None
     while not edges.isEmpty():
         colours = _smallest_reaching(edges)
