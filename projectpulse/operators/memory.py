@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from projectpulse.functions import fixed
-from projectpulse.functions.scalars import as_col, clamp, rounded, strip
+from projectpulse.functions.scalars import as_col, clamp, packed_order, rounded, strip
 from projectpulse.skew import block_pairs
 
 
@@ -26,12 +26,18 @@ def check_record_types(records: DataFrame) -> DataFrame:
 def keep_latest(records: DataFrame) -> DataFrame:
     """SC5: one row per project and record_id, the newest by (recorded_at, seq).
 
-    An aggregate, not a window: copies of one id combine before the shuffle, so a record
-    delivered very often does not gather in one task.
+    The newest place in time of every id is found over fixed-width numbers, which a hash
+    aggregate combines before the shuffle; the rows at these places are then joined. So whole
+    records are never sorted, and a record delivered very often does not gather in one task. Rows
+    that agree in time and number are told apart by their hash, equal rows become one.
     """
-    row = F.struct(*records.columns)
-    latest = records.groupBy("project_id", "record_id").agg(F.max_by(row, F.struct("recorded_at", "seq")).alias("r"))
-    return latest.select("r.*")
+    key = ["project_id", "record_id"]
+    placed = records.withColumns({"_at": packed_order("recorded_at", "seq"), "_hash": F.xxhash64(*records.columns)})
+    newest = placed.groupBy(*key).agg(F.max("_at").alias("_top"), F.max_by("_hash", "_at").alias("_this"))
+    newest = newest.select(*[F.col(name).alias(f"_{name}") for name in key], "_top", "_this")
+    same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in key]
+    kept = placed.join(newest, [*same, F.col("_at") == F.col("_top"), F.col("_hash") == F.col("_this")])
+    return kept.select(*records.columns).distinct()
 
 
 def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:

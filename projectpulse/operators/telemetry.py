@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from projectpulse.functions import fixed
-from projectpulse.functions.scalars import rounded, strip
+from projectpulse.functions.scalars import packed_order, rounded, strip
 from projectpulse.skew import previous_values, time_chunk
 
 METRICS = {name: unit for units in fixed.METRIC_SECTIONS.values() for name, unit in units.items()}
@@ -148,17 +148,22 @@ def newest_first(df: DataFrame, limit: int) -> DataFrame:
 def current_state(df: DataFrame) -> DataFrame:
     """AG10: latest present value of each metric over the whole history of a project.
 
-    One partial/final aggregate: no project's rows ever meet in one task.
+    One hash aggregate, combined before the shuffle: times are packed into fixed-width numbers and
+    sources are numbers of the list of legal ones, so that no raw row is sorted and no project's
+    rows meet in one task. A source that ingest rejects counts as none.
     """
     df = complete_columns(df)
-    order = F.struct("recorded_at", "seq")
-    latest = []
+    order, number = packed_order("recorded_at", "seq"), F.lit(None).cast("int")
+    for at, name in enumerate(fixed.ENVIRONMENTAL_SOURCES):
+        number = F.when(F.col("source") == name, at).otherwise(number)
+    latest, sources = [], {}
     for name in METRICS:
         seen = F.when(F.col(name).isNotNull(), order)
         latest.append(F.max_by(F.col(name), seen).alias(name))
         if SECTION_OF[name] == "environmental":
-            latest.append(F.max_by(F.col("source"), seen).alias(f"{name}_source"))
-    return df.groupBy("project_id").agg(F.max("recorded_at").alias("recorded_at"), *latest)
+            latest.append(F.max_by(number, seen).alias(f"{name}_source"))
+            sources[f"{name}_source"] = F.get(F.array(*[F.lit(s) for s in fixed.ENVIRONMENTAL_SOURCES]), F.col(f"{name}_source"))
+    return df.groupBy("project_id").agg(F.max("recorded_at").alias("recorded_at"), *latest).withColumns(sources)
 
 
 def current_readings(state: DataFrame) -> DataFrame:

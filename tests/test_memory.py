@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from projectpulse.operators import memory as M
 from projectpulse.plans import reports
+from projectpulse.sources.store import RecordStore
 
 BASE = datetime(2026, 1, 1)
 SCHEMA = "record_id string, project_id string, record_type string, recorded_at timestamp, seq bigint, summary string, payload string, health_score double"
@@ -102,3 +103,64 @@ def test_projects_that_share_ids_stay_apart(spark):
     stored = spark.createDataFrame([("a1", "a", "nlp", [1.0, 0.0]), ("b1", "b", "nlp", [1.0, 0.0])], "record_id string, project_id string, record_type string, embedding array<double>")
     asked = spark.createDataFrame([(1, p, [1.0, 0.0], 3, None) for p in "ab"], "query_id bigint, project_id string, embedding array<double>, top_k int, record_type string")
     assert rows(M.recall_topk(stored, asked), "project_id", "record_id") == [("a", "a1"), ("b", "b1")]
+
+
+def test_the_newest_record_is_found_without_sorting(spark):
+    df = three(spark)
+    again = records(spark, [("rec-1", "p", "inspection", 0, "a", 1.0)] * 3 + [("rec-3", "p", "inspection", 10, "late", 3.0), (None, "p", "nlp", 1, "x", None), (None, "p", "nlp", 2, "y", None)])
+    merged = M.upsert(df, again)
+    assert rows(merged, "record_id", "summary") == [("rec-1", "a"), ("rec-2", "b"), ("rec-3", "late"), (None, "y")]
+    assert "SortAggregate" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
+def stored(spark, items, start=0):
+    return spark.createDataFrame([(f"rec-{i}", "p", "nlp", BASE + timedelta(minutes=start + k), k, s, "{}", None) for k, (i, s) in enumerate(items)], SCHEMA)
+
+
+def test_store_rewrites_only_buckets_that_change(spark, tmp_path):
+    store = RecordStore(spark, str(tmp_path / "store"), SCHEMA, buckets=16)
+    assert store.read().count() == 0 and store.versions() == []
+    first = store.merge(stored(spark, [(i, "old") for i in range(200)]))
+    assert len(first["folders"]) == 16 and store.read().count() == 200
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "data").rglob("*.parquet")}
+    second = store.merge(stored(spark, [(3, "new"), (500, "more")], start=10_000))
+    changed = {b for b in second["folders"] if second["folders"][b] != first["folders"][b]}
+    assert 1 <= len(changed) <= 2
+    assert {p: p.stat().st_mtime_ns for p in files} == files  # old files are never written again
+    assert dict(rows(store.read(), "record_id", "summary"))["rec-3"] == "new" and store.read().count() == 201
+    assert store.read(1).count() == 200 and dict(rows(store.read(1), "record_id", "summary"))["rec-3"] == "old"
+    third = store.merge(stored(spark, [(3, "new")], start=10_000))  # the same delivery again
+    assert store.read().count() == 201 and third["version"] == 3
+    store.merge(stored(spark, [(3, "older")], start=-10_000))
+    assert dict(rows(store.read(), "record_id", "summary"))["rec-3"] == "new"
+    assert store.merge(stored(spark, []))["version"] == 4
+    store.vacuum(keep=1)
+    assert store.versions() == [4] and store.read().count() == 201
+    with pytest.raises(ValueError, match="no version 1"):
+        store.read(1)
+    assert RecordStore(spark, str(tmp_path / "store"), SCHEMA, buckets=99).merge(stored(spark, [(9, "z")], start=20_000))["buckets"] == 16
+
+
+def test_a_failed_merge_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    store = RecordStore(spark, str(tmp_path / "store"), SCHEMA, buckets=4)
+    store.merge(stored(spark, [(i, "old") for i in range(20)]))
+    with pytest.raises(Exception, match="unknown record type"):
+        store.merge(stored(spark, [(1, "bad")]).withColumn("record_type", F.lit("iot")))
+
+    def stop(manifest):
+        raise OSError("lost the connection")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(store, "_publish", stop)
+        with pytest.raises(OSError):
+            store.merge(stored(spark, [(1, "new")], start=10_000))
+    assert store.versions() == [1] and {r.summary for r in store.read().collect()} == {"old"}
+    stale = store.manifest()
+    store.merge(stored(spark, [(1, "new")], start=10_000))
+    with monkeypatch.context() as patched:  # a merge that started from version 1 as well
+        patched.setattr(store, "manifest", lambda version=None: stale)
+        with pytest.raises(RuntimeError, match="another merge"):
+            store.merge(stored(spark, [(2, "lost")], start=10_000))
+    assert store.versions() == [1, 2]
+    store.vacuum(keep=2)
+    assert dict(rows(store.read(), "record_id", "summary"))["rec-1"] == "new" and store.read().count() == 20
