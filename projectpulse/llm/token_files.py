@@ -7,9 +7,9 @@ the rest. Shards are rows of a Parquet table, one file per partition, written an
 alone; the planes compress with the file. Documents never span shards unless they are longer than
 one, in which case the shard grows with them.
 
-Distinct chunks between single spaces are tokenized once per task (a bounded table), told apart by
-64-bit hashes within a block of texts: the pre-tokenizer always ends a token before a space that
-stands between two other characters.
+Distinct chunks of a block of texts, told apart by 64-bit hashes, are tokenized once and remembered
+in a bounded table per worker: the pre-tokenizer always ends a token before a space that stands
+between two other characters, and between a letter and a mark.
 
 Cases: a null or empty text has the end id only; null ids come first; equal ids are ordered by a
 hash of the row; an empty table gives an empty result.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from projectpulse.llm import common
 
-SHARD_TOKENS, BLOCK_BITS, TABLE_CHUNKS = 4 << 20, 4096, 600_000
+SHARD_TOKENS, BLOCK_BITS, TABLE_CHUNKS, ENCODE_BYTES = 4 << 20, 4096, 600_000, 4 << 20
 SHARD = "part int, seq int, n_tokens bigint, n_docs bigint, doc_ids binary, has_id binary, lengths binary, zeros array<bigint>, planes array<binary>, ranks array<binary>"
 #: how the vocabulary writes a space; words segmented in one call
 SPACE_MARK, RUN_WORDS = "\u0120", 256
@@ -36,6 +36,10 @@ SPACE_MARK, RUN_WORDS = "\u0120", 256
 BLANK, WIDE_BLANK = np.zeros(256, bool), np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x20]] = True
 WIDE_BLANK[[0xE1, 0xE2, 0xE3]] = True
+#: a mark ends the run of letters before it
+LETTERS, MARKS = np.zeros(256, bool), np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123)]] = True
+MARKS[[ord(c) for c in ".,;:!?"]] = True
 
 
 class WaveletMatrix:
@@ -55,9 +59,9 @@ class WaveletMatrix:
             counts = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK_BITS // 8), dtype=np.uint32)
             ranks.append((np.cumsum(counts, dtype=np.uint32) - counts).tobytes())
             planes.append(packed.tobytes())
-            rest = row[~ones]
+            rest = row.compress(~ones)
             zeros.append(len(rest))
-            row = np.concatenate([rest, row[ones]])
+            row = np.concatenate([rest, row.compress(ones)])
         return cls(len(ids), zeros, planes, ranks)
 
     def rank1(self, level: int, at: int) -> int:
@@ -119,14 +123,14 @@ class WaveletMatrix:
         for level in reversed(range(len(self.zeros))):
             ones = np.unpackbits(self.planes[level], count=self.size).view(bool)
             before = np.empty(self.size, kind)
-            before[~ones] = row[: self.zeros[level]]
-            before[ones] = row[self.zeros[level] :] | kind(1 << (len(self.zeros) - 1 - level))
+            before[np.flatnonzero(~ones)] = row[: self.zeros[level]]
+            before[np.flatnonzero(ones)] = row[self.zeros[level] :] | kind(1 << (len(self.zeros) - 1 - level))
             row = before
         return row.astype(np.uint32)
 
 
 def _chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First byte and end of the chunks of all texts: cut before every space between two characters that are no white space.
+    """First byte and end of the chunks of all texts: cut before every space between two characters that are no white space, and between a letter and a mark.
 
     Where a neighbour may be a white space of several bytes, no cut is made; longer chunks give the same ids.
     """
@@ -137,7 +141,9 @@ def _chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     after, before = data[space + 1], data[space - 1]
     wide = (before >= 0x80) & ((data[space - 2] == 0xC2) | WIDE_BLANK[data[space - 3]])
     cuts = space[~(BLANK[after] | (after == 0xC2) | WIDE_BLANK[after] | BLANK[before] | wide)]
-    starts = np.union1d(offsets[:-1][offsets[1:] > offsets[:-1]], cuts)
+    marks = np.flatnonzero(MARKS[data])
+    marks = marks[LETTERS[data[marks - 1]] & ~border[marks]]
+    starts = np.sort(np.concatenate([offsets[:-1][offsets[1:] > offsets[:-1]], cuts, marks]))
     return starts, np.append(starts[1:], len(data))[: len(starts)]
 
 
@@ -149,7 +155,8 @@ class ChunkTable:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.limit = limit
-        self.ids: dict[bytes, bytes] = {}
+        self.ids: dict[bytes, bytes] = {}  # chunks met in two blocks or more
+        self.fresh: dict[bytes, bytes] = {}  # chunks met once
         names = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(names.values()) + 1, bool)  # tokens that begin with a space
         self.opens[[number for name, number in names.items() if name.startswith(SPACE_MARK)]] = True
@@ -157,31 +164,41 @@ class ChunkTable:
     def _segment(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[bytes]) -> None:
+    def _learned(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Chunks of a word after one space go to the tokenizer many at once and are cut apart where a token begins with a space."""
         alone = [c for c in chunks if c.rfind(b" ")]
-        self.ids.update(zip(alone, self._segment([c.decode() for c in alone]), strict=True))
+        out = dict(zip(alone, self._segment([c.decode() for c in alone]), strict=True))
         words = [c for c in chunks if not c.rfind(b" ")]
         runs = [words[low : low + RUN_WORDS] for low in range(0, len(words), RUN_WORDS)]
         for run, found in zip(runs, self._segment([b"".join(run).decode() for run in runs]), strict=True):
             cuts = (np.flatnonzero(self.opens[np.frombuffer(found, "<u4")]) * 4).tolist()
             if len(cuts) == len(run):
-                self.ids.update(zip(run, [found[a:b] for a, b in zip(cuts, [*cuts[1:], len(found)], strict=True)], strict=True))
+                out.update(zip(run, [found[a:b] for a, b in zip(cuts, [*cuts[1:], len(found)], strict=True)], strict=True))
             else:  # a tokenizer with other rules
-                self.ids.update(zip(run, self._segment([c.decode() for c in run]), strict=True))
+                out.update(zip(run, self._segment([c.decode() for c in run]), strict=True))
+        return out
+
+    def _ids_of(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of distinct chunks. Rare chunks are forgotten first; both tables stay below ``limit`` in all."""
+        missing = [c for c in chunks if c not in self.ids]
+        again = [c for c in missing if c in self.fresh]
+        new = self._learned([c for c in missing if c not in self.fresh])
+        old = {c: self.fresh.pop(c) for c in again}
+        if len(self.ids) + len(old) > self.limit // 2:
+            self.ids = {c: self.ids[c] for c in chunks if c in self.ids}
+        self.ids.update(old)
+        out = [self.ids[c] if c in self.ids else new[c] for c in chunks]
+        if len(self.fresh) + len(new) > self.limit // 2:
+            self.fresh = {}
+        self.fresh.update(new)
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of every text."""
         starts, ends = _chunks(data, offsets)
         _, first, which = np.unique(common.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
-        chunks = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        new = [c for c in chunks if c not in self.ids]
-        if len(self.ids) + len(new) > self.limit:
-            self.ids.clear()
-            new = chunks
-        self._learn(new)
-        held = [self.ids[c] for c in chunks]
+        held = self._ids_of([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
         sizes = np.array([len(h) >> 2 for h in held], np.int64)
         flat = np.frombuffer(b"".join(held), "<u4")
         each = sizes[which]
@@ -218,7 +235,7 @@ def _build(tokenizer_file: str, end_id: int, shard_tokens: int):
             _tables[tokenizer_file] = ChunkTable(tokenizer_file)
         table, part, seq = _tables[tokenizer_file], TaskContext.get().partitionId(), 0
         names, found, held = [], [], 0
-        for rows, data, offsets in common.blocks(batches):
+        for rows, data, offsets in common.blocks(batches, limit=ENCODE_BYTES):
             tokens, sizes = table.encode(data, offsets)
             tokens = np.insert(tokens, np.cumsum(sizes), end_id)
             for name, ids in zip(rows["doc_id"].to_pylist(), np.split(tokens, np.cumsum(sizes + 1)[:-1]), strict=True):
@@ -230,7 +247,6 @@ def _build(tokenizer_file: str, end_id: int, shard_tokens: int):
                 held += len(ids)
         if found:
             yield shard(part, seq, names, found)
-        table.ids.clear()
         common.give_back()
 
     return run
