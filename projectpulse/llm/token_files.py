@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from projectpulse.llm import common
 
-SHARD_TOKENS, BLOCK_BITS, TABLE_CHUNKS, ENCODE_BYTES = 4 << 20, 4096, 600_000, 4 << 20
+SHARD_TOKENS, BLOCK_BITS, TABLE_CHUNKS, ENCODE_BYTES = 4 << 20, 4096, 800_000, 4 << 20
 SHARD = "part int, seq int, n_tokens bigint, n_docs bigint, doc_ids binary, has_id binary, lengths binary, zeros array<bigint>, planes array<binary>, ranks array<binary>"
 #: how the vocabulary writes a space; words segmented in one call
-SPACE_MARK, RUN_WORDS = "\u0120", 256
+SPACE_MARK, RUN_WORDS = "\u0120", 1024
 #: white space of one byte, and first bytes of white space of three
 BLANK, WIDE_BLANK = np.zeros(256, bool), np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x20]] = True
@@ -180,14 +180,22 @@ class ChunkTable:
 
     def _ids_of(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of distinct chunks. Rare chunks are forgotten first; both tables stay below ``limit`` in all."""
-        missing = [c for c in chunks if c not in self.ids]
-        again = [c for c in missing if c in self.fresh]
-        new = self._learned([c for c in missing if c not in self.fresh])
-        old = {c: self.fresh.pop(c) for c in again}
+        out = list(map(self.ids.get, chunks))
+        missing = [at for at, found in enumerate(out) if found is None]
+        old, unknown = {}, []
+        for at in missing:
+            chunk = chunks[at]
+            found = out[at] = self.fresh.pop(chunk, None)
+            if found is None:
+                unknown.append(at)
+            else:
+                old[chunk] = found
+        new = self._learned([chunks[at] for at in unknown])
+        for at in unknown:
+            out[at] = new[chunks[at]]
         if len(self.ids) + len(old) > self.limit // 2:
-            self.ids = {c: self.ids[c] for c in chunks if c in self.ids}
+            self.ids = {}
         self.ids.update(old)
-        out = [self.ids[c] if c in self.ids else new[c] for c in chunks]
         if len(self.fresh) + len(new) > self.limit // 2:
             self.fresh = {}
         self.fresh.update(new)
