@@ -316,6 +316,25 @@ def _(spark, sf_dir):
     return found.groupBy("project_id").agg(F.count("*").alias("findings"))
 
 
+@query("ud1_marker_table", """
+WITH markers AS (
+  SELECT DISTINCT m AS name, '(^|[ .,])' || m || '($|[ .,])' AS pattern
+  FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{4,}')[1:2]) AS m FROM benchmark)
+  UNION ALL SELECT 'NUMBER', '[0-9]{3,}'
+), lines AS (
+  SELECT source, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{0085}\\x{2028}\\x{2029}]')) AS part FROM documents)
+SELECT source AS project_id, 'FORBIDDEN_MARKER_' || name AS code, count(*) AS findings FROM lines JOIN markers ON regexp_matches(part, pattern) GROUP BY ALL
+""")
+def _(spark, sf_dir):
+    """Hundreds of markers from a table, one of them without any literal."""
+    words = F.slice(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), 0), 1, 2)
+    names = table(spark, sf_dir, "benchmark").select(F.explode(words).alias("name")).distinct()
+    markers = names.select("name", F.concat(F.lit("(^|[ .,])"), "name", F.lit("($|[ .,])")).alias("pattern"))
+    markers = markers.unionByName(spark.range(1).select(F.lit("NUMBER").alias("name"), F.lit("[0-9]{3,}").alias("pattern")))
+    found = I.marker_table_scan(document_files(spark, sf_dir), markers, all_files=True)
+    return found.groupBy("project_id", "code").agg(F.count("*").alias("findings"))
+
+
 @query("ud3_code_facts", """
 SELECT source AS project_id, name, level, count(*) AS imports FROM (
   SELECT source, unnest([{'name': 'os', 'level': 0}, {'name': 'numpy', 'level': 0}, {'name': '', 'level': 1}], recursive := true) FROM documents WHERE lang <> 'de')

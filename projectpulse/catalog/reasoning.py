@@ -464,6 +464,34 @@ def _(spark, sf_dir):
     return drift.groupBy("project_id", "code").agg(F.count("*").alias("files"))
 
 
+@query("rp_full_project_report", """
+WITH docs AS (
+  SELECT source, lang, doc_id, CASE WHEN lang = 'de' THEN 15 ELSE CASE WHEN c >= 20 THEN 7 WHEN c >= 10 THEN 3 ELSE 0 END + 3 * (lang <> 'en')::INT END + (doc_id % 3 = 0)::INT AS w
+  FROM (SELECT *, 1 + {lines} AS c FROM documents)
+), helpers AS (SELECT source, max(CASE WHEN lang = 'de' THEN 1.5 ELSE n + 1.5 END) AS risk FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source)
+SELECT docs.source AS project_id, count(*) + count(DISTINCT lang) AS file_count,
+  CAST(round(CAST(count(*) FILTER (doc_id % 3 = 0) / (count(*) + count(DISTINCT lang)) AS DECIMAL(38,10)), 4) AS DOUBLE) AS drift_churn_ratio,
+  CAST(greatest(max(w) * 0.5, max(risk)) AS DOUBLE) AS max_dependency_risk, CAST(2 AS BIGINT) AS data_points_used
+FROM docs JOIN helpers USING (source) GROUP BY docs.source
+""".replace("{lines}", _MODULE_LINES))
+def _(spark, sf_dir):
+    """Two runs of modules that import their folder's helpers: the second is judged with its drift, graph, trend and risk."""
+    docs = python_sources(spark, sf_dir)
+    helpers = docs.select(*RUN, F.concat("lang", F.lit("/helpers.py")).alias("path")).distinct()
+    helpers = helpers.withColumns({"content": F.lit(b"# TODO\nVALUE = 1\n"), "edited": F.lit(False)})
+    files = docs.select(*RUN, "path", "content", (F.col("doc_id") % 3 == 0).alias("edited")).unionByName(helpers)
+    files = cut_lineage(files)
+    sized = lambda rows: rows.select(*RUN, "path", F.octet_length("content").cast("bigint").alias("size_bytes"), "content")
+    none = spark.sql("SELECT '' project_id, '' record_id, '' record_type, current_timestamp() recorded_at, 0L seq, '' summary, '' payload, 0D health_score WHERE false")
+    day = lambda month: F.make_timestamp(*[F.lit(n) for n in (2024, month, 1, 0, 0, 0)])
+    first = reports.recorded_inspection(sized(files), none, day(1))
+    content = F.when(F.col("edited"), F.concat("content", F.lit(b"\n"))).otherwise(F.col("content"))
+    later = files.withColumns({"content": content, "run_id": F.lit(1).cast("bigint")})
+    report = reports.project_report(sized(later), cut_lineage(first["records"]), day(2))
+    found = report["predictions"].select("project_id", "file_count", "drift_churn_ratio", "max_dependency_risk")
+    return found.join(report["trend"].select("project_id", F.col("data_points_used").cast("bigint").alias("data_points_used")), "project_id")
+
+
 @query("rp1_inspection_report", """
 SELECT source AS project_id, count(*) AS file_count, CAST(sum(f) + count(DISTINCT lang) AS BIGINT) AS finding_count,
   greatest(0.0, least(100.0, CAST(round(CAST(100 - 20.0 * (sum(w) + 3 * count(DISTINCT lang)) / count(*) AS DECIMAL(38,10)), 2) AS DOUBLE))) AS health_score

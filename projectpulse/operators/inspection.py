@@ -6,8 +6,11 @@ file_path, line. All analyzers return it, so they can be united by name.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
+from re import _parser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,14 +63,22 @@ def marker_scan(sources: DataFrame, markers: dict[str, str] | None = None, all_f
     markers = fixed.FORBIDDEN_MARKERS if markers is None else markers
     if not all_files:
         sources = sources.where(ff.is_python_source("path"))
+    return _marker_findings(_marker_hits(sources, list(markers.items())))
+
+
+def _marker_hits(sources: DataFrame, markers: Sequence[tuple[str, str]]) -> DataFrame:
+    """(path, no, marker): every pattern tried on every line."""
 
     def codes(line: Column) -> Column:
         none = F.lit(None).cast("string")
-        return F.array_compact(F.array(none, *[F.when(line.rlike(pattern), F.lit(name)) for name, pattern in markers.items()]))
+        return F.array_compact(F.array(none, *[F.when(line.rlike(pattern), F.lit(name)) for name, pattern in markers]))
 
     numbered = F.transform(ff.lines_of("text"), lambda line, at: F.struct((at + 1).alias("no"), codes(line).alias("codes")))
     lines = sources.select(*RUN, "path", F.explode(F.filter(numbered, lambda line: F.size(line.codes) > 0)).alias("line"))
-    hits = lines.select(*RUN, "path", F.col("line.no").alias("no"), F.explode("line.codes").alias("marker"))
+    return lines.select(*RUN, "path", F.col("line.no").alias("no"), F.explode("line.codes").alias("marker"))
+
+
+def _marker_findings(hits: DataFrame) -> DataFrame:
     message = F.format_string(
         "Line contains a prohibited '%s' marker; Article 30 forbids placeholder/incomplete code.", "marker"
     )
@@ -75,6 +86,108 @@ def marker_scan(sources: DataFrame, markers: dict[str, str] | None = None, all_f
     return hits.select(*_finding("architecture", "warning", code, message, "path", "no"))
 
 
+def required_literal(pattern: str) -> str:
+    """The longest run of characters, in lower case, that every match of a pattern holds; empty if none is certain.
+
+    Constructs that another regular expression library reads differently, or not at all, count as
+    unknown: then the pattern has no literal and is tried on every line.
+    """
+    try:
+        parsed = _parser.parse(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return ""
+    if parsed.state.flags & ~(re.IGNORECASE | re.MULTILINE | re.DOTALL | re.UNICODE):
+        return ""
+    best, run = "", ""
+
+    def walk(items) -> None:
+        nonlocal best, run
+        for kind, value in items:
+            name = str(kind)
+            if name == "LITERAL":
+                run += chr(value)
+            elif name == "SUBPATTERN":
+                walk(value[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] >= 1:
+                walk(value[2])
+                cut()
+            elif name != "AT":  # a border has no width
+                cut()
+
+    def cut() -> None:
+        nonlocal best, run
+        best, run = max(best, run, key=len), ""
+
+    walk(parsed)
+    cut()
+    return best.lower()
+
+
+def _marker_candidates(markers: list[tuple[str, str, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines on which the literal of a marker (name, pattern, literal) occurs, by one automaton over all literals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        by_literal: dict[str, list[int]] = {}
+        for number, (_, _, literal) in enumerate(markers):
+            by_literal.setdefault(literal, []).append(number)
+        found = ahocorasick.Automaton()
+        for literal, numbers in by_literal.items():
+            found.add_word(literal, numbers)
+        found.make_automaton()
+        for batch in batches:
+            rows, numbers, lines, chosen = [], [], [], []
+            for row, texts in enumerate(batch["lines"].to_pylist()):
+                for at, line in enumerate(texts or ()):
+                    hits = {number for _, own in found.iter((line or "").lower()) for number in own}
+                    for number in sorted(hits):
+                        rows.append(row)
+                        numbers.append(at + 1)
+                        lines.append(line)
+                        chosen.append(number)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch[name].take(at) for name in (*RUN, "path")], pa.array(numbers, pa.int32()), pa.array(lines, pa.string()),
+                 pa.array([markers[n][0] for n in chosen], pa.string()), pa.array([markers[n][1] for n in chosen], pa.string())],
+                names=[*RUN, "path", "no", "line", "marker", "pattern"],
+            )
+
+    return run
+
+
+def marker_table_scan(sources: DataFrame, markers: DataFrame, all_files: bool = False, block_rows: int = 10_000) -> DataFrame:
+    """UD1: ``marker_scan`` with a table of markers (name, pattern), as many as there are.
+
+    The literal parts of all patterns are one automaton, built per task; a pattern runs only on lines
+    that hold its literal. Patterns without a certain literal run on every line. Markers go to the
+    tasks in blocks of ``block_rows``, of which the driver holds one at a time.
+    """
+    if not all_files:
+        sources = sources.where(ff.is_python_source("path"))
+    kinds = dict(sources.dtypes)
+    ddl = ", ".join(f"{name} {kinds[name]}" for name in (*RUN, "path")) + ", no int, line string, marker string, pattern string"
+    listed = cut_lineage(markers.select("name", "pattern").where("name is not null and pattern is not null").distinct())
+    blocks = max(1, -(-listed.count() // block_rows))
+    parts = []
+    for block in range(blocks):
+        own = listed.where(F.pmod(F.xxhash64("name", "pattern"), F.lit(blocks)) == block)
+        rows = [(r["name"], r["pattern"], required_literal(r["pattern"])) for r in own.collect()]
+        with_literal, free = [r for r in rows if r[2]], {(r[0], r[1]) for r in rows if not r[2]}
+        if with_literal:
+            lines = sources.select(*RUN, "path", ff.lines_of("text").alias("lines"))
+            tried = lines.mapInArrow(_marker_candidates(with_literal), ddl).where(F.rlike("line", "pattern"))
+            parts.append(tried.select(*RUN, "path", "no", "marker"))
+        if free:
+            parts.append(_marker_hits(sources, sorted(free)))
+    if not parts:
+        parts.append(_marker_hits(sources.limit(0), [("", "a")]))
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.unionByName(part)
+    return _marker_findings(hits.distinct())  # patterns of one name count once per line
+
+
 def missing_package_init(inventory: DataFrame) -> DataFrame:
     """JN5: directories of non-test Python files that hold no __init__.py."""
     python = inventory.where(ff.is_python_source("relative_path"))

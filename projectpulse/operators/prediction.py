@@ -261,8 +261,9 @@ def trend_two(series: DataFrame, duplicate_current: bool = False) -> DataFrame:
 def zip_training_pairs(records: DataFrame, limit: int | None = None) -> DataFrame:
     """JN16, AG32: (health_score, finding_count) of inspection records, oldest first.
 
-    With ``limit`` the oldest N records are kept.
+    Payloads list their findings or carry their number. With ``limit`` the oldest N records are kept.
     """
-    count = F.coalesce(F.json_array_length(F.get_json_object("payload", "$.findings")), F.lit(0)).cast("bigint")
+    listed = F.json_array_length(F.get_json_object("payload", "$.findings")).cast("bigint")
+    count = F.coalesce(listed, F.get_json_object("payload", "$.finding_count").try_cast("bigint"), F.lit(0).cast("bigint"))
     rows = trend_series(records.withColumn("finding_count", count), ["inspection"], limit)
     return rows.select("project_id", "record_id", "recorded_at", "health_score", "finding_count")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from projectpulse.functions.scalars import rounded
 from projectpulse.operators import graph, inspection, memory, prediction, reasoning, sessions, text, vision
-from projectpulse.skew import cut_lineage
+from projectpulse.skew import cut_lineage, time_chunk
 from projectpulse.sources import code
 
 
@@ -161,6 +161,53 @@ def prediction_report(runs: DataFrame, metrics: DataFrame, findings: DataFrame,
     )
 
 
+def project_report(contents: DataFrame, stored: DataFrame, recorded_at: Column, root: str = "", include_reasoning: bool = True, chunk_hours: int = 24 * 365) -> Report:
+    """Inspection, reasoning, trend and prediction of a run as one: every part reads the run's own import graph.
+
+    ``contents`` holds one run per project and ``stored`` the records so far. The parts are those of
+    ``recorded_inspection``, ``reasoning_report`` and ``prediction_report``; the trend is fitted to
+    the stored runs and this one. Findings, scores and impact are written once, since several parts
+    read them. Without reasoning no file has a blast radius, and there are no recommendations.
+    """
+    run = ["project_id", "run_id"]
+    inspected = recorded_inspection(contents, stored, recorded_at, root)
+    reasoned: list[Report] = []
+
+    def reasoning_of(r: Report) -> Report:
+        if not reasoned:
+            nodes = r["inventory"].where("extension = 'py'").select(*run, F.col("relative_path").alias("node"))
+            reasoned.append(reasoning_report(r["found"], r["runs"], r["edges"], nodes))
+        return reasoned[0]
+
+    def history(r: Report) -> DataFrame:
+        past = prediction.zip_training_pairs(stored).select("project_id", "record_id", "recorded_at", "health_score", "finding_count")
+        current = r["scored"].select(
+            "project_id", F.concat_ws("-", F.lit("run"), *run).alias("record_id"), recorded_at.alias("recorded_at"), "health_score", "finding_count")
+        series = past.join(current.select("project_id"), "project_id", "left_semi").unionByName(current)
+        return prediction.run_index(series, ["recorded_at", "record_id"], time_chunk("recorded_at", chunk_hours))
+
+    def features(r: Report) -> DataFrame:
+        return prediction.feature_vectors(r["scored"].select(*run, "file_count", "health_score"), r["metrics"], r["found"], r["impact"])
+
+    def impact(r: Report) -> DataFrame:
+        rows = reasoning_of(r)["impact"]
+        return cut_lineage(rows if include_reasoning else rows.limit(0))
+
+    parts = {
+        "found": lambda r: cut_lineage(r["findings"]),
+        "scored": lambda r: cut_lineage(inspection.health_scores(r["runs"], r["found"])),
+        "impact": impact,
+        "features": features,
+        "predictions": lambda r: prediction.failure_probability(prediction.technical_debt(prediction.regression_risk(r["features"]))),
+        "modules": lambda r: prediction.module_risk(r["metrics"], r["impact"], r["found"]),
+        "history": history,
+        "trend": lambda r: prediction.trend_two(r["history"]),
+    }
+    if include_reasoning:
+        parts |= {name: lambda r, name=name: reasoning_of(r)[name] for name in ("groups", "hypotheses", "insight", "recommendations")}
+    return inspected.extended(**parts)
+
+
 def visual_report(
     pairs: DataFrame, embeddings: DataFrame, baseline: DataFrame, current: DataFrame,
     canvas_width: int | None = None, canvas_height: int | None = None,

@@ -217,3 +217,40 @@ def test_a_file_beyond_the_parser_ends_no_run(spark, text):
     assert {("p", "ok.py", "HIGH_COMPLEXITY"), ("q", "ok.py", "HIGH_COMPLEXITY")} <= codes
     assert {code for project, path, code in codes if path == "gen.py"} & {"UNPARSABLE", "SYNTAX_ERROR"}
     assert {r.project_id for r in report["health"].collect()} == {"p", "q"}
+
+
+def test_required_literals():
+    wanted = {
+        r"(?i)\bTODO\b": "todo", "^HACK": "hack", "[0-9]{3,}": "", "a|b": "", "(?:FIX){2}ME": "fix", "colou?r": "colo", r"x\.y+z": "x.y", "(": "", r"\Qa\E": "",
+        "ab(?=cd)e": "ab", "(foo)bar": "foobar", "(?x) a b": "",
+    }
+    assert {pattern: I.required_literal(pattern) for pattern in wanted} == wanted
+
+
+def test_a_table_of_markers_equals_the_scan_line_by_line(spark):
+    texts = ["x todo: y\nTODO\nfixme Fixme\n", "HACK here\nno HACK\n\nİTODO", "12345 a.b\nab\n", "", None]
+    sources = spark.createDataFrame([("p", 1, f"f{i}.py", t) for i, t in enumerate(texts)] + [("q", 1, "test_x.py", "TODO")], KEYS + "path string, text string")
+    markers = {"T": r"(?i)\btodo\b", "H": "^HACK", "N": "[0-9]{3,}", "AB": "a.?b", "F": "Fixme", "OR": "TODO|12"}
+    markers |= {f"K{i}": f"word{i}" for i in range(300)}
+    table = spark.createDataFrame([*markers.items(), ("T", "TODO"), (None, "x")], "name string, pattern string")
+    expected = sorted({(r.project_id, r.file_path, r.code, r.line) for r in I.marker_scan(sources, markers).collect()}, key=str)
+    for block in (10_000, 50):
+        found = [(r.project_id, r.file_path, r.code, r.line) for r in I.marker_table_scan(sources, table, block_rows=block).collect()]
+        assert sorted(found, key=str) == expected
+    assert I.marker_table_scan(sources, table.limit(0)).collect() == []
+
+
+def test_many_markers_cost_little_more_than_a_few(spark):
+    import time
+
+    text = "\n".join(f"line {i} of some words that no marker names" for i in range(2000))
+    sources = spark.createDataFrame([("p", 1, f"f{i}.py", text) for i in range(40)], KEYS + "path string, text string").repartition(4).cache()
+    seconds = {}
+    for size in (5, 1000):
+        table = spark.createDataFrame([(f"K{i}", f"(?i)\\bmark{i}x\\b") for i in range(size)], "name string, pattern string")
+        scan = I.marker_table_scan(sources, table)
+        assert scan.count() == 0
+        start = time.perf_counter()
+        scan.count()
+        seconds[size] = time.perf_counter() - start
+    assert seconds[1000] < 3 * seconds[5] + 0.5
