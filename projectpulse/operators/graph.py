@@ -25,8 +25,8 @@ from projectpulse.skew import cut_lineage, read_tables, write_table
 RUN = ["project_id", "run_id"]
 #: edges of one graph that a task searches, and bytes of its bitmaps
 WHOLE_EDGES, BITMAP_BYTES = 2_000_000, 64 << 20
-#: pairs that a task hands on at once
-PAIR_ROWS = 100_000
+#: pairs that a task hands on at once, edges that are searched by one call
+PAIR_ROWS, PACK_EDGES = 100_000, 50_000
 
 
 def import_candidates(facts: DataFrame) -> DataFrame:
@@ -85,8 +85,8 @@ def _grouped(keys: np.ndarray, values: np.ndarray, count: int) -> tuple[np.ndarr
 
 def _components_in_order(count: int, targets: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Strongly connected component of every node; a component's number is above those of all it leads to."""
-    number, low = np.full(count, -1, np.int64), np.zeros(count, np.int64)
-    component, stack, made, seen = np.full(count, -1, np.int64), [], 0, 0
+    number, low, component = [-1] * count, [0] * count, [-1] * count
+    stack, made, seen = [], 0, 0
     follow, at = targets.tolist(), first[:-1].tolist()
     last = first[1:].tolist()
     for root in range(count):
@@ -119,7 +119,7 @@ def _components_in_order(count: int, targets: np.ndarray, first: np.ndarray) ->
                     if member == node:
                         break
                 made += 1
-    return component
+    return np.array(component, np.int64)
 
 
 def _reaching(src: np.ndarray, dst: np.ndarray, count: int, low: int, bits: int) -> np.ndarray:
@@ -139,33 +139,58 @@ def _reaching(src: np.ndarray, dst: np.ndarray, count: int, low: int, bits: int)
 
 
 def _search(pairs: bool) -> Callable:
-    """Bitmaps of one bucket of dependents of one run; reported as pairs or as counts, for seeds only (rows without ``dst``)."""
+    """Bitmaps of the buckets of dependents in a pack of runs; reported as pairs or as counts, for seeds only (rows without ``dst``)."""
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        wanted = rows.filter(rows["dst"].is_null())["src"].to_pylist()
-        rows = rows.filter(rows["dst"].is_valid())
-        names, src, dst = _codes(rows)
-        bucket, bits = key[2].as_py(), int(rows["bits"][0].as_py())
+    def one_run(rows: pa.Table, bucket: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        arcs = rows.filter(rows["dst"].is_valid())
+        names, src, dst = _codes(arcs)
+        place = {name: number for number, name in enumerate(names)}
+        wanted = (place.get(name) for name in rows.filter(rows["dst"].is_null())["src"].to_pylist())
+        known = np.array([n for n in wanted if n is not None], np.int64)
+        if not len(known):
+            return
         low = bucket * bits
         reach = _reaching(src, dst, len(names), low, bits)
-        place = {name: number for number, name in enumerate(names)}
-        known = np.array([place[n] for n in wanted if n in place], np.int64)
         own = (known >= low) & (known < low + bits)  # a node is no dependent of its own
         reach[known[own], (known[own] - low) >> 3] &= ~(1 << ((known[own] - low) & 7)).astype(np.uint8)
         named = np.array(names, object)
-        runs = lambda n: [pa.array([k.as_py()] * n, k.type) for k in key[:2]]
         if not pairs:
-            counts = np.bitwise_count(reach[known]).sum(axis=1, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*runs(len(known)), pa.array(named[known], pa.string()), pa.array(counts)], names=[*RUN, "node", "transitive_dependents"])
+            yield named[known], np.bitwise_count(reach[known]).sum(axis=1, dtype=np.int64)
             return
         step = max(1, PAIR_ROWS // bits)
         for at in range(0, len(known), step):
             some = known[at : at + step]
             which, bit = np.nonzero(np.unpackbits(reach[some], axis=1, bitorder="little"))
-            yield pa.RecordBatch.from_arrays(
-                [*runs(len(which)), pa.array(named[some[which]], pa.string()), pa.array(named[bit + low], pa.string())], names=[*RUN, "seed", "dependent"]
-            )
+            yield named[some[which]], named[bit + low]
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = [*RUN, "bucket"]
+        rows = pa.Table.from_batches(list(batches)).sort_by([(name, "ascending") for name in cell])
+        names, kinds = (["seed", "dependent"], [pa.string(), pa.string()]) if pairs else (["node", "transitive_dependents"], [pa.string(), pa.int64()])
+        held, size = [], 0
+
+        def handed_on() -> pa.RecordBatch:
+            columns = [np.concatenate([found[k] for _, found in held]) for k in (0, 1)]
+            at = np.repeat([row for row, _ in held], [len(found[0]) for _, found in held])
+            keys = [rows[name].combine_chunks().take(pa.array(at)) for name in RUN]
+            return pa.RecordBatch.from_arrays([*keys, *[pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]], names=[*RUN, *names])
+
+        changed = np.zeros(rows.num_rows, bool)
+        changed[:1] = True
+        for name in cell:
+            codes = rows[name].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+            changed[1:] |= codes[1:] != codes[:-1]
+        starts = np.flatnonzero(changed).tolist()
+        for start, end in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+            bucket, bits = rows["bucket"][start].as_py(), rows["bits"][start].as_py()
+            for found in one_run(rows.slice(start, end - start).select(["src", "dst"]), bucket, bits):
+                held.append((start, found))
+                size += len(found[0])
+                if size > PAIR_ROWS:
+                    yield handed_on()
+                    held, size = [], 0
+        if held:
+            yield handed_on()
 
     return run
 
@@ -181,11 +206,14 @@ def _closure(edges: DataFrame, seeds: DataFrame, pairs: bool) -> DataFrame:
     sizes = cut_lineage(sizes.withColumn("_whole", F.col("_edges") * F.col("_buckets") <= WHOLE_EDGES))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_buckets") - 1)).alias("bucket")
     whole = sizes.where("_whole").select(*RUN, "bits", every)
-    cell = [*RUN, "bucket"]
     rows = edges.unionByName(seeds.select(*RUN, F.col("node").alias("src"), F.lit(None).cast("string").alias("dst")))
+    # short runs share a task's call; packs are dealt by edges, which are few bytes and much work
+    work = sizes.where("_whole").agg(F.sum(F.col("_edges") * F.col("_buckets"))).first()[0] or 0
+    packs = max(4 * edges.sparkSession.sparkContext.defaultParallelism, -(-work // PACK_EDGES))
+    rows = rows.join(whole, RUN).withColumn("pack", F.pmod(F.xxhash64(*RUN, "bucket"), F.lit(packs)))
     kinds = dict(edges.dtypes)
     run = ", ".join(f"{name} {kinds[name]}" for name in RUN)
-    found = rows.join(whole, RUN).groupBy(*cell).applyInArrow(_search(pairs), f"{run}, " + ("seed string, dependent string" if pairs else "node string, transitive_dependents bigint"))
+    found = rows.repartition(packs, "pack").groupBy("pack").applyInArrow(_search(pairs), f"{run}, " + ("seed string, dependent string" if pairs else "node string, transitive_dependents bigint"))
     large = sizes.where("not _whole").select(*RUN)
     if not large.isEmpty():
         listed = _dependents_by_rounds(edges.join(large, RUN, "left_semi"), seeds.join(large, RUN, "left_semi"))
