@@ -232,7 +232,7 @@ def test_a_table_of_markers_equals_the_scan_line_by_line(spark):
     sources = spark.createDataFrame([("p", 1, f"f{i}.py", t) for i, t in enumerate(texts)] + [("q", 1, "test_x.py", "TODO")], KEYS + "path string, text string")
     markers = {"T": r"(?i)\btodo\b", "H": "^HACK", "N": "[0-9]{3,}", "AB": "a.?b", "F": "Fixme", "OR": "TODO|12"}
     markers |= {f"K{i}": f"word{i}" for i in range(300)}
-    table = spark.createDataFrame([*markers.items(), ("T", "TODO"), (None, "x")], "name string, pattern string")
+    table = spark.createDataFrame([*markers.items(), ("T", r"\bTODO\b"), (None, "x")], "name string, pattern string")
     expected = sorted({(r.project_id, r.file_path, r.code, r.line) for r in I.marker_scan(sources, markers).collect()}, key=str)
     for block in (10_000, 50):
         found = [(r.project_id, r.file_path, r.code, r.line) for r in I.marker_table_scan(sources, table, block_rows=block).collect()]
