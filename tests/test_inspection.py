@@ -254,3 +254,25 @@ def test_many_markers_cost_little_more_than_a_few(spark):
         scan.count()
         seconds[size] = time.perf_counter() - start
     assert seconds[1000] < 3 * seconds[5] + 0.5
+
+
+def test_project_report_joins_all_parts_on_the_import_graph(spark):
+    """Two runs: the second has drift, a blast radius along real imports, a trend over both, and recommendations."""
+    files = {"pkg/__init__.py": "", "pkg/core.py": "# TODO\nVALUE = 1\n", "pkg/a.py": "from pkg.core import VALUE\n", "pkg/b.py": "from pkg import a\n"}
+    none = spark.sql("SELECT '' project_id, '' record_id, '' record_type, current_timestamp() recorded_at, 0L seq, '' summary, '' payload, 0D health_score WHERE false")
+    day = lambda n: F.make_timestamp(*[F.lit(k) for k in (2026, 1, n, 0, 0, 0)])
+    first = reports.project_report(sources(spark, files), none, day(1))
+    assert first["trend"].first().direction == "unknown"
+    later = sources(spark, files | {"pkg/core.py": "# TODO\nVALUE = 2\n", "pkg/new.py": "X = 1\n"}).withColumn("run_id", F.lit(2).cast("bigint"))
+    stored = first["records"].cache()
+    report = reports.project_report(later, stored, day(2))
+    impact = {r.file_path: (r.direct_dependents, r.transitive_dependents, r.risk_score) for r in report["impact"].collect()}
+    assert impact["pkg/core.py"] == (1, 2, 2 + (3 + 1) / 2)  # a marker and a modification
+    row = report["predictions"].first()
+    assert (row.file_count, row.max_dependency_risk, row.drift_churn_ratio) == (5, 4.0, 0.4)
+    assert report["trend"].first().data_points_used == 2
+    assert rows(report["history"].orderBy("run_index"), "finding_count") == [(1,), (3,)]
+    assert {r.category for r in report["recommendations"].collect()} >= {"dependency_impact", "drift_significance"}
+    assert report["insight"].first().high_impact_count == 1
+    bare = reports.project_report(later, stored, day(2), include_reasoning=False)
+    assert bare["predictions"].first().max_dependency_risk == 0.0 and "recommendations" not in bare.names()
