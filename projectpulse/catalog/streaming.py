@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from projectpulse.catalog import inputs
 from projectpulse.catalog.registry import cte, query, shown, sql_round, sql_ts, table
 from projectpulse.skew import new_folder
+from projectpulse.streaming import breaks as SB
 from projectpulse.streaming import telemetry as ST
 
 GAP = inputs.SESSION_GAP_MINUTES
@@ -94,6 +95,15 @@ def _(spark, sf_dir):
     return shown(finished(ST.stream_breaks(telemetry_stream(spark, sf_dir), GAP), "breaks"))
 
 
+@query("st4_sliced_breaks", f"""
+SELECT project_id, {sql_ts('started_at')} AS started_at, {sql_ts('ended_at')} AS ended_at, snapshot_count, break_count
+FROM sessions, watermark WHERE ended_at + INTERVAL 360 MINUTE < wm
+""", ("sessions", "watermark"))
+def _(spark, sf_dir):
+    """The same sessions, the rows of a project spread over slices of four weeks."""
+    return shown(finished(SB.stream_sliced_breaks(telemetry_stream(spark, sf_dir), GAP, slice_hours=672), "sliced"))
+
+
 @query("st5_stream_rate", f"""
 SELECT project_id, {sql_ts('b')} AS interval_start, count(*) AS n, {sql_round('count(*) / 30.0 * 60.0', 2)} AS rate_per_minute
 FROM (SELECT *, time_bucket(INTERVAL 30 SECOND, recorded_at, TIMESTAMP '1970-01-01') AS b FROM telemetry), watermark

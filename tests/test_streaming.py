@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 from conftest import rows
 from projectpulse.operators import sessions as S
+from projectpulse.streaming import breaks as SB
 from projectpulse.streaming import telemetry as ST
 
 BASE = datetime(2026, 1, 5, 9)
@@ -64,3 +65,30 @@ def test_ingest_replay_writes_no_row_twice(spark, tmp_path):
         ST.stream_ingest(stream, good, bad, str(tmp_path / state), availableNow=True).awaitTermination()
     assert rows(spark.read.parquet(good), "seq") == [(1,)]
     assert rows(spark.read.parquet(bad), "seq", "rejected_field") == [(2, "typing_speed_cpm")]
+
+
+def test_sliced_breaks_match_batch_across_borders(spark, tmp_path):
+    """Slices of one hour: most sessions cross several of them, and some fill whole slices."""
+    rng, parts, seq, minute = random.Random(5), [], 0, {"a": 0, "b": 30, "c": 59}
+    for _ in range(3):
+        part = []
+        for p in minute:
+            for _ in range(60):
+                minute[p] += rng.choice([1, 3, 10, 15, 15, 16, 70])
+                part.append((p, minute[p], seq, rng.choice([0.0, 0.0, 4.0, None])))
+                seq += 1
+        rng.shuffle(part)
+        parts.append(part)
+    end = max(minute.values()) + 10_000
+    stream, table = batches(spark, tmp_path / "in", [*parts, [("end", end, seq, 1.0)], [("end", end + 1, seq + 1, 1.0)]])
+    columns = ["project_id", "started_at", "ended_at", "snapshot_count", "break_count"]
+    expected = rows(S.derive_sessions(table).where("project_id <> 'end'"), *columns)
+    assert any(r[1].hour != r[2].hour for r in expected)
+    assert rows(run(SB.stream_sliced_breaks(stream, 15.0, "2000 minutes", 1), tmp_path, "late"), *columns) == expected
+    # with a short delay the watermark moves inside the data; the plain operator sees the same rows
+    quick = sorted(r for part in parts for r in part)
+    quick.sort(key=lambda r: r[1])
+    few = [quick[i:i + 45] for i in range(0, len(quick), 45)]
+    stream, _ = batches(spark, tmp_path / "quick", [*few, [("end", end, seq, 1.0)], [("end", end + 1, seq + 1, 1.0)]])
+    plain = rows(run(ST.stream_breaks(stream, 15.0, "20 minutes"), tmp_path, "plain"), *columns)
+    assert rows(run(SB.stream_sliced_breaks(stream, 15.0, "20 minutes", 1), tmp_path, "sliced"), *columns) == plain == expected
