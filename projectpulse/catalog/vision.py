@@ -118,6 +118,12 @@ def _(spark, sf_dir):
     return V.region_boxes(V.changed_pixels(inputs.image_pairs(spark, sf_dir)), None).drop("region_rank")
 
 
+@query("gr4_tiled_regions", "SELECT pair_id, x, y, width, height, n AS changed_pixel_count FROM boxes", ("boxes",))
+def _(spark, sf_dir):
+    """The same regions from tiles of 3 x 3 pixels."""
+    return V.tiled_region_boxes(V.cut_tiles(inputs.image_pairs(spark, sf_dir), 3), None)
+
+
 @query("ag24_region_boxes", """
 SELECT pair_id, count(*) AS regions, CAST(sum(n) AS BIGINT) AS pixels, max(width * height) AS largest_box FROM boxes GROUP BY ALL
 """, ("boxes",))

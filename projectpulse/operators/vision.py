@@ -10,11 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from projectpulse.components import star_components
 from projectpulse.functions import fixed
 from projectpulse.functions.scalars import as_col, band, cosine, hamming, percent_text, risk_weight, rounded, two_signal_level
+from projectpulse.skew import cut_lineage
 
 CHANGE_THRESHOLD = 24
 MAX_REGIONS = 25
@@ -406,3 +408,91 @@ def visual_report(verdict_rows: DataFrame, baseline: Column, current: Column, so
         sentence, baseline, current, F.col("finding_count"), F.lit(" and ".join(sources) or "no data"),
     )
     return verdict_rows.withColumn("summary", summary)
+
+
+def cut_tiles(pairs: DataFrame, side: int) -> DataFrame:
+    """GR4: image pairs as rows of at most ``side`` x ``side`` pixels, each with its place in the image.
+
+    For images that still fit a row; larger ones should arrive as tiles.
+    """
+    places = F.explode(F.sequence(F.lit(0), (F.floor((F.col("width") - 1) / side) + 1) * (F.floor((F.col("height") - 1) / side) + 1) - 1))
+    across = F.floor((F.col("width") - 1) / side).cast("int") + 1
+    tiles = pairs.where("width > 0 AND height > 0").select("*", places.alias("_place")).withColumns({
+        "tile_x": (F.col("_place") % across * side).cast("int"), "tile_y": (F.floor(F.col("_place") / across) * side).cast("int"),
+    }).withColumns({
+        "tile_width": F.least(F.lit(side), F.col("width") - F.col("tile_x")), "tile_height": F.least(F.lit(side), F.col("height") - F.col("tile_y")),
+    })
+
+    def window(buffer: str) -> Column:
+        def line(y: Column) -> Column:
+            first = ((F.col("tile_y") + y) * F.col("width") + F.col("tile_x")) * F.col("channels") + 1
+            return F.slice(F.col(buffer), first.cast("int"), F.col("tile_width") * F.col("channels"))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.col("tile_height") - 1), line))
+
+    return tiles.select(
+        "pair_id", "width", "height", "channels", "tile_x", "tile_y", "tile_width", "tile_height",
+        window("baseline").alias("baseline"), window("current").alias("current"),
+    )
+
+
+def tiled_region_boxes(tiles: DataFrame, limit: int | None = MAX_REGIONS) -> DataFrame:
+    """GR4, AG24, WN9 for images of any size: the rows of ``region_boxes`` from tiles.
+
+    ``tiles`` has pair_id, width and height of the image, channels, tile_x, tile_y,
+    tile_width, tile_height, and the tile's part of both buffers; tiles of an image touch and
+    do not overlap. Each tile is labelled alone. Only the changed pixels at tile borders meet
+    their neighbours of the next tile in a join, so a shuffle carries perimeters, not images,
+    and components that span tiles are joined by stars. A missing tile counts as unchanged, null
+    ids, sizes and buffers as no tile. With ``limit`` None there is no rank, which would need
+    all regions of an image in one task.
+    """
+    pair_type = dict(tiles.dtypes)["pair_id"]
+    complete = tiles.dropna(subset=["pair_id", "width", "tile_x", "tile_y", "tile_width", "tile_height", "channels", "baseline", "current"])
+    image = F.struct("pair_id", "width", "tile_x", "tile_y", "tile_height")
+    small = complete.select(image.alias("pair_id"), F.col("tile_width").alias("width"), F.col("tile_height").alias("height"), "channels", "baseline", "current")
+    changed = changed_pixels(small).where(F.size("changed") > 0).select("pair_id.*", F.col("width").alias("tile_width"), "changed")
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for tile in batch.itertuples(index=False):
+                at = np.asarray(tile.changed, dtype=np.int64)  # ascending
+                x, y = at % tile.tile_width, at // tile.tile_width
+                root = _label(at, np.where(x == tile.tile_width - 1, -1, at + 1), at + tile.tile_width)
+                right, bottom = x == tile.tile_width - 1, y == tile.tile_height - 1
+                x, y = x + tile.tile_x, y + tile.tile_y
+                whole = y * tile.width + x
+                entry = (x == tile.tile_x) | (y == tile.tile_y)
+                steps = pd.concat([
+                    pd.DataFrame({"root": root[right & (x < tile.width - 1)], "to": whole[right & (x < tile.width - 1)] + 1}),
+                    pd.DataFrame({"root": root[bottom], "to": whole[bottom] + tile.width}),
+                ]).groupby("root")["to"].agg(list)
+                entries = pd.DataFrame({"root": root[entry], "at": whole[entry]}).groupby("root")["at"].agg(list)
+                boxes = pd.DataFrame({"root": root, "x": x, "y": y, "at": whole}).groupby("root").agg(
+                    node=("at", "min"), x=("x", "min"), y=("y", "min"), right=("x", "max"), bottom=("y", "max"), n=("at", "size"))
+                boxes["entries"] = [entries.get(r, []) for r in boxes.index]
+                boxes["steps"] = [steps.get(r, []) for r in boxes.index]
+                boxes.insert(0, "pair_id", tile.pair_id)
+                yield boxes
+
+    parts = changed.mapInPandas(label, (
+        f"pair_id {pair_type}, node bigint, x bigint, y bigint, right bigint, bottom bigint, n bigint, "
+        "entries array<bigint>, steps array<bigint>"
+    ))
+    parts = cut_lineage(parts)
+    left = parts.select("pair_id", F.struct("pair_id", "node").alias("a"), F.explode("steps").alias("at"))
+    right = parts.select("pair_id", F.struct("pair_id", "node").alias("b"), F.explode("entries").alias("at"))
+    joined = star_components(left.join(right, ["pair_id", "at"]).select("a", "b"))
+    named = joined.select("node.pair_id", "node.node", F.col("component.node").alias("root"))
+    boxes = parts.drop("entries", "steps").join(named, ["pair_id", "node"], "left").groupBy(
+        "pair_id", F.coalesce("root", "node").alias("root")
+    ).agg(
+        F.min("x").alias("x"), F.min("y").alias("y"), F.max("right").alias("right"), F.max("bottom").alias("bottom"),
+        F.sum("n").alias("changed_pixel_count"),
+    ).withColumns({"width": F.col("right") - F.col("x") + 1, "height": F.col("bottom") - F.col("y") + 1})
+    columns = ["x", "y", "width", "height", "changed_pixel_count"]
+    if limit is None:
+        return boxes.select("pair_id", *columns)
+    order = Window.partitionBy("pair_id").orderBy(F.desc("changed_pixel_count"), "root")
+    ranked = boxes.withColumn("region_rank", F.row_number().over(order)).where(F.col("region_rank") <= limit)
+    return ranked.select("pair_id", F.col("region_rank").cast("bigint").alias("region_rank"), *columns)
