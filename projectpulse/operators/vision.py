@@ -455,25 +455,29 @@ def tiled_region_boxes(tiles: DataFrame, limit: int | None = MAX_REGIONS) -> Dat
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for tile in batch.itertuples(index=False):
-                at = np.asarray(tile.changed, dtype=np.int64)  # ascending
-                x, y = at % tile.tile_width, at // tile.tile_width
-                root = _label(at, np.where(x == tile.tile_width - 1, -1, at + 1), at + tile.tile_width)
-                right, bottom = x == tile.tile_width - 1, y == tile.tile_height - 1
-                x, y = x + tile.tile_x, y + tile.tile_y
-                whole = y * tile.width + x
-                entry = (x == tile.tile_x) | (y == tile.tile_y)
-                steps = pd.concat([
-                    pd.DataFrame({"root": root[right & (x < tile.width - 1)], "to": whole[right & (x < tile.width - 1)] + 1}),
-                    pd.DataFrame({"root": root[bottom], "to": whole[bottom] + tile.width}),
-                ]).groupby("root")["to"].agg(list)
-                entries = pd.DataFrame({"root": root[entry], "at": whole[entry]}).groupby("root")["at"].agg(list)
-                boxes = pd.DataFrame({"root": root, "x": x, "y": y, "at": whole}).groupby("root").agg(
-                    node=("at", "min"), x=("x", "min"), y=("y", "min"), right=("x", "max"), bottom=("y", "max"), n=("at", "size"))
-                boxes["entries"] = [entries.get(r, []) for r in boxes.index]
-                boxes["steps"] = [steps.get(r, []) for r in boxes.index]
-                boxes.insert(0, "pair_id", tile.pair_id)
-                yield boxes
+            if batch.empty:
+                continue
+            owner = np.repeat(np.arange(len(batch)), batch["changed"].map(len))
+            at = np.concatenate(batch["changed"].to_numpy()).astype(np.int64)  # ascending in each tile
+            numbers = {c: batch[c].to_numpy().astype(np.int64)[owner] for c in ("width", "tile_x", "tile_y", "tile_width", "tile_height")}
+            across = numbers["tile_width"]
+            stride = int(at.max()) + int(across.max()) + 1  # keeps the tiles of a batch apart
+            keys, x, y = owner * stride + at, at % across, at // across
+            right, bottom = x == across - 1, y == numbers["tile_height"] - 1
+            root = _label(keys, np.where(right, -1, keys + 1), keys + across)
+            entry = (x == 0) | (y == 0)
+            x, y = x + numbers["tile_x"], y + numbers["tile_y"]
+            whole = y * numbers["width"] + x
+            right &= x < numbers["width"] - 1
+            seam = np.concatenate([whole[right] + 1, whole[bottom] + numbers["width"][bottom]])
+            steps = pd.Series(seam).groupby(np.concatenate([root[right], root[bottom]])).agg(list)
+            entries = pd.Series(whole[entry]).groupby(root[entry]).agg(list)
+            boxes = pd.DataFrame({"root": root, "owner": owner, "x": x, "y": y, "at": whole}).groupby("root").agg(
+                owner=("owner", "first"), node=("at", "min"), x=("x", "min"), y=("y", "min"), right=("x", "max"), bottom=("y", "max"), n=("at", "size"))
+            for name, lists in (("entries", entries.to_dict()), ("steps", steps.to_dict())):
+                boxes[name] = [lists.get(r, []) for r in boxes.index]
+            boxes["owner"] = batch["pair_id"].to_numpy()[boxes["owner"]]
+            yield boxes.rename(columns={"owner": "pair_id"})
 
     parts = changed.mapInPandas(label, (
         f"pair_id {pair_type}, node bigint, x bigint, y bigint, right bigint, bottom bigint, n bigint, "
