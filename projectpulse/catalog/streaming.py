@@ -14,6 +14,7 @@ from projectpulse.catalog import inputs
 from projectpulse.catalog.registry import cte, query, shown, sql_round, sql_ts, table
 from projectpulse.skew import new_folder
 from projectpulse.streaming import breaks as SB
+from projectpulse.streaming import corrections as SC
 from projectpulse.streaming import telemetry as ST
 
 GAP = inputs.SESSION_GAP_MINUTES
@@ -137,3 +138,16 @@ def _(spark, sf_dir):
         F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("recorded_at"),
         (F.col("ts").cast("timestamp") + F.make_dt_interval(mins=F.lit(0), secs=(F.col("value") * 60).cast("decimal(18,6)"))).alias("ingested_at"))
     return finished(ST.late_rows(rows), "late").select("seq", "is_late")
+
+
+@query("st8_corrected_sessions", f"""
+SELECT project_id, {sql_ts('started_at')} AS started_at, {sql_ts('ended_at')} AS ended_at, duration_minutes, snapshot_count, break_count FROM sessions
+""", ("sessions",))
+def _(spark, sf_dir):
+    """Events in three files by a hash, one per micro-batch, so that two thirds of the rows come late."""
+    mixed, snapshots, changes = (new_folder(spark, name) for name in ("mixed", "snapshots", "changes"))
+    inputs.events_as_telemetry(table(spark, sf_dir, "events")).repartition(3, "seq").write.parquet(mixed)
+    stream = spark.readStream.schema(spark.read.parquet(mixed).schema).option("maxFilesPerTrigger", 1).parquet(mixed)
+    SC.stream_corrections(stream, snapshots, changes, new_folder(spark, "correct-state"), GAP, availableNow=True).awaitTermination()
+    sessions = SC.corrected_sessions(spark.read.parquet(changes))
+    return shown(sessions.select("project_id", "started_at", "ended_at", "duration_minutes", "snapshot_count", "break_count"))

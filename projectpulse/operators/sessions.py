@@ -106,7 +106,11 @@ def activity_runs(telemetry: DataFrame, max_gap_minutes: float = 15.0, chunk_hou
 
 def derive_sessions(telemetry: DataFrame, max_gap_minutes: float = 15.0, chunk_hours: int = 24) -> DataFrame:
     """WN1, WN2, AG9: runs with at least two snapshots, one of them active."""
-    runs = activity_runs(telemetry, max_gap_minutes, chunk_hours)
+    return qualified(activity_runs(telemetry, max_gap_minutes, chunk_hours))
+
+
+def qualified(runs: DataFrame) -> DataFrame:
+    """WN1: sessions among the runs, with duration and breaks per hour."""
     minutes = (F.unix_micros("ended_at") - F.unix_micros("started_at")) / 60_000_000.0
     kept = runs.where((F.col("snapshot_count") >= 2) & (F.col("active_count") >= 1)).withColumn("_m", minutes)
     per_hour = F.when(F.col("_m") > 0, rounded(F.col("break_count") / (F.col("_m") / 60.0), 4))

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 from conftest import rows
 from projectpulse.operators import sessions as S
 from projectpulse.streaming import breaks as SB
+from projectpulse.streaming import corrections as SC
 from projectpulse.streaming import telemetry as ST
 
 BASE = datetime(2026, 1, 5, 9)
@@ -92,3 +93,38 @@ def test_sliced_breaks_match_batch_across_borders(spark, tmp_path):
     stream, _ = batches(spark, tmp_path / "quick", [*few, [("end", end, seq, 1.0)], [("end", end + 1, seq + 1, 1.0)]])
     plain = rows(run(ST.stream_breaks(stream, 15.0, "20 minutes"), tmp_path, "plain"), *columns)
     assert rows(run(SB.stream_sliced_breaks(stream, 15.0, "20 minutes", 1), tmp_path, "sliced"), *columns) == plain == expected
+
+
+def test_corrections_of_shuffled_input_match_batch(spark, tmp_path):
+    """Rows of all times come in every micro-batch; runs grow, merge and start earlier."""
+    rng, data, seq, minute = random.Random(9), [], 0, {"a": 0, "b": 7}
+    for p in minute:
+        for _ in range(90):
+            minute[p] += rng.choice([0, 3, 10, 15, 16, 400])
+            data.append((p, minute[p], seq, rng.choice([0.0, 0.0, 4.0, None])))
+            seq += 1
+    rng.shuffle(data)
+    stream, table = batches(spark, tmp_path / "in", [data[:100], data[100:101], data[101:140], data[140:]])
+    snapshots, changes, state = (str(tmp_path / n) for n in ("snapshots", "changes", "state"))
+    for place in (state, f"{state}2"):  # the second stream replays every batch over the same tables
+        SC.stream_corrections(stream, snapshots, changes, place, availableNow=True).awaitTermination()
+        found = SC.corrected_sessions(spark.read.parquet(changes))
+        expected = S.derive_sessions(table)
+        columns = ["project_id", "started_at", "ended_at", "snapshot_count", "break_count", "breaks_per_hour", "duration_minutes"]
+        assert rows(found, *columns) == rows(expected, *columns)
+        assert len(rows(expected)) > 8
+    # one late row changes the runs near it and no others
+    single = spark.read.parquet(changes).where("change_batch = 1")
+    assert 1 <= single.count() <= 3
+
+
+def test_a_late_row_joins_two_runs(spark):
+    at = lambda m: BASE + timedelta(minutes=m)
+    old = spark.createDataFrame([("a", at(m), m, 1.0, None) for m in (0, 5, 30, 35, 90)] + [("b", at(10), 1, 1.0, None)], SCHEMA)
+    late = spark.createDataFrame([("a", at(18), 99, 0.0, None)], SCHEMA)
+    runs = S.activity_runs(old)
+    changed = SC.correction(runs, old.unionByName(late), late)
+    assert rows(changed, "started_at", "ended_at", "removed") == [(at(0), at(35), False), (at(30), at(35), True)]
+    assert rows(SC.correction(runs, old, late.where("false"))) == []
+    first = SC.correction(runs.where("false"), late, late)
+    assert rows(first, "started_at", "snapshot_count", "removed") == [(at(18), 1, False)]
